@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, packing, quality, simhash, toxicity
+from lodestone.llm import mixing, packing, pii, quality, simhash, toxicity
 from lodestone.llm._common import read
 
 
@@ -29,6 +29,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts, digest and spans."""
+    return pii.digest(pii.scan(read(spark, sf_dir, "documents")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix of all sources takes of every document."""
     return mixing.mix(read(spark, sf_dir, "documents"))
@@ -48,6 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_quality": op4_quality,
+    "op5_pii": op5_pii,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op10_toxicity": op10_toxicity,
