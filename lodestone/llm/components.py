@@ -33,3 +33,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
+
+
+def named_components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component_id) for every class (node long, rep long): the smallest `rep` of the classes that links join."""
+    found = connected_components(links)
+    named = checkpoint(classes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")))
+    ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return named.join(ids, "component").select("node", "component_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, packing, pii, quality, simhash, topk, toxicity
+from lodestone.llm import embdup, mixing, packing, pii, quality, simhash, topk, toxicity
 from lodestone.llm._common import read
 
 
@@ -49,6 +49,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_embdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of every embedding."""
+    return embdup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by positive-unlabelled learning."""
     docs = read(spark, sf_dir, "documents")
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_embdup": op8_embdup,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -79,4 +85,23 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op8_embdup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e, coalesce(embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0, false) AS ok FROM embeddings
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.ok AND b.ok AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+        ), r AS (
+            SELECT vec_id AS node, vec_id AS root FROM v
+            UNION
+            SELECT l.b, r.root FROM r JOIN l ON r.node = l.a
+        ), c AS (
+            SELECT node, min(root) AS component_id FROM r GROUP BY node
+        ), n AS (
+            SELECT a, count(*) AS n FROM l GROUP BY a
+        )
+        SELECT c.node AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.node = c.component_id AS kept
+        FROM c LEFT JOIN n ON n.a = c.node
+    """,
 }

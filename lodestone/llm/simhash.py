@@ -3,7 +3,7 @@
 Fingerprints are collapsed to the distinct ones, which are dealt into tiles by their population count. Two fingerprints
 within the radius have population counts within the radius, so only such tiles meet; each pair of tiles is one bounded
 piece of work (exclusive-or and bit counts in numpy). A pair of tiles returns a spanning forest of its links, so that a
-group of copies costs its size, and the forests are joined by `connected_components`.
+group of copies costs its size, and the forests are joined by `components`.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; repeated rows get the same result;
 rows without a doc_id take part, and a component of such rows only has a null component_id; an empty table gives no
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm._common import checkpoint
 from lodestone.llm._forest import Forest
-from lodestone.llm.components import connected_components
+from lodestone.llm.components import named_components
 
 _CHUNK = 1 << 16
 
@@ -108,11 +108,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, tile: int
     """(doc_id, fingerprint, component_id) for every document; component_id is the smallest doc_id reachable."""
     fps = checkpoint(fingerprints(docs, width))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = connected_components(fingerprint_links(classes.select("fp"), radius, tile))
-    named = classes.join(found, classes.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    named = checkpoint(named)
-    ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = named.join(ids, "component").select("fp", "component_id")
+    by_fp = named_components(classes.withColumnRenamed("fp", "node"), fingerprint_links(classes.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
