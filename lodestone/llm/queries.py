@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import embdup, mixing, packing, pii, quality, simhash, topk, toxicity
+from lodestone.llm import embdup, mixing, packing, pii, quality, simhash, substring, topk, toxicity
 from lodestone.llm._common import read
 
 
@@ -54,6 +54,11 @@ def op8_embdup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the units that an earlier one holds."""
+    return substring.dedup(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by positive-unlabelled learning."""
     docs = read(spark, sf_dir, "documents")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_embdup": op8_embdup,
+    "op9_substring": op9_substring,
     "op10_toxicity": op10_toxicity,
 }
 
