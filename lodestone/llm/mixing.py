@@ -72,7 +72,10 @@ def _counted(n: Column, key: str) -> tuple[Column, Column]:
 
 
 def _number(rows: DataFrame, n: str, name: str) -> DataFrame:
-    """Each row of `rows` as often as column `n` says, with a running number `name` from 0."""
+    """Each row of `rows` as often as column `n` says, with a running number `name` from 0.
+
+    The planner takes the result for as small as `rows`; joins with it ask for a merge, so that it is not broadcast.
+    """
     part, within = _counted(F.col(n), "_part")
     some = rows.where(F.col(n) > 0).select("*", F.explode(part).alias("_part")).repartition("sid", "_part")
     return some.select("*", F.explode(within).alias(name)).drop("_part")
@@ -99,7 +102,7 @@ def _slots(plan: DataFrame, total: int, shard: int, seed: int) -> DataFrame:
     numbered = _number(plan.withColumn("from", F.coalesce(F.sum("quota").over(_before(by_sid)), F.lit(0))), "quota", "i")
     wheel = numbered.select((F.col("from") + F.col("i")).alias("at"), "sid", "blocks", "quota")
     slots = plan.sparkSession.range(total).select(F.col("id").alias("slot"), F.floor(F.col("id") / shard).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(total)).alias("at"))
-    drawn = checkpoint(slots.join(wheel, "at").drop("at"))
+    drawn = checkpoint(slots.join(wheel.hint("merge"), "at").drop("at"))
     counts = drawn.groupBy("shard", "sid").agg(F.count("*").alias("n"))
     ahead = counts.withColumn("ahead", F.coalesce(F.sum("n").over(_before(Window.partitionBy("sid").orderBy("shard"))), F.lit(0))).drop("n")
     in_shard = Window.partitionBy("shard", "sid").orderBy("slot")
@@ -109,7 +112,7 @@ def _slots(plan: DataFrame, total: int, shard: int, seed: int) -> DataFrame:
     got = got.withColumn("over_before", F.coalesce(F.sum("over").over(_before(by_sid)), F.lit(0))).withColumn("short_before", F.coalesce(F.sum("short").over(_before(by_sid)), F.lit(0)))
     spare = ranked.where("t >= quota").join(got.select("sid", "over_before"), "sid").select("shard", (F.col("over_before") + F.col("t") - F.col("quota")).alias("e"))
     wanted = _number(got, "short", "i").select((F.col("short_before") + F.col("i")).alias("e"), "sid", "blocks", (F.col("got") + F.col("i")).alias("t"))
-    return ranked.where("t < quota").select("shard", "sid", "blocks", "t").unionByName(spare.join(wanted, "e").drop("e"))
+    return ranked.where("t < quota").select("shard", "sid", "blocks", "t").unionByName(spare.join(wanted.hint("merge"), "e").drop("e"))
 
 
 def plan_blocks(docs: DataFrame, block: int = 32, shard: int = 4096, seed: int = 20) -> tuple[DataFrame, DataFrame, int]:
@@ -141,7 +144,7 @@ def _pieces(rows: DataFrame, taken: DataFrame, block: int, *keep: str) -> DataFr
     last = F.floor((F.col("start") + F.greatest(F.col("size"), F.lit(1)) - 1) / block)
     parts = rows.select(*keep, "sid", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("idx"))
     parts = parts.withColumn("lo", F.greatest("start", F.col("idx") * block)).withColumn("hi", F.least(F.col("start") + F.col("size"), (F.col("idx") + 1) * block))
-    return parts.join(taken, ["sid", "idx"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    return parts.join(taken.hint("merge"), ["sid", "idx"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
 def mix(docs: DataFrame, block: int = 32, shard: int = 4096, seed: int = 20) -> DataFrame:
