@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import embdup, mixing, packing, pii, quality, simhash, substring, topk, toxicity
+from lodestone.llm import embdup, lm, mixing, packing, pii, quality, simhash, substring, topk, toxicity
 from lodestone.llm._common import read
 
 
@@ -28,6 +28,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document by context mixing."""
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a factorisation machine."""
     docs = read(spark, sf_dir, "documents")
@@ -68,6 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
+    "op3_lm": op3_lm,
     "op4_quality": op4_quality,
     "op5_pii": op5_pii,
     "op6_mixing": op6_mixing,
