@@ -32,7 +32,8 @@ from lodestone.llm._forest import Forest
 from lodestone.llm.components import named_components
 from lodestone.llm.topk import usable
 
-_CELL_ROWS = 512
+#: Rows of a cell and of a bundle of cells, on average.
+_CELL_ROWS, _BUNDLE_ROWS = 512, 16_384
 
 
 def _within(x: float) -> float:
@@ -97,51 +98,78 @@ def units(vectors: pd.Series, width: int | None = None) -> np.ndarray:
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
-def tile_links(design: Design, table: int, a: np.ndarray, b: np.ndarray | None, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, Forest]:
-    """Links between two tiles of a cell, or within one (b is None): counts of linked rows for each, and the forest.
+def tile_links(design: Design, table: int, a: Tile, b: Tile, own: bool) -> tuple[np.ndarray, np.ndarray, Forest]:
+    """Links between two tiles of a cell, or within one (own): counts of linked rows for each, and the forest.
 
     A pair that shares cells of several tables counts in the first of them only.
     """
-    own = b is None
-    b = a if own else b
-    pa, pb = design.project(a), design.project(b)
-    ca, cb = design.cells(pa), design.cells(pb)
-    links_a, links_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    forest = Forest(len(a) + (0 if own else len(b)))
-    for at in range(0, len(a), 256):
-        rows = slice(at, at + 256)
-        hits = np.zeros((len(pa[rows]), len(b)), np.uint8)
-        for k in range(design.directions):
-            hits += np.abs(pa[rows, k, None] - pb[None, :, k]) <= design.window
-        linked = (hits >= design.count) & (a[rows] @ b.T >= design.least)
-        for t in range(table):
-            linked &= ca[rows, t, None] != cb[None, :, t]
+    links_a, links_b = np.zeros(len(a.n), np.int64), np.zeros(len(b.n), np.int64)
+    forest = Forest(len(a.n) + (0 if own else len(b.n)))
+    step = max(1, (1 << 18) // max(1, len(b.n)))
+    for at in range(0, len(a.n), step):
+        rows = slice(at, at + step)
+        p, hits = a.projected[rows], np.zeros((len(a.n[rows]), len(b.n)), np.uint8)
+        if hits.size * design.directions <= 1 << 18:
+            hits = (np.abs(p[:, None, :] - b.projected[None, :, :]) <= design.window).sum(axis=2)
+        else:
+            for k in range(design.directions):
+                hits += np.abs(p[:, k, None] - b.projected[None, :, k]) <= design.window
+        i, j = np.nonzero(hits >= design.count)
         if own:
-            linked &= np.arange(len(b))[None, :] > np.arange(at, at + len(hits))[:, None]
-        links_a[rows] += linked @ n_b
-        links_b += n_a[rows] @ linked
+            later = j > i + at
+            i, j = i[later], j[later]
+        if not len(i):
+            continue
+        linked = np.zeros(hits.shape, bool)
+        linked[i, j] = True
+        linked &= a.unit[rows] @ b.unit.T >= design.least
+        for t in range(table):
+            linked &= a.cells[rows, t, None] != b.cells[None, :, t]
+        links_a[rows] += linked @ b.n
+        links_b += a.n[rows] @ linked
         i, j = np.nonzero(linked)
         if len(i):
-            forest.add(i + at, j if own else j + len(a))
+            forest.add(i + at, j if own else j + len(a.n))
     return links_a, links_b, forest
 
 
-def _cell(design: Design, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Link counts (node, links) and forest links (node, other) of one pair of tiles."""
-    a, b = pdf[~pdf.second], pdf[pdf.second]
-    own = bool(pdf.i.iloc[0] == pdf.j.iloc[0])
-    width = int(pdf.v.map(len).max())
-    node = pdf.node.to_numpy() if own else np.concatenate((a.node.to_numpy(), b.node.to_numpy()))
-    ua, n_a = units(a.v, width), a.n.to_numpy()
-    ub, n_b = (None, n_a) if own else (units(b.v, width), b.n.to_numpy())
-    if not own and not (len(a) and len(b)):
-        return pd.DataFrame({"node": [], "links": [], "other": []})
-    la, lb, forest = tile_links(design, int(pdf.t.iloc[0]), ua, ub, n_a, n_b)
-    links = la + lb if own else np.concatenate((la, lb))
-    x, y = forest.links()
-    some = np.flatnonzero(links)
-    out = pd.DataFrame({"node": np.concatenate((node[some], node[x])), "links": pd.array(np.concatenate((links[some], np.zeros(len(x), np.int64))), "Int64"), "other": pd.array(np.concatenate((node[some], node[y])), "Int64")})
-    return out
+@dataclass(frozen=True)
+class Tile:
+    """Rows that meet others: unit vectors, projections, cells in every table, and the sizes of their classes."""
+
+    unit: np.ndarray
+    projected: np.ndarray
+    cells: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, design: Design, unit: np.ndarray, n: np.ndarray) -> Tile:
+        projected = design.project(unit)
+        return cls(unit, projected, design.cells(projected), n)
+
+    def take(self, rows: np.ndarray) -> Tile:
+        return Tile(self.unit[rows], self.projected[rows], self.cells[rows], self.n[rows])
+
+
+def _bundle(design: Design, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Link counts (node, links) and forest links (node, other) of the pairs of tiles dealt to one bundle."""
+    everything = Tile.of(design, units(pdf.v), pdf.n.to_numpy())
+    node, second = pdf.node.to_numpy(), pdf.second.to_numpy()
+    keys = [pdf[c].to_numpy() for c in ("t", "cell", "i", "j")]
+    order = np.lexsort(keys)
+    new = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for rows in np.split(order, np.flatnonzero(new) + 1):
+        own = keys[2][rows[0]] == keys[3][rows[0]]
+        a, b = (rows, rows) if own else (rows[~second[rows]], rows[second[rows]])
+        if len(a) and len(b) and len(rows) > 1:
+            la, lb, forest = tile_links(design, int(keys[0][rows[0]]), everything.take(a), everything.take(b), bool(own))
+            links, both = (la + lb, node[a]) if own else (np.concatenate((la, lb)), node[np.concatenate((a, b))])
+            x, y = forest.links()
+            some = np.flatnonzero(links)
+            out += [(both[some], links[some], both[some]), (both[x], np.zeros(len(x), np.int64), both[y])]
+    columns = [np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in range(3)]
+    return pd.DataFrame(dict(zip(("node", "links", "other"), columns)))
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, tile: int = 1024) -> DataFrame:
@@ -157,13 +185,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, tile: int = 1024) -
         return pd.Series(list(design.cells(design.project(units(v)))))
 
     dealt = classes.select("node", F.posexplode(cells("v")).alias("t", "cell"))
-    dealt = checkpoint(dealt)
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1").withColumn("k", F.ceil(F.col("size") / tile).cast("int"))
     dealt = dealt.join(sizes.select("cell", "k"), "cell").withColumn("s", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
     dealt = dealt.select("node", "t", "cell", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), (F.col("s") > F.col("o")).alias("second"))
-    met = dealt.join(classes.select("node", "n", "v"), "node")
-    found = met.groupBy("cell", "i", "j").applyInPandas(lambda pdf: _cell(design, pdf), "node long, links long, other long")
+    dealt = checkpoint(dealt)
+    bundles = max(1, -(-dealt.count() // _BUNDLE_ROWS))
+    met = dealt.join(classes.select("node", "n", "v"), "node").withColumn("bundle", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(bundles)))
+    found = met.groupBy("bundle").applyInPandas(lambda pdf: _bundle(design, pdf), "node long, links long, other long")
     found = checkpoint(found)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     ids = named_components(classes.select("node", "rep"), found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
