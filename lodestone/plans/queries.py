@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import contract, rows, text, vector
 from lodestone.operators import audit, chunking, compress, evaluate, freshness, fusion, gate, lexical, readiness, routing, search
-from lodestone.operators.classify import Catalog, Rule, longest_match, ranked, topic
+from lodestone.operators.classify import Catalog, Rule, confirmed, ranked, topic
 from lodestone.sources import store
 from lodestone.sources.tables import collection, load
 
@@ -46,7 +46,7 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _r(c: str, digits: int = 6):
-    return F.round(c, digits).alias(c)
+    return (F.round(c, digits) + 0.0).alias(c)  # no negative zero
 
 
 def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,13 +199,7 @@ def intent_top3(spark: SparkSession, folder: str) -> DataFrame:
 def intent_confirm(spark: SparkSession, folder: str) -> DataFrame:
     d = load(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     options = ranked(d, CATALOG.rules).groupBy("id").agg(F.collect_list("key").alias("options"))
-    return d.join(options, "id", "left").select("id", gate_confirm(F.col("options")).alias("confirmed"))
-
-
-def gate_confirm(options):
-    from lodestone.operators.classify import confirmed
-
-    return confirmed(F.lit("english"), options)
+    return d.join(options, "id", "left").select("id", confirmed(F.lit("english"), F.col("options")).alias("confirmed"))
 
 
 def _posts(spark: SparkSession, folder: str) -> DataFrame:
