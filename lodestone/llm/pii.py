@@ -124,7 +124,7 @@ def redact(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     Overlapping spans are replaced as one, by the first one's kind; `n_chars`, where there, follows the text.
     """
     text = F.col("text")
-    strong = F.filter("_spans", lambda x: x["score"] >= least_score)
+    strong = F.filter("spans", lambda x: x["score"] >= least_score)
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -134,6 +134,7 @@ def redact(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
 
     cut = F.aggregate(strong, empty, step)
     clean = F.concat(F.array_join(cut["parts"], ""), F.substring(text, cut["at"] + 1, F.length(text)))
-    out = with_spans(docs, "_spans").withColumn("_clean", F.when(F.size(strong) > 0, clean).otherwise(text))
-    new = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast("long")}
-    return out.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in docs.columns])
+    rows = with_spans(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")), "spans")
+    out = rows.select("row", F.when(F.size(strong) > 0, clean).otherwise(text).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])

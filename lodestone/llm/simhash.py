@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -124,14 +125,12 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     if nameless.isEmpty():
         return named
     alone = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("_fp")).distinct()
-    marked = nameless.withColumn("_fp", fingerprint_column(width)(F.col("text")))
-    return named.unionByName(marked.join(alone, "_fp", "left_semi").drop("_fp"))
+    marked = nameless.select(F.struct(*docs.columns).alias("_row"), fingerprint_column(width)(F.col("text")).alias("_fp"))
+    return named.unionByName(marked.join(alone, "_fp", "left_semi").select("_row.*"))
 
 
 def fingerprint_column(width: int = 4):
     """The fingerprint as 16 hexadecimal digits, as a column function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def f(text: pd.Series) -> pd.Series:
         return text.map(lambda t: f"{fingerprint(t, width):016x}")

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.llm._common import fold
 from lodestone.llm._sample import bounded, labelled, texts_of
@@ -164,11 +165,11 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
 
 def clean(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
     """The rows of `docs`, all columns, that are not predicted toxic."""
-    rows, schema = docs.select(F.col("text").cast("string").alias("_text"), F.struct(*docs.columns).alias("_row")), docs.schema
+    rows = docs.select(F.col("text").cast("string").alias("_text"), F.struct(*docs.columns).alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = pa.array([scorer(t.as_py()) < threshold for t in b.column(0)], pa.bool_())
             yield b.filter(keep).select([1])
 
-    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}").select("_row.*").to(schema)
+    return rows.mapInArrow(run, StructType([rows.schema["_row"]])).select("_row.*")
