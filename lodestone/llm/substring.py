@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._common import checkpoint
+
 _ENDS = re.compile(r"\n+|(?<=[.!?])[ \t]+")
 
 
@@ -75,6 +77,7 @@ def removed_spans(docs: DataFrame, least_words: int = 5) -> DataFrame:
     found = unit_digests(docs, least_words)
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key", "place")
     firsts = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    firsts = checkpoint(firsts)  # a table of its own, so that both sides of the join are dealt anew and a hot digest is split
     later = found.join(firsts, ["h1", "h2"]).where(rank > F.col("first"))
     holder = F.when(~F.col("first.nameless"), F.col("first.id"))
     one = later.select("doc_id", "key", F.struct("start", "end").alias("span"), holder.alias("holder"))
