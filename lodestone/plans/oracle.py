@@ -181,3 +181,6 @@ SQL["line_dedup"] = f"""WITH a AS (SELECT DISTINCT id, line, list_distinct({_WOR
     b AS (SELECT DISTINCT id, line, list_distinct({_WORDS.format('line')}) AS w FROM (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE len({_WORDS.format('line')}) >= 8),
     p AS (SELECT a.id AS a_id, b.id AS b_id, a.line AS al, b.line AS bl, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM a JOIN b ON len(a.w) BETWEEN 0.8 * len(b.w) AND 1.25 * len(b.w))
     SELECT a_id, b_id, count(*) AS pairs, round(max(i::DOUBLE / (n - i)), 6) AS share FROM p WHERE i::DOUBLE / (n - i) >= 0.8 GROUP BY a_id, b_id"""
+SQL["match_terms"] = f"""WITH x AS (SELECT item_id AS qid, list_filter({_WORDS.format('text')}, lambda s: length(s) >= 2) AS t, {_COMPACT.format('text')} AS c FROM benchmark)
+    SELECT qid, array_to_string(list_sort(list_distinct(list_concat(t, [c], CASE WHEN contains(c, 'thon') OR contains(c, 'ntion') THEN ['thon', 'ntion'] ELSE [] END))), ' ') AS terms,
+        array_to_string(list_sort(list_filter(list_distinct(t), lambda s: s NOT IN ('latest', 'is', 'that', '학년도', '학기', '여름계절', '겨울계절') AND NOT regexp_full_match(s, '[0-9]+'))), ' ') AS distinctive FROM x"""
