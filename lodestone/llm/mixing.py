@@ -173,8 +173,9 @@ def mixed_documents(docs: DataFrame, block: int = 32, shard: int = 4096, seed: i
     most = F.array_max(F.transform("spans", lambda x: x["times"]))
     copies = joined.select("_row", "size", F.col("spans"), F.explode(F.sequence(F.lit(1), most.cast("int"))).alias("copy"))
     here = F.filter("spans", lambda x: x["times"] >= F.col("copy"))
-    words = F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform(here, lambda x: F.slice(words, x["at"] + 1, x["n"]))), " ")
+    # The words are bound to a name by an array of one element, so that they are found once and not for every span.
+    words = F.array(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0)))
+    cut = F.transform(words, lambda w: F.array_join(F.flatten(F.transform(here, lambda x: F.slice(w, x["at"] + 1, x["n"]))), " "))[0]
     count = F.aggregate(here, F.lit(0), lambda n, x: n + x["n"])
     text = F.when(count == F.col("size"), F.col("_row.text")).otherwise(cut)
     out = copies.withColumn("_text", text)
