@@ -62,12 +62,16 @@ def longest_match(text: Column, rules: tuple[Rule, ...]) -> Column:
 
     The phrases become one CASE from longest to shortest, evaluated with the scan: no join, no shuffle.
     """
-    folded = normalise(text)
     phrases = sorted(((-len(_fold(k)), n, _fold(k), r.key) for n, r in enumerate(rules) for k in r.keywords if _fold(k)))
-    out = F
-    for _, _, phrase, key in phrases:
-        out = out.when(F.contains(folded, F.lit(phrase)), key)
-    return out.otherwise(F.lit(None)) if phrases else F.lit(None).cast("string")
+
+    def first(folded: Column) -> Column:
+        out = F
+        for _, _, phrase, key in phrases:
+            out = out.when(F.contains(folded, F.lit(phrase)), key)
+        return out.otherwise(F.lit(None))
+
+    # The text is folded once for all phrases: an array of one element binds it.
+    return F.transform(F.array(normalise(text)), first)[0] if phrases else F.lit(None).cast("string")
 
 
 def topic(text: Column, catalog: Catalog, override: Column | None = None) -> Column:
@@ -117,3 +121,13 @@ def allowed_label(label: Column, allowed: dict[str, str]) -> Column:
 def confirmed(key: Column, options: Column) -> Column:
     """The confirmed intent if it is one of the options; null asks again."""
     return F.when(F.array_contains(options, key), key)
+
+
+def suggested(key: Column, catalog: Catalog, most: int = 3) -> Column:
+    """Up to `most` questions of a topic in declared order, filled up from the default topic's."""
+    by_key = {r.key: r.questions for r in catalog.rules}
+    texts = lambda own: F.array(*[F.lit(q) for q in list(dict.fromkeys((*own, *by_key[catalog.default])))[:most]]).cast("array<string>")
+    out = F
+    for k, questions in by_key.items():
+        out = out.when(key == k, texts(questions))
+    return out.otherwise(texts(()))

@@ -184,3 +184,4 @@ SQL["line_dedup"] = f"""WITH a AS (SELECT DISTINCT id, line, list_distinct({_WOR
 SQL["match_terms"] = f"""WITH x AS (SELECT item_id AS qid, list_filter({_WORDS.format('text')}, lambda s: length(s) >= 2) AS t, {_COMPACT.format('text')} AS c FROM benchmark)
     SELECT qid, array_to_string(list_sort(list_distinct(list_concat(t, [c], CASE WHEN contains(c, 'thon') OR contains(c, 'ntion') THEN ['thon', 'ntion'] ELSE [] END))), ' ') AS terms,
         array_to_string(list_sort(list_filter(list_distinct(t), lambda s: s NOT IN ('latest', 'is', 'that', '학년도', '학기', '여름계절', '겨울계절') AND NOT regexp_full_match(s, '[0-9]+'))), ' ') AS distinctive FROM x"""
+SQL["suggested_questions"] = f"SELECT doc_id, CASE WHEN {_TOPIC} = 'english' THEN 'What is new?|Who is here?|Where is it?' ELSE 'Where is it?|What is new?|When is it?' END AS questions FROM documents"

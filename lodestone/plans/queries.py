@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import contract, rows, text, vector
 from lodestone.operators import audit, chunking, compress, evaluate, freshness, fusion, gate, lexical, readiness, routing, search
-from lodestone.operators.classify import Catalog, Rule, confirmed, ranked, topic
+from lodestone.operators.classify import Catalog, Rule, confirmed, ranked, suggested, topic
 from lodestone.sources import store
 from lodestone.sources.tables import collection, load
 
 #: Phrases of the test tables' languages; a catalog for real use is read from its file.
 CATALOG = Catalog(
     (
-        Rule("english", ("of the", "and the"), evidence_markers=("the",)),
+        Rule("english", ("of the", "and the"), evidence_markers=("the",), questions=("What is new?", "Who is here?")),
         Rule("german", ("der", "und die"), evidence_markers=("der",)),
         Rule("french", ("la", "dans les"), evidence_markers=("les",)),
         Rule("licence", ("license", "all rights reserved"), evidence_markers=("license",)),
-        Rule("other", ("lorem",)),
+        Rule("other", ("lorem",), questions=("Where is it?", "What is new?", "When is it?")),
     ),
     "other",
     recency=("latest",),
@@ -208,6 +208,11 @@ def _posts(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(F.col("event_type").alias("topic"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 10 != 3, at).alias("published"), at.alias("crawled"), F.col("event_id").alias("ordinal"), F.col("user_id").cast("string").alias("url"), F.concat(F.lit("s"), F.col("user_id") % 4).alias("source"), F.when(F.col("event_id") % 17 == 0, "static").otherwise("notice").alias("document_type"))
 
 
+def suggested_questions(spark: SparkSession, folder: str) -> DataFrame:
+    d = load(spark, folder, "documents")
+    return d.select("doc_id", F.array_join(suggested(topic(F.col("text"), CATALOG), CATALOG), "|").alias("questions"))
+
+
 def latest_per_topic(spark: SparkSession, folder: str) -> DataFrame:
     return freshness.latest_id_per_topic(_posts(spark, folder)).select("topic", "latest_id", F.unix_timestamp("latest_at").alias("latest_at"), "posts")
 
@@ -418,5 +423,5 @@ def case_validation(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.faulty_cases(cases)
 
 
-_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, match_terms, context_compression, contact_lines, line_dedup, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation]
+_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, match_terms, context_compression, contact_lines, line_dedup, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
