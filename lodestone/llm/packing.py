@@ -29,7 +29,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Of texts in which only characters of this range occur, white space, case and composition behave alike in Python and
 #: in the tokenizer, so that they can be encoded word by word; other texts go to the tokenizer whole.
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u017f]*").fullmatch
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 
 
 #: The tokenizer's own parts of a word, and the letters by which it names the 256 bytes.

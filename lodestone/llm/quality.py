@@ -27,7 +27,7 @@ from lodestone.llm._sample import bounded, labelled, texts_of
 WORDS = 1 << 16
 BINS = 16
 FOLDS, HELD_OUT = 5, 0
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 200_000
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _PUNCT, _SYMBOL = b".,;:?'\"-()", b"!%$&#*|{}<>\\/=_@^~[]+`"
 #: Upper ends of the bins of a share between 0 and 1.

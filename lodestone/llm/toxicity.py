@@ -25,7 +25,7 @@ from lodestone.llm._common import fold
 from lodestone.llm._sample import bounded, labelled, texts_of
 
 _EDGES = ".,;:!?\"'()[]{}|*%$&#"
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 150_000
 FOLDS, HELD_OUT = 3, 1
 
 
