@@ -2,18 +2,24 @@
 
 Words and one end are a text's tokens. Counts of all training words are grouped over the corpus; the most frequent
 `head` words, a bounded table, go to every task, all others stay distributed and are joined to the texts' rare words.
-A token is coded as a symbol and then as a word of its symbol. Symbols are predicted bit by bit from several hashed
-contexts whose counts are taken from every training text; gated weights and the final refinement are learned online from
-a bounded sample of training texts. A rare word costs its share among rare words, and any unknown word costs the share
-that Good-Turing gives to all unknown words, so that the probabilities of all tokens sum to one, as the base's do.
-
-Bounds: `head` words and `sample` texts (for word groups, weights and refinement); counts cover every training text.
+A token is coded as a symbol and then as a word of its symbol. Symbols are predicted bit by bit from several contexts.
+Those of at most one symbol are a small table that every task has; the others are as many as the corpus holds. They stay
+distributed: blocks of texts send their distinct (context, symbol) pairs, dealt by a checked 56-bit key, to where a
+context's pairs from all blocks meet, and get back the counts over every training text. Word groups come from
+co-occurrence counts over every training text. Gated weights and the final refinement are learned online in `ROUNDS`
+passes over every training text: each task goes through its blocks, and between passes the tasks' parameters are
+averaged. A rare word costs its share among rare words, and any unknown word costs the share that Good-Turing gives to
+all unknown words, so that the probabilities of all tokens sum to one, as the base's do.
+
+Bounds: `head` words; a caller may name a `sample`, the number of texts that word groups and weights are learned from.
+Blocks follow the partitions of the input, so that scores of the same rows dealt otherwise differ slightly.
 Defined results: a null or empty text is the end alone; a row without an id is training text; repeated rows count and
 score each; without training text every base score is 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +35,10 @@ from lodestone.llm._sample import bounded
 FOLDS, HELD_OUT = 7, 2
 _MEMO_WORDS = 200_000
 _BLOCK = 4096
+ROUNDS = 2
+ANCHORS = 64
+_BLOCK_TOKENS, _BUCKET_PAIRS = 60_000, 1 << 20
+_BLOCKS = "block long, ids array<bigint>, keys array<bigint>, train array<boolean>, learn array<boolean>, sizes array<int>, bytes array<bigint>, ranks binary, rare binary"
 
 
 class Head:
@@ -68,14 +78,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _joined(texts: list[np.ndarray], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranks, symbols and first-token marks of several texts, for the mixer."""
-    ranks = np.concatenate(texts)
-    first = np.zeros(len(ranks), bool)
-    first[np.cumsum([0, *map(len, texts[:-1])])] = True
-    return ranks, symbols[ranks], first
-
-
 def _grouped(texts: Iterator, tokens: int) -> Iterator[list]:
     """Lists of (ranks, ...) rows of about so many tokens."""
     held, n = [], 0
@@ -95,38 +97,173 @@ def corpus_counts(train: DataFrame) -> DataFrame:
     return words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("c"))
 
 
-def context_counts(train: DataFrame, head, symbols) -> np.ndarray:
-    """Bit counts (2, SLOTS) of every context over all training texts; tasks send blocks of sums, added in two steps.
+class Block:
+    """A row of the block table: texts of about so many tokens, one after another."""
 
-    A task's own sums fit 32 bits: a partition has fewer than 2^31 tokens.
-    """
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        cell = lambda name: batch.column(name)[i]
+        self.number, self.ids, self.keys, self.bytes = cell("block").as_py(), cell("ids").values, cell("keys").values, cell("bytes").values
+        self.sizes = np.asarray(cell("sizes").values)
+        self.ranks = np.frombuffer(cell("ranks").as_py(), np.int32).astype(np.int64)
+        self.rare = np.frombuffer(cell("rare").as_py(), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.first = np.zeros(len(self.ranks), bool)
+        self.first[self.starts] = True
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.train, self.learn = (cell(name).values.to_numpy(zero_copy_only=False)[self.text] for name in ("train", "learn"))
+
+    def asked(self, symbols: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs of the far contexts in order, and each token's places among them (FAR, tokens)."""
+        words = np.append(hashes, [0, 1])[self.ranks]
+        words[self.ranks == len(hashes)] = self.rare
+        found = mixer.pairs(words.view(np.uint64), symbols[self.ranks], self.first)
+        distinct, at = np.unique(found.ravel(), return_inverse=True)
+        return distinct, at.reshape(found.shape)
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield Block(b, i)
+
+
+def text_blocks(rows: DataFrame, head) -> DataFrame:
+    """The texts (doc_id, key, text, train, learn) as blocks of ranks, written to the checkpoint folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into = np.zeros((2, mixer.SLOTS), np.int32)
-        texts = ((head.value.ranks(words_of(t.as_py())),) for b in batches for t in b.column(0))
-        for some in _grouped(texts, 100_000):
-            mixer.count(*_joined([t[0] for t in some], symbols.value), into)
-        parts = np.pad(into, ((0, 0), (0, -mixer.SLOTS % _BLOCK))).reshape(2, -1, _BLOCK).transpose(1, 0, 2)
-        full = np.flatnonzero(parts.any(axis=(1, 2)))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[k].tobytes() for k in full], pa.binary())], ["block", "sums"])
-
-    def adder(kind):
-        def add(pdf):
-            total = sum(np.frombuffer(x, kind).astype(np.int64) for x in pdf["sums"])
-            return pdf.iloc[:1].assign(sums=[total.tobytes()])
-
-        return add
-
-    sums = train.select("text").mapInArrow(run, "block int, sums binary").withColumn("group", F.floor(F.spark_partition_id() / 64))
-    shape = "block int, sums binary, group long"
-    total = sums.groupBy("block", "group").applyInPandas(adder(np.int32), shape).groupBy("block").applyInPandas(adder(np.int64), shape)
-    out = np.zeros((2, -(-mixer.SLOTS // _BLOCK) * _BLOCK), np.int64).reshape(2, -1, _BLOCK)
-    for row in total.toLocalIterator():  # as many rows as the tables have blocks
-        out[:, row["block"]] = np.frombuffer(row["sums"], np.int64).reshape(2, _BLOCK)
-    return out.reshape(2, -1)[:, : mixer.SLOTS]
-
-
-def score(docs: DataFrame, head: int = 1 << 18, sample: int = 1500) -> DataFrame:
+        from pyspark import TaskContext
+
+        base, finder = TaskContext.get().partitionId() << 32, head.value
+
+        def read() -> Iterator[tuple]:
+            for b in batches:
+                for doc_id, key, t, train, learn in zip(*(b.column(k).to_pylist() if k != 2 else b.column(k) for k in range(5))):
+                    words = words_of(t.as_py())
+                    ranks = finder.ranks(words)
+                    yield ranks, doc_id, key, train, learn, [word_hash(words[i]) for i in np.flatnonzero(ranks == finder.size)], len(t.as_py().encode())
+
+        for n, some in enumerate(_grouped(read(), _BLOCK_TOKENS)):
+            ranks, ids, keys, train, learn, rare, size = zip(*some)
+            row = [base + n, ids, keys, train, learn, list(map(len, ranks)), size, np.concatenate(ranks).astype(np.int32).tobytes(), np.array([h for r in rare for h in r], np.int64).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
+
+    long, flags = pa.list_(pa.int64()), pa.list_(pa.bool_())
+    types = [pa.int64(), long, long, flags, flags, pa.list_(pa.int32()), long, pa.binary(), pa.binary()]
+    names = [c.split()[0] for c in _BLOCKS.split(", ")]
+    return checkpoint(rows.mapInArrow(run, _BLOCKS))
+
+
+def summed(blocks: DataFrame, shape: tuple[int, int], add, out: np.ndarray) -> np.ndarray:
+    """The table of a bounded `shape` that `add(block, into)` fills, over all blocks, written into `out`; tasks send parts
+    of their sums, added in two steps. A task's own sums fit 32 bits: a partition has fewer than 2^31 tokens."""
+    size = shape[0] * shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = np.zeros(shape, np.int32)
+        for block in _blocks_of(batches):
+            add(block, into)
+        flat = into.reshape(-1)
+        for k in range(0, size, _BLOCK):
+            if flat[k : k + _BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // _BLOCK], pa.int32()), pa.array([zlib.compress(flat[k : k + _BLOCK].astype(np.int64).tobytes(), 1)], pa.binary())], ["part", "sums"])
+
+    def adder(pdf):
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["sums"])
+        return pdf.iloc[:1].assign(sums=[zlib.compress(total.tobytes(), 1)])
+
+    fields = "part int, sums binary, group long"
+    sums = blocks.mapInArrow(run, "part int, sums binary").withColumn("group", F.floor(F.spark_partition_id() / 64))
+    total = sums.groupBy("part", "group").applyInPandas(adder, fields).groupBy("part").applyInPandas(adder, fields)
+    flat = out.reshape(-1)
+    for row in total.toLocalIterator():  # as many rows as the table has parts
+        flat[row["part"] * _BLOCK : (row["part"] + 1) * _BLOCK] = np.frombuffer(zlib.decompress(row["sums"]), np.int64)
+    return out
+
+
+def far_counts(blocks: DataFrame, parts, tokens: int) -> DataFrame:
+    """The blocks with `far`: the paths of each block's distinct pairs over every training text, in order.
+
+    Pairs are dealt by the upper bits of the key into buckets whose number grows with the tokens. A block sends a pair
+    once, so that a very common context costs its bucket at most 256 pairs a block.
+    """
+    bits = max(3, (mixer.FAR * tokens // _BUCKET_PAIRS).bit_length())
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, hashes = parts.value
+        for block in _blocks_of(batches):
+            distinct, at = block.asked(symbols, hashes)
+            counts = np.bincount(at[:, block.train].ravel(), minlength=len(distinct)).astype(np.int32)
+            bucket = (distinct >> np.uint64(64 - bits)).astype(np.int64)
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            ends = np.append(starts[1:], len(distinct))
+            for at in range(0, len(starts), 1024):
+                spans = list(zip(starts[at : at + 1024], ends[at : at + 1024]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[starts[at : at + 1024]]), pa.array([block.number] * len(spans), pa.int64()), pa.array([distinct[a:e].tobytes() for a, e in spans], pa.binary()), pa.array([zlib.compress(counts[a:e].tobytes(), 1) for a, e in spans], pa.binary())],
+                    ["bucket", "block", "pairs", "counts"],
+                )
+
+    def answer(pdf):
+        asked = [np.frombuffer(x, np.uint64) for x in pdf["pairs"]]
+        counts = [np.frombuffer(zlib.decompress(x), np.int32) for x in pdf["counts"]]
+        found = mixer.paths(np.concatenate(asked), np.concatenate(counts))
+        ends = np.cumsum([len(x) for x in asked])
+        return pdf[["bucket", "block"]].assign(far=[zlib.compress(found[:, e - len(x) : e].tobytes(), 1) for x, e in zip(asked, ends)])
+
+    sent = blocks.mapInArrow(ask, "bucket long, block long, pairs binary, counts binary")
+    got = sent.groupBy("bucket").applyInPandas(answer, "bucket long, block long, far binary")
+    far = got.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "far"))).alias("far")).select("block", F.col("far.far").alias("far"))
+    return checkpoint(blocks.join(far, "block"))
+
+
+def _with_far(batches: Iterator[pa.RecordBatch], symbols: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[Block, np.ndarray]]:
+    """Each block and its tokens' paths (BITS + 1, FAR, tokens)."""
+    for b in batches:
+        for i in range(b.num_rows):
+            block = Block(b, i)
+            at = block.asked(symbols, hashes)[1]
+            found = [np.frombuffer(zlib.decompress(x), np.float32).reshape(mixer.BITS + 1, -1) for x in b.column("far")[i].as_py()]
+            yield block, np.concatenate(found, axis=1)[:, at]
+
+
+def learned(blocks: DataFrame, model: mixer.Mixer, parts, rounds: int = ROUNDS) -> mixer.Mixer:
+    """The model after passes over all blocks; after each, the tasks' parameters are averaged by their tokens."""
+    spark = blocks.sparkSession
+    shape = "group long, part long, n long, weights binary, refined binary"
+
+    for _ in range(rounds):
+        start = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            (symbols, hashes), own, n = parts.value, start.value.copy(), 0
+            for block, far in _with_far(batches, symbols, hashes):
+                keep = block.learn
+                if keep.any():
+                    own.learn(block.ranks[keep], symbols[block.ranks[keep]], block.first[keep], 0.05, far[:, :, keep])
+                    n += int(keep.sum())
+            part = TaskContext.get().partitionId()
+            if n:
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (part // 64, part, n)), *(pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (own.weights, own.refined))], [c.split()[0] for c in shape.split(", ")])
+
+        def mean(pdf):
+            pdf = pdf.sort_values("part")
+            share = pdf["n"].to_numpy() / pdf["n"].sum()
+            of = lambda name: sum(w * np.frombuffer(x) for w, x in zip(share, pdf[name])).tobytes()
+            return pdf.iloc[:1].assign(n=pdf["n"].sum(), weights=[of("weights")], refined=[of("refined")])
+
+        tasks = blocks.mapInArrow(run, shape)
+        got = tasks.groupBy("group").applyInPandas(mean, shape).withColumn("group", F.col("group") * 0).groupBy("group").applyInPandas(mean, shape).first()  # one row
+        if got is None:
+            break
+        model = model.copy()
+        model.weights = np.frombuffer(got["weights"]).reshape(model.weights.shape).astype(np.float32)
+        model.refined = np.frombuffer(got["refined"]).reshape(model.refined.shape).copy()
+    return model
+
+
+def score(docs: DataFrame, head: int = 1 << 18, sample: int | None = 1500) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -144,42 +281,44 @@ def score(docs: DataFrame, head: int = 1 << 18, sample: int = 1500) -> DataFrame
     rare = all_words - int(c.sum())
     unknown = (once - int((c == 1).sum()) + 1) / (rare + 2)
 
-    finder = Head(hashes)
-    finder_of = spark.sparkContext.broadcast(finder)
-    chosen = train.join(F.broadcast(bounded(train.select("doc_id"), sample, 4)), "doc_id").dropDuplicates(["doc_id"])
-    texts = [finder.ranks(words_of(t)) for t in chosen.select("doc_id", "text").toArrow().sort_by("doc_id")["text"].to_pylist()]
-    symbols = np.append(mixer.symbol_table(mixer.word_groups([t[:-1] for t in texts], len(hashes))), mixer.END)
+    finder_of = spark.sparkContext.broadcast(Head(hashes))
+    marked = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", (~held).alias("train"))
+    if sample is None:
+        marked = marked.withColumn("learn", F.col("train"))
+    else:
+        marked = marked.join(F.broadcast(bounded(train.select("doc_id"), sample, 4).withColumn("_in", F.lit(True))), "doc_id", "left").select("doc_id", "key", "text", "train", (F.col("train") & F.col("_in").isNotNull()).alias("learn"))
+    blocks = text_blocks(marked, finder_of)
+
+    def add_near(block: Block, into: np.ndarray) -> None:
+        mixer.near_words(block.ranks[block.learn], block.text[block.learn], into)
+
+    near = summed(blocks, (len(hashes), ANCHORS), add_near, np.zeros((len(hashes), ANCHORS), np.float32))
+    symbols = np.append(mixer.symbol_table(mixer.word_groups(near)), mixer.END)
+    del near
     mass = np.bincount(symbols[: len(c)], weights=c, minlength=mixer.SYMBOLS)
     inside = np.append(np.log10(c / mass[symbols[: len(c)]]), [0.0, 0.0])
     base = np.append(np.log10(c + 1) - base_over, [0.0, np.log10(ends + 1) - base_over])
-    model = mixer.Mixer(context_counts(train, finder_of, spark.sparkContext.broadcast(symbols)))
-    for some in _grouped(((t,) for t in texts), 30_000):
-        model.learn(*_joined([t[0] for t in some], symbols), 0.05)
-    model.freeze()
-    parts = spark.sparkContext.broadcast((model, symbols, inside, base))
+    table = spark.sparkContext.broadcast((symbols, hashes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, (model, symbols, inside, base) = finder_of.value, parts.value
+    def add_bits(block: Block, into: np.ndarray) -> None:
+        mixer.count(block.ranks[block.train], table.value[0][block.ranks[block.train]], block.first[block.train], into)
 
-        def read() -> Iterator[tuple]:
-            for b in batches:
-                for doc_id, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                    words = words_of(t.as_py())
-                    ranks = finder.ranks(words)
-                    yield ranks, doc_id, key, [word_hash(words[i]) for i in np.flatnonzero(ranks == finder.size)], len(t.as_py().encode())
+    counts_of = summed(blocks, (2, mixer.SLOTS), add_bits, np.zeros((2, mixer.SLOTS), np.int64))
+    blocks = far_counts(blocks, table, int(total))
+    model = learned(blocks, mixer.Mixer(counts_of), table)
+    parts = spark.sparkContext.broadcast((model, inside, base))
 
-        for some in _grouped(read(), 40_000):
-            ranks, symbol, first = _joined([s[0] for s in some], symbols)
-            starts = np.flatnonzero(first)
-            got = np.add.reduceat(model.log10(ranks, symbol, first) + inside[ranks], starts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (model, inside, base), (symbols, hashes) = parts.value, table.value
+        for block, far in _with_far(batches, symbols, hashes):
+            ranks, starts = block.ranks, block.starts
+            got = np.add.reduceat(model.log10(ranks, symbols[ranks], block.first, far) + inside[ranks], starts)
             plain = np.add.reduceat(base[ranks], starts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s[1] for s in some], pa.int64()), pa.array([s[2] for s in some], pa.int64()), pa.array([len(s[0]) for s in some], pa.int64()), pa.array([len(s[3]) for s in some], pa.int64()), pa.array(got), pa.array(plain), pa.array([s[3] for s in some], pa.list_(pa.int64())), pa.array([s[4] for s in some], pa.int64())],
-                ["doc_id", "key", "n_tokens", "n_rare", "mixed", "base", "rare", "bytes"],
-            )
+            n_rare = np.add.reduceat((ranks == len(hashes)).astype(np.int64), starts)
+            rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)), pa.int32()), pa.array(block.rare))
+            yield pa.RecordBatch.from_arrays([block.ids, block.keys, pa.array(block.sizes, pa.int64()), pa.array(n_rare), pa.array(got), pa.array(plain), rare, block.bytes], ["doc_id", "key", "n_tokens", "n_rare", "mixed", "base", "rare", "bytes"])
 
-    scored = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    scored = checkpoint(scored.mapInArrow(run, "doc_id long, key long, n_tokens long, n_rare long, mixed double, base double, rare array<bigint>, bytes long"))
+    scored = checkpoint(blocks.mapInArrow(run, "doc_id long, key long, n_tokens long, n_rare long, mixed double, base double, rare array<bigint>, bytes long"))
     words = scored.select("key", F.explode("rare").alias("h")).join(counts, "h", "left")
     cost = F.when(F.col("c").isNull(), float(np.log10(unknown))).otherwise(F.log10("c") + float(np.log10(max(1e-9, 1 - unknown)) - np.log10(max(1, rare))))
     rares = words.groupBy("key").agg(F.count("c").alias("r_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - float(base_over)).alias("r_base"), F.sum(cost).alias("r_cost"))

@@ -2,9 +2,11 @@
 
 A token is coded as a symbol of BITS bits and then as one of its symbol's words. Frequent words are symbols of their own;
 other head words share symbols by frequency and by group (words that occur among the same frequent words); two symbols
-are for words outside the head and for the end. Each bit of a symbol is predicted by several hashed contexts, each a
-slot with counts of zeros and ones. The predictions' logits are summed with weights that a gate selects, and the sum is
-refined by an adaptive table of (context, quantised probability).
+are for words outside the head and for the end. Each bit of a symbol is predicted by several contexts with counts of zeros
+and ones. The two near ones (none, the last symbol) have a slot each in a small table. The FAR others (two and three
+symbols, the last word, the usual symbols) are as many as the corpus has; they are keyed by 56 bits of a hash, their
+counts are kept outside, and the caller passes in what it found for each token. The predictions' logits are summed with
+weights that a gate selects, and the sum is refined by an adaptive table of (context, quantised probability).
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ BITS = 8
 SYMBOLS = 1 << BITS
 OWN, GROUPS, RANKS = 126, 8, 16
 TAIL, END = SYMBOLS - 2, SYMBOLS - 1
-#: Slots of each context's table, one after another.
-TABLES = (SYMBOLS, SYMBOLS * SYMBOLS, 1 << 18, 1 << 18, 1 << 18, 1 << 18)
+#: Slots of each near context's table, one after another.
+TABLES = (SYMBOLS, SYMBOLS * SYMBOLS)
+FAR = 4
 OFFSETS = np.concatenate(([0], np.cumsum(TABLES)))
 SLOTS = int(OFFSETS[-1])
-INPUTS = len(TABLES) + 1
+INPUTS = len(TABLES) + FAR + 1
 GATES, STEPS = BITS * 12, 33
 
 
@@ -34,85 +37,110 @@ def symbol_table(groups: np.ndarray) -> np.ndarray:
     return np.append(np.where(rank < OWN, rank, shared), TAIL)
 
 
-def word_groups(texts: list[np.ndarray], head: int, reach: int = 6, anchors: int = 64, rounds: int = 12, most: int = 1 << 16) -> np.ndarray:
-    """Groups of head words by the frequent words around them in some texts (arrays of ranks; `head` means outside).
+def near_words(ranks: np.ndarray, text: np.ndarray, into: np.ndarray, reach: int = 6) -> None:
+    """Add to `into` (words, anchors) how often each word has each anchor, a most frequent word, within reach.
 
-    Words are clustered by the frequent words near them; words not seen in the texts, and those of rank `most` and
-    above, are in group 0.
+    `text` tells the texts of the tokens apart; ranks beyond the table (words outside the head, ends) are passed over.
     """
-    some = min(head, most)
-    near = np.zeros((some + 1, anchors), np.float32)
-    for t in texts:
-        for d in range(1, reach + 1):
-            for a, b in ((t[:-d], t[d:]), (t[d:], t[:-d])):
-                hit = b < anchors
-                np.add.at(near, (np.minimum(a[hit], some), b[hit]), 1)
-    near = np.sqrt(near[:some])
-    size = np.sqrt((near**2).sum(axis=1))
-    unit = near / np.maximum(size, 1e-9)[:, None]
+    words, anchors = into.shape
+    flat = into.reshape(-1)
+    for d in range(1, reach + 1):
+        same = text[d:] == text[:-d]
+        for a, b in ((ranks[:-d], ranks[d:]), (ranks[d:], ranks[:-d])):
+            hit = same & (b < anchors) & (a < words)
+            np.add.at(flat, a[hit].astype(np.int64) * anchors + b[hit], 1)
+
+
+def word_groups(near: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Groups of head words from their counts of frequent words nearby (words, anchors), which are overwritten.
+
+    Words hardly ever seen near a frequent one are in group 0.
+    """
+    head = len(near)
+    unit = np.sqrt(near, out=near)
+    size = np.sqrt(np.einsum("ij,ij->i", unit, unit))
+    unit /= np.maximum(size, 1e-9)[:, None]
     seen = np.flatnonzero(size > 1.5)
     if len(seen) < GROUPS:
         return np.zeros(head, np.int64)
-    centre = [seen[0]]
+    unit, size = unit[seen], size[seen]
+    centre = [0]
     for _ in range(GROUPS - 1):
-        top = seen[:400]
-        centre.append(top[np.argmin((unit[top] @ unit[centre].T).max(axis=1))])
+        centre.append(int(np.argmin((unit[:400] @ unit[centre].T).max(axis=1))))
     c = unit[centre]
     for _ in range(rounds):
-        of = np.argmax(unit[seen] @ c.T, axis=1)
+        of = np.argmax(unit @ c.T, axis=1)
         for g in range(GROUPS):
             if (of == g).any():
-                v = (unit[seen] * np.sqrt(size[seen])[:, None])[of == g].sum(axis=0)
+                v = np.sqrt(size[of == g]) @ unit[of == g]
                 c[g] = v / max(1e-9, np.sqrt((v * v).sum()))
     out = np.zeros(head, np.int64)
-    out[seen] = np.argmax(unit[seen] @ c.T, axis=1)
+    out[seen] = np.argmax(unit @ c.T, axis=1)
+    return out
+
+
+def _before(x: np.ndarray, d: int, since: np.ndarray) -> np.ndarray:
+    out = np.full(len(x), END, x.dtype)
+    if len(x) > d:
+        out[d:] = x[:-d]
+    out[since < d] = END
     return out
 
 
-def _mixed(x: np.ndarray, size: int) -> np.ndarray:
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(40)) % np.uint64(size)).astype(np.int64)
+def _since(doc_start: np.ndarray) -> np.ndarray:
+    at = np.arange(len(doc_start))
+    return at - np.maximum.accumulate(np.where(doc_start, at, 0))
 
 
-def walk(ranks: np.ndarray, symbols: np.ndarray, doc_start: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each bit: (its depth, slots of every context, the bit, the gate's context) for every token.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(33))
 
-    `doc_start` marks each text's first token, before which there is no context.
+
+def pairs(words: np.ndarray, symbols: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
+    """(FAR, tokens): each far context's key in the upper 56 bits and the token's symbol in the lower 8.
+
+    `words` are hashes of the tokens' words; `doc_start` marks each text's first token, before which there is no context.
     """
-    n = len(symbols)
-    since = np.arange(n) - np.maximum.accumulate(np.where(doc_start, np.arange(n), 0))
-
-    def before(x: np.ndarray, d: int) -> np.ndarray:
-        out = np.full(n, END, np.int64)
-        if n > d:
-            out[d:] = x[:-d]
-        out[since < d] = END
-        return out
+    since = _since(doc_start)
+    last = [_before(symbols.astype(np.uint64), d, since) for d in (1, 2, 3, 4)]
+    two = (last[0] << np.uint64(8)) + last[1]
+    three = (two << np.uint64(8)) + last[2]
+    usual = np.sort(np.stack(last), axis=0)
+    usual = (usual[0] << np.uint64(8)) + usual[1]
+    found = [two, three, _before(words.astype(np.uint64), 1, since), usual]
+    keys = [_mixed(x ^ _mixed(np.full(1, k + 1, np.uint64))) for k, x in enumerate(found)]
+    return (np.stack(keys) & ~np.uint64(SYMBOLS - 1)) + symbols.astype(np.uint64)
+
+
+def paths(asked: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(BITS + 1, pairs): how many of the counted tokens have each pair's context and share 0, 1, ... BITS bits of its symbol."""
+    order = np.argsort(asked, kind="stable")
+    p, c = asked[order], counts[order].astype(np.int64)
+    out = np.empty((BITS + 1, len(p)), np.float32)
+    for d in range(BITS + 1):
+        k = p >> np.uint64(BITS - d)
+        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        out[d, order] = np.repeat(np.add.reduceat(c, starts), np.diff(np.append(starts, len(p))))
+    return out
 
-    s1, s2, s3 = (before(symbols, d).astype(np.uint64) for d in (1, 2, 3))
-    word = before(ranks, 1).astype(np.uint64)
-    two, three = s1 * np.uint64(977) + s2, (s1 * np.uint64(977) + s2) * np.uint64(977) + s3
-    frequent = np.sort(np.stack([before(symbols, d) for d in (1, 2, 3, 4)]), axis=0)[:2].astype(np.uint64)
-    usual = frequent[0] * np.uint64(SYMBOLS) + frequent[1]
-    node, context = np.ones(n, np.uint64), s1.astype(np.int64)
+
+def walk(symbols: np.ndarray, doc_start: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bit: (its depth, slots of the near contexts, the bit, the gate's context) for every token."""
+    last = _before(symbols.astype(np.int64), 1, _since(doc_start))
+    node = np.ones(len(symbols), np.int64)
     for depth in range(BITS):
-        slots = np.empty((len(TABLES), n), np.int64)
-        slots[0] = node
-        slots[1] = s1 * np.uint64(SYMBOLS) + node
-        slots[2] = _mixed((two << np.uint64(9)) + node, TABLES[2])
-        slots[3] = _mixed((three << np.uint64(9)) + node + np.uint64(1 << 50), TABLES[3])
-        slots[4] = _mixed((word << np.uint64(9)) + node + np.uint64(1 << 51), TABLES[4])
-        slots[5] = _mixed((usual << np.uint64(9)) + node + np.uint64(1 << 52), TABLES[5])
-        bit = (symbols.astype(np.uint64) >> np.uint64(BITS - 1 - depth)) & np.uint64(1)
-        slots += OFFSETS[:-1, None]
-        yield depth, slots, bit.astype(np.int64), context
-        node = node * np.uint64(2) + bit
+        slots = np.stack([node, last * SYMBOLS + node]) + OFFSETS[:-1, None]
+        bit = (symbols.astype(np.int64) >> (BITS - 1 - depth)) & 1
+        yield depth, slots, bit, last
+        node = node * 2 + bit
 
 
 def count(ranks: np.ndarray, symbols: np.ndarray, doc_start: np.ndarray, into: np.ndarray) -> None:
-    """Add the tokens' bits to the counts (2, SLOTS), which must be one block of memory."""
+    """Add the tokens' bits to the near contexts' counts (2, SLOTS), which must be one block of memory."""
     flat = into.reshape(-1)
-    for _, slots, bit, _ in walk(ranks, symbols, doc_start):
+    for _, slots, bit, _ in walk(symbols, doc_start):
         np.add.at(flat, (slots + bit * SLOTS).ravel(), 1)
 
 
@@ -134,25 +162,36 @@ class Mixer:
         self.weights[:, -1] = 0
         self.refined = np.tile(1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2.0)), (SYMBOLS, 1))
 
+    def copy(self) -> Mixer:
+        """A model of the same counts whose parameters are its own."""
+        other = Mixer.__new__(Mixer)
+        other.counts, other.weights, other.refined = self.counts, self.weights.copy(), self.refined.copy()
+        return other
+
     def freeze(self) -> Mixer:
-        """Replace the counts by what scoring needs of them."""
-        self.logit, self.sure = _logit(*self.counts), _sure(self.counts.sum(axis=0))
-        del self.counts
+        """Nothing is learned any more."""
+        self.weights.flags.writeable = self.refined.flags.writeable = False
         return self
 
-    def _bits(self, ranks: np.ndarray, symbols: np.ndarray, doc_start: np.ndarray, own: bool) -> Iterator[tuple]:
-        """For each bit: inputs, the bit, the refinement's context, the gate. `own`: the tokens are among those counted,
-        so that a bit's own count is taken off before it is predicted."""
-        for depth, slots, bit, context in walk(ranks, symbols, doc_start):
-            x = np.full((INPUTS, len(symbols)), 0.3, np.float32)
+    def _bits(self, symbols: np.ndarray, doc_start: np.ndarray, far: np.ndarray | None, own: bool) -> Iterator[tuple]:
+        """For each bit: inputs, the bit, the refinement's context, the gate. `far`: the tokens' `paths` (BITS + 1, FAR,
+        tokens); without it the far contexts are new. `own`: the tokens are among those counted, so that a bit's own
+        count is taken off before it is predicted."""
+        near = len(TABLES)
+        for depth, slots, bit, context in walk(symbols, doc_start):
+            counts = np.zeros((2, INPUTS - 1, len(symbols)), np.float32)
+            counts[:, :near] = self.counts[:, slots]
+            if far is not None:
+                other = far[depth] - far[depth + 1]
+                counts[1, near:] = np.where(bit == 1, far[depth + 1], other)
+                counts[0, near:] = np.where(bit == 1, other, far[depth + 1])
             if own:
-                ones = np.maximum(self.counts[1][slots] - bit, 0)
-                zeros = np.maximum(self.counts[0][slots] - (1 - bit), 0)
-                x[:-1] = _logit(zeros, ones)
-                two, three = (_sure(zeros[k] + ones[k]).astype(np.int64) for k in (2, 3))
-            else:
-                np.take(self.logit, slots, out=x[:-1])
-                two, three = (self.sure[slots[k]].astype(np.int64) for k in (2, 3))
+                counts[1] -= bit
+                counts[0] -= 1 - bit
+                np.maximum(counts, 0, out=counts)
+            x = np.full((INPUTS, len(symbols)), 0.3, np.float32)
+            x[:-1] = _logit(*counts)
+            two, three = (_sure(counts[0, k] + counts[1, k]).astype(np.int64) for k in (near, near + 1))
             yield x, bit, context, depth * 12 + two * 3 + three
 
     def _mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -163,9 +202,9 @@ class Mixer:
         low = at.astype(np.int64)
         return low, at - low
 
-    def learn(self, ranks: np.ndarray, symbols: np.ndarray, doc_start: np.ndarray, rate: float) -> None:
+    def learn(self, ranks: np.ndarray, symbols: np.ndarray, doc_start: np.ndarray, rate: float, far: np.ndarray | None = None) -> None:
         """One online step: move weights against the coding error and the refinement towards the bits."""
-        for x, bit, context, gate in self._bits(ranks, symbols, doc_start, True):
+        for x, bit, context, gate in self._bits(symbols, doc_start, far, True):
             z = self._mix(x, gate)
             error = (bit - 1 / (1 + np.exp(-z))).astype(np.float32)
             seen = np.maximum(1, np.bincount(gate, minlength=GATES))
@@ -177,10 +216,10 @@ class Mixer:
             ones = np.bincount(flat, weights=bit, minlength=SYMBOLS * STEPS).reshape(SYMBOLS, STEPS)
             self.refined += (ones - n * self.refined) / (n + 50)
 
-    def log10(self, ranks: np.ndarray, symbols: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
+    def log10(self, ranks: np.ndarray, symbols: np.ndarray, doc_start: np.ndarray, far: np.ndarray | None = None) -> np.ndarray:
         """log10 of each token's symbol's probability."""
         out = np.zeros(len(symbols))
-        for x, bit, context, gate in self._bits(ranks, symbols, doc_start, False):
+        for x, bit, context, gate in self._bits(symbols, doc_start, far, False):
             z = self._mix(x, gate)
             low, part = self._steps(z)
             fine = self.refined[context, low] * (1 - part) + self.refined[context, low + 1] * part
