@@ -263,7 +263,7 @@ def learned(blocks: DataFrame, model: mixer.Mixer, parts, rounds: int = ROUNDS)
     return model
 
 
-def score(docs: DataFrame, head: int = 1 << 18, sample: int | None = 1500) -> DataFrame:
+def score(docs: DataFrame, head: int = 1 << 18, sample: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

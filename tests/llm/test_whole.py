@@ -3,8 +3,9 @@
 import collections
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lodestone.llm import mixer
+from lodestone.llm import lm, mixer
 
 
 def test_far_contexts_are_exact_and_grow_with_the_text():
@@ -23,3 +24,21 @@ def test_far_contexts_are_exact_and_grow_with_the_text():
     for i in range(0, len(asked), 997):
         p = int(asked[i])
         assert (got[0, i], got[4, i], got[8, i]) == (context[p >> 8], half[p >> 4], whole[p])
+
+
+def test_lm_learns_from_every_training_text(spark):
+    texts = [(i, " ".join(f"w{(i * 7 + k * k) % 400}" for k in range(40))) for i in range(1800)]
+    seen = []
+    real = lm.learned
+
+    def spy(blocks, *rest, **more):
+        seen.append(blocks.select(F.explode(F.arrays_zip("train", "learn")).alias("x")).agg(F.sum(F.col("x.train").cast("int")), F.sum(F.col("x.learn").cast("int"))).first())
+        return real(blocks, *rest, **more)
+
+    lm.learned = spy
+    try:
+        got = lm.score(spark.createDataFrame(texts, "doc_id long, text string"), head=300).toPandas()
+    finally:
+        lm.learned = real
+    train = int((~got.held_out).sum())
+    assert train > 1500 and tuple(seen[0]) == (train, train)
