@@ -5,7 +5,7 @@ import collections
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.llm import lm, mixer
+from lodestone.llm import lm, mixer, substring
 
 
 def test_far_contexts_are_exact_and_grow_with_the_text():
@@ -42,3 +42,22 @@ def test_lm_learns_from_every_training_text(spark):
         lm.learned = real
     train = int((~got.held_out).sum())
     assert train > 1500 and tuple(seen[0]) == (train, train)
+
+
+def test_a_long_passage_is_found_whatever_surrounds_it(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"{a}{b}" for a, b in zip(rng.choice(list("bcdfgh"), n), rng.integers(0, 3000, n))]
+    plain = " ".join(word(70))  # no sentence ends
+    short = " ".join(" ".join(word(2)) + "." for _ in range(35))
+    lines = "\n".join(" ".join(word(3)) for _ in range(25))
+    rows = []
+    for k, passage in enumerate((plain, short, lines)):
+        gap = "\n" if k == 2 else " "
+        for copy in range(2):
+            before = gap.join(" ".join(word(3)) + ("." if k == 1 else "") for _ in range(40 + 3 * copy))
+            rows.append((2 * k + copy, f"{before}{gap}{passage}{gap}{' '.join(word(20))}"))
+    got = {r.doc_id: r.text.split() for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    windows = lambda w: {tuple(w[i : i + 50]) for i in range(len(w) - 49)}
+    for k in range(3):
+        assert windows(rows[2 * k][1].split()) & windows(rows[2 * k + 1][1].split())
+        assert not windows(got[2 * k]) & windows(got[2 * k + 1])
