@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.lexical import bm25, wide
+from lodestone.operators.search import nearest_of_each
+
 RRF_K = 60
 
 
@@ -45,3 +48,14 @@ def title_boost(score: Column, distinct_hits: Column, policy_hits: Column) -> Co
 def hits(words: Column, title: Column, least: int = 1) -> Column:
     """How many of the words the title contains; both compact."""
     return F.size(F.filter(words, lambda w: (F.length(w) >= least) & (F.length(w) <= F.length(title)) & F.contains(title, w)))
+
+
+def hybrid(chunks: DataFrame, asked: DataFrame, collection: DataFrame, questions: DataFrame, top_k: int = 10) -> DataFrame:
+    """The `top_k` best rows of `rrf` for each question, of the `wide(top_k)` best of either retriever.
+
+    `chunks` (id, text) and `asked` (qid, text) are matched by words and 2 to 4 character runs, `collection` and
+    `questions` (qid, vector) by `nearest_of_each`.
+    """
+    many = wide(top_k)
+    found = rrf(bm25(chunks, asked, many, grams=True, score_digits=6), nearest_of_each(collection, questions, many))
+    return found.where(F.col("place") <= top_k)
