@@ -2,16 +2,18 @@
 
 Words and one end are a text's tokens. Counts of all training words are grouped over the corpus; the most frequent
 `head` words, a bounded table, go to every task, all others stay distributed and are joined to the texts' rare words.
-A token is coded as a symbol and then as a word of its symbol. Symbols are predicted bit by bit from several contexts.
-Those of at most one symbol are a small table that every task has; the others are as many as the corpus holds. They stay
-distributed: blocks of texts send their distinct (context, symbol) pairs, dealt by a checked 56-bit key, to where a
-context's pairs from all blocks meet, and get back the counts over every training text. Word groups come from
-co-occurrence counts over every training text. Gated weights and the final refinement are learned online in `ROUNDS`
-passes over every training text: each task goes through its blocks, and between passes the tasks' parameters are
-averaged. A rare word costs its share among rare words, and any unknown word costs the share that Good-Turing gives to
-all unknown words, so that the probabilities of all tokens sum to one, as the base's do.
-
-Bounds: `head` words; a caller may name a `sample`, the number of texts that word groups and weights are learned from.
+A token is guessed from the two words before it; a token that is not is coded as a symbol and then as a word of its
+symbol (see `mixer`). What follows which two words is as much as the corpus holds, whatever the words' rank. It stays
+distributed: blocks of texts send their distinct (two words, follower) pairs, dealt by a hash of the two words into
+buckets whose number grows with the tokens, and within a bucket 40 bits of the hash are compared, so that collisions do
+not become more frequent as the corpus grows. Each pair gets back a byte: what the counts of all training texts guess
+there, and whether it is right; a training token's own count is taken off. Word groups come from co-occurrence counts
+over every training text. Weights, refinement and the guess's tables are learned online in a pass over every training
+text: each task goes through its blocks, then the tasks' parameters are averaged and scoring holds them fixed. A rare
+word costs its share among rare words, and any unknown word costs the share that Good-Turing gives to all unknown words,
+so that the probabilities of all tokens sum to at most one, as the base's do.
+
+Bounds: `head` words. Tables of symbols have the size of their alphabets (`mixer.SLOTS`).
 Blocks follow the partitions of the input, so that scores of the same rows dealt otherwise differ slightly.
 Defined results: a null or empty text is the end alone; a row without an id is training text; repeated rows count and
 score each; without training text every base score is 0; an empty table gives no rows; other columns are ignored.
@@ -19,7 +21,7 @@ score each; without training text every base score is 0; an empty table gives no
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,72 +31,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixer
-from lodestone.llm._common import WORD, checkpoint, fold, lower_ascii
-from lodestone.llm._sample import bounded
+from lodestone.llm._common import checkpoint, fold
 
 FOLDS, HELD_OUT = 7, 2
-_MEMO_WORDS = 200_000
-_BLOCK = 4096
-ROUNDS = 2
-ANCHORS = 64
-_BLOCK_TOKENS, _BUCKET_PAIRS = 60_000, 1 << 20
-_BLOCKS = "block long, ids array<bigint>, keys array<bigint>, train array<boolean>, learn array<boolean>, sizes array<int>, bytes array<bigint>, ranks binary, rare binary"
+ANCHORS = 32
+_FAN, _PART = 64, 1 << 16
+_HELD_WORDS, _BLOCK_TOKENS, _BUCKET_PAIRS = 400_000, 1 << 17, 1 << 21
+#: A partition has fewer blocks, and a block fewer texts, than 2 to this power.
+_BLOCK_BITS = 18
+_BLOCKS = "block long, ids array<bigint>, train array<boolean>, sizes array<int>, bytes array<bigint>, ranks binary, rare binary"
 
 
-class Head:
-    """Ranks of the head words by the hash of the word; `size` stands for any other word."""
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def squeezed(a: np.ndarray) -> bytes:
+    """An array's bytes, compressed plane by plane."""
+    return pa.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+
 
-    def __init__(self, hashes: np.ndarray):
-        self.size = len(hashes)
-        self._rank = dict(zip(hashes.tolist(), range(self.size)))
-        self._memo: dict[bytes, int] = {}
+def restored(data: bytes, dtype, n: int) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).ravel()
 
-    def __getstate__(self) -> np.ndarray:
-        return np.fromiter(self._rank, np.int64, self.size)
 
-    def __setstate__(self, hashes: np.ndarray) -> None:
-        self.__init__(hashes)
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), [c.split()[0] for c in schema.split(", ")])
 
-    def _find(self, word: bytes) -> int:
-        got = self._memo.get(word)
-        if got is None:
-            got = self._rank.get(word_hash(word), self.size)
-            if len(self._memo) < _MEMO_WORDS:
-                self._memo[word] = got
-        return got
 
-    def ranks(self, words: list[bytes]) -> np.ndarray:
-        """The words' ranks and then the end's, which is one past `size`."""
-        return np.fromiter((*map(self._find, words), self.size + 1), np.int64, len(words) + 1)
+def word_counts(train: DataFrame) -> DataFrame:
+    """(w binary, c long): every word of the training texts; tasks count before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = _batch("w, c", pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64()))
+            held.clear()
+            return out
 
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()):
+                held.update(words_of(t.as_py()))
+                if len(held) >= _HELD_WORDS:
+                    yield flush()
+        if held:
+            yield flush()
 
-def word_hash(word: bytes) -> int:
-    """Spark's xxhash64 of the word."""
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
+    return train.select("text").mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+class Head:
+    """Ranks of the head words; `size` stands for any other word."""
 
+    def __init__(self, words: list[bytes]):
+        self.words, self.size = words, len(words)
+        self._rank = dict(zip(words, range(self.size)))
 
-def _grouped(texts: Iterator, tokens: int) -> Iterator[list]:
-    """Lists of (ranks, ...) rows of about so many tokens."""
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t[0])
-        if n >= tokens:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+    def __getstate__(self) -> list[bytes]:
+        return self.words
 
+    def __setstate__(self, words: list[bytes]) -> None:
+        self.__init__(words)
 
-def corpus_counts(train: DataFrame) -> DataFrame:
-    """(h, c): the hash and count of every word of the training texts."""
-    words = train.select(F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), F.lit(0))).alias("w"))
-    return words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("c"))
+    def ranks(self, words: list[bytes]) -> list[int | None]:
+        return list(map(self._rank.get, words))
 
 
 class Block:
@@ -102,23 +107,39 @@ class Block:
 
     def __init__(self, batch: pa.RecordBatch, i: int):
         cell = lambda name: batch.column(name)[i]
-        self.number, self.ids, self.keys, self.bytes = cell("block").as_py(), cell("ids").values, cell("keys").values, cell("bytes").values
+        self.number, self.ids, self.bytes = cell("block").as_py(), cell("ids").values, cell("bytes").values
         self.sizes = np.asarray(cell("sizes").values)
-        self.ranks = np.frombuffer(cell("ranks").as_py(), np.int32).astype(np.int64)
-        self.rare = np.frombuffer(cell("rare").as_py(), np.int64)
+        self.ranks = restored(cell("ranks").as_py(), np.int32, int(self.sizes.sum()))
+        self.rare_words = pa.decompress(cell("rare").as_py()[8:], decompressed_size=int.from_bytes(cell("rare").as_py()[:8], "little"), codec="zstd", asbytes=True).split()
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.first = np.zeros(len(self.ranks), bool)
-        self.first[self.starts] = True
-        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.train, self.learn = (cell(name).values.to_numpy(zero_copy_only=False)[self.text] for name in ("train", "learn"))
-
-    def asked(self, symbols: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct pairs of the far contexts in order, and each token's places among them (FAR, tokens)."""
-        words = np.append(hashes, [0, 1])[self.ranks]
-        words[self.ranks == len(hashes)] = self.rare
-        found = mixer.pairs(words.view(np.uint64), symbols[self.ranks], self.first)
-        distinct, at = np.unique(found.ravel(), return_inverse=True)
-        return distinct, at.reshape(found.shape)
+        first = np.zeros(len(self.ranks), bool)
+        first[self.starts] = True
+        self.since = mixer.since_start(first)
+        self.trained = cell("train").values.to_numpy(zero_copy_only=False)
+        self.train = np.repeat(self.trained, self.sizes)
+
+    def text(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+
+    def asked(self, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bucket (of 2^bits) and the pair of each token, and the order of both, training tokens first of equals."""
+        words = hashes[self.ranks]
+        rare = np.fromiter(map(xxhash.xxh64_intdigest, self.rare_words), np.uint64, len(self.rare_words))
+        words[self.ranks == len(hashes) - 2] = rare
+        context = mixer.word_contexts(words, self.since)
+        bucket = (context >> np.uint64(64 - bits)).astype(np.uint32)
+        pair = (context << np.uint64(bits)) & ~np.uint64(0xFFFFFF) | words >> np.uint64(40)
+        return bucket, pair, np.lexsort((~self.train, pair, bucket))
+
+
+def _opens(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Where, in this order, a run of equal keys begins."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return new
 
 
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -128,204 +149,241 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 
 
 def text_blocks(rows: DataFrame, head) -> DataFrame:
-    """The texts (doc_id, key, text, train, learn) as blocks of ranks, written to the checkpoint folder."""
+    """The texts (doc_id, text, train) as blocks of ranks, written to the checkpoint folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, finder = TaskContext.get().partitionId() << 32, head.value
+        base, finder, made = TaskContext.get().partitionId() << _BLOCK_BITS, head.value, 0
+        end = finder.size + 1
+        ids, train, sizes, size, ranks, rare = [], [], [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal made
+            joined = b" ".join(rare)
+            cells = [base + made, ids, train, sizes, size, squeezed(np.array(ranks, np.int32)), len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True)]
+            out = _batch(_BLOCKS, *(pa.array([x], t) for x, t in zip(cells, types)))
+            made += 1
+            for x in (ids, train, sizes, size, ranks, rare):
+                x.clear()
+            return out
+
+        for b in batches:
+            for doc_id, t, learn in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
+                raw = t.as_py()
+                words = words_of(raw)
+                found = finder.ranks(words)
+                if None in found:
+                    rare += [w for w, r in zip(words, found) if r is None]
+                    found = [finder.size if r is None else r for r in found]
+                ranks += found
+                ranks.append(end)
+                for x, v in ((ids, doc_id), (train, learn), (sizes, len(words) + 1), (size, len(raw))):
+                    x.append(v)
+                if len(ranks) >= _BLOCK_TOKENS:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    return checkpoint(rows.mapInArrow(run, _BLOCKS))
 
-        def read() -> Iterator[tuple]:
-            for b in batches:
-                for doc_id, key, t, train, learn in zip(*(b.column(k).to_pylist() if k != 2 else b.column(k) for k in range(5))):
-                    words = words_of(t.as_py())
-                    ranks = finder.ranks(words)
-                    yield ranks, doc_id, key, train, learn, [word_hash(words[i]) for i in np.flatnonzero(ranks == finder.size)], len(t.as_py().encode())
 
-        for n, some in enumerate(_grouped(read(), _BLOCK_TOKENS)):
-            ranks, ids, keys, train, learn, rare, size = zip(*some)
-            row = [base + n, ids, keys, train, learn, list(map(len, ranks)), size, np.concatenate(ranks).astype(np.int32).tobytes(), np.array([h for r in rare for h in r], np.int64).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
+def _in_steps(rows: DataFrame, tasks: int, key: list[str], add, schema: str) -> DataFrame:
+    """Rows that tasks sent, put together by `add` in groups of at most `_FAN` until one is left for each key."""
+    rows = rows.withColumn("task", F.spark_partition_id().cast("long"))
+    while True:
+        tasks = -(-tasks // _FAN)
+        rows = rows.withColumn("task", F.floor(F.col("task") / _FAN)).groupBy(*key, "task").applyInPandas(add, schema)
+        if tasks <= 1:
+            return rows
 
-    long, flags = pa.list_(pa.int64()), pa.list_(pa.bool_())
-    types = [pa.int64(), long, long, flags, flags, pa.list_(pa.int32()), long, pa.binary(), pa.binary()]
-    names = [c.split()[0] for c in _BLOCKS.split(", ")]
-    return checkpoint(rows.mapInArrow(run, _BLOCKS))
 
+def summed(blocks: DataFrame, tasks: int, size: int, add, out: np.ndarray) -> np.ndarray:
+    """The table of a bounded `size` that `add(block, into)` fills, over all blocks, written into `out`. Tasks send what
+    is not zero of their sums, which fit 32 bits: a partition has fewer than 2^31 tokens."""
+    schema = "part long, task long, n long, sums binary"
 
-def summed(blocks: DataFrame, shape: tuple[int, int], add, out: np.ndarray) -> np.ndarray:
-    """The table of a bounded `shape` that `add(block, into)` fills, over all blocks, written into `out`; tasks send parts
-    of their sums, added in two steps. A task's own sums fit 32 bits: a partition has fewer than 2^31 tokens."""
-    size = shape[0] * shape[1]
+    def sent(flat: np.ndarray) -> tuple[int, bytes]:
+        at = np.flatnonzero(flat)
+        return len(at), squeezed(np.stack((at, flat[at])).ravel().astype(np.int64)) if len(at) else b""
+
+    def dense(n: int, data: bytes) -> np.ndarray:
+        at, v = restored(data, np.int64, 2 * n).reshape(2, n)
+        flat = np.zeros(_PART, np.int64)
+        flat[at] = v
+        return flat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into = np.zeros(shape, np.int32)
+        into = np.zeros(size, np.int32)
         for block in _blocks_of(batches):
             add(block, into)
-        flat = into.reshape(-1)
-        for k in range(0, size, _BLOCK):
-            if flat[k : k + _BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // _BLOCK], pa.int32()), pa.array([zlib.compress(flat[k : k + _BLOCK].astype(np.int64).tobytes(), 1)], pa.binary())], ["part", "sums"])
+        for k in range(0, size, _PART):
+            n, data = sent(into[k : k + _PART])
+            if n:
+                yield _batch("part, n, sums", pa.array([k // _PART]), pa.array([n]), pa.array([data], pa.binary()))
 
     def adder(pdf):
-        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["sums"])
-        return pdf.iloc[:1].assign(sums=[zlib.compress(total.tobytes(), 1)])
-
-    fields = "part int, sums binary, group long"
-    sums = blocks.mapInArrow(run, "part int, sums binary").withColumn("group", F.floor(F.spark_partition_id() / 64))
-    total = sums.groupBy("part", "group").applyInPandas(adder, fields).groupBy("part").applyInPandas(adder, fields)
-    flat = out.reshape(-1)
-    for row in total.toLocalIterator():  # as many rows as the table has parts
-        flat[row["part"] * _BLOCK : (row["part"] + 1) * _BLOCK] = np.frombuffer(zlib.decompress(row["sums"]), np.int64)
+        total = np.zeros(_PART, np.int64)
+        for n, x in zip(pdf["n"], pdf["sums"]):
+            total += dense(n, x)
+        n, data = sent(total)
+        return pdf.iloc[:1].assign(n=[n], sums=[data])[["part", "task", "n", "sums"]]
+
+    parts = _in_steps(blocks.mapInArrow(run, "part long, n long, sums binary"), tasks, ["part"], adder, schema)
+    for row in parts.toLocalIterator():  # as many rows as the table has parts
+        k = row["part"] * _PART
+        out[k : k + _PART] = dense(row["n"], row["sums"])[: min(_PART, size - k)]
     return out
 
 
-def far_counts(blocks: DataFrame, parts, tokens: int) -> DataFrame:
-    """The blocks with `far`: the paths of each block's distinct pairs over every training text, in order.
+def with_codes(blocks: DataFrame, hashes, tokens: int) -> DataFrame:
+    """The blocks with `codes`: what every token's two words before it guess over all training texts (`mixer.guess_codes`).
 
-    Pairs are dealt by the upper bits of the key into buckets whose number grows with the tokens. A block sends a pair
-    once, so that a very common context costs its bucket at most 256 pairs a block.
+    A block sends a distinct pair once, so that a very common one costs its bucket a row for each block.
     """
-    bits = max(3, (mixer.FAR * tokens // _BUCKET_PAIRS).bit_length())
+    bits = max(3, (tokens // _BUCKET_PAIRS).bit_length())
+    sent = "bucket long, block long, n long, pairs binary, counts binary, train binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, hashes = parts.value
         for block in _blocks_of(batches):
-            distinct, at = block.asked(symbols, hashes)
-            counts = np.bincount(at[:, block.train].ravel(), minlength=len(distinct)).astype(np.int32)
-            bucket = (distinct >> np.uint64(64 - bits)).astype(np.int64)
-            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            ends = np.append(starts[1:], len(distinct))
-            for at in range(0, len(starts), 1024):
-                spans = list(zip(starts[at : at + 1024], ends[at : at + 1024]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[starts[at : at + 1024]]), pa.array([block.number] * len(spans), pa.int64()), pa.array([distinct[a:e].tobytes() for a, e in spans], pa.binary()), pa.array([zlib.compress(counts[a:e].tobytes(), 1) for a, e in spans], pa.binary())],
-                    ["bucket", "block", "pairs", "counts"],
-                )
+            bucket, pair, order = block.asked(hashes.value, bits)
+            starts = np.flatnonzero(_opens(order, bucket, pair, block.train))
+            count = np.minimum(np.diff(np.append(starts, len(order))), 0xFFFF_FFFF).astype(np.uint32)
+            some = order[starts]
+            bucket, pair, train = bucket[some], pair[some], block.train[some]
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            rows = [(int(bucket[a]), e - a, squeezed(np.diff(pair[a:e], prepend=np.uint64(0))), squeezed(count[a:e]), squeezed(train[a:e])) for a, e in zip(cuts.tolist(), np.append(cuts[1:], len(some)).tolist())]
+            for k in range(0, len(rows), 1024):
+                b, n, p, c, t = zip(*rows[k : k + 1024])
+                yield _batch(sent, pa.array(b, pa.int64()), pa.array([block.number] * len(b), pa.int64()), pa.array(n, pa.int64()), pa.array(p, pa.binary()), pa.array(c, pa.binary()), pa.array(t, pa.binary()))
 
     def answer(pdf):
-        asked = [np.frombuffer(x, np.uint64) for x in pdf["pairs"]]
-        counts = [np.frombuffer(zlib.decompress(x), np.int32) for x in pdf["counts"]]
-        found = mixer.paths(np.concatenate(asked), np.concatenate(counts))
-        ends = np.cumsum([len(x) for x in asked])
-        return pdf[["bucket", "block"]].assign(far=[zlib.compress(found[:, e - len(x) : e].tobytes(), 1) for x, e in zip(asked, ends)])
-
-    sent = blocks.mapInArrow(ask, "bucket long, block long, pairs binary, counts binary")
-    got = sent.groupBy("bucket").applyInPandas(answer, "bucket long, block long, far binary")
-    far = got.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "far"))).alias("far")).select("block", F.col("far.far").alias("far"))
-    return checkpoint(blocks.join(far, "block"))
-
-
-def _with_far(batches: Iterator[pa.RecordBatch], symbols: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[Block, np.ndarray]]:
-    """Each block and its tokens' paths (BITS + 1, FAR, tokens)."""
+        n = pdf["n"].to_numpy()
+        pairs = np.concatenate([np.cumsum(restored(x, np.uint64, k), dtype=np.uint64) for x, k in zip(pdf["pairs"], n)])
+        counts, train = (np.concatenate([restored(x, t, k) for x, k in zip(pdf[c], n)]) for c, t in (("counts", np.uint32), ("train", bool)))
+        codes = mixer.guess_codes(pairs, counts, train)
+        ends = np.cumsum(n)
+        return pdf[["bucket", "block", "n"]].assign(codes=[squeezed(codes[e - k : e]) for k, e in zip(n, ends)])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = []
+            for i in range(b.num_rows):
+                block = Block(b, i)
+                bucket, pair, order = block.asked(hashes.value, bits)
+                which = np.cumsum(_opens(order, bucket, pair, block.train)) - 1
+                got = np.concatenate([np.zeros(0, np.uint8), *(restored(x["codes"], np.uint8, x["n"]) for x in b.column("found")[i].as_py())])
+                own = np.empty(len(order), np.uint8)
+                own[order] = got[which]
+                codes.append(squeezed(own))
+            yield b.drop_columns(["found"]).append_column("codes", pa.array(codes, pa.binary()))
+
+    got = blocks.mapInArrow(ask, sent).groupBy("bucket").applyInPandas(answer, "bucket long, block long, n long, codes binary")
+    found = got.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "codes"))).alias("found"))  # in order of the bucket
+    return checkpoint(blocks.join(found, "block").mapInArrow(spread, _BLOCKS + ", codes binary"))
+
+
+def _coded(batches: Iterator[pa.RecordBatch], symbols: np.ndarray, group_of: np.ndarray, class_of: np.ndarray) -> Iterator[tuple]:
+    """Each block, its symbols, its contexts and its codes."""
     for b in batches:
         for i in range(b.num_rows):
             block = Block(b, i)
-            at = block.asked(symbols, hashes)[1]
-            found = [np.frombuffer(zlib.decompress(x), np.float32).reshape(mixer.BITS + 1, -1) for x in b.column("far")[i].as_py()]
-            yield block, np.concatenate(found, axis=1)[:, at]
-
-
-def learned(blocks: DataFrame, model: mixer.Mixer, parts, rounds: int = ROUNDS) -> mixer.Mixer:
-    """The model after passes over all blocks; after each, the tasks' parameters are averaged by their tokens."""
-    spark = blocks.sparkSession
-    shape = "group long, part long, n long, weights binary, refined binary"
+            s = symbols[block.ranks]
+            yield block, s, mixer.contexts(s, block.since, group_of, class_of), restored(b.column("codes")[i].as_py(), np.uint8, len(s))
 
-    for _ in range(rounds):
-        start = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+def learned(blocks: DataFrame, tasks: int, model: mixer.Mixer, table) -> mixer.Mixer:
+    """The model after a pass over all training texts; the tasks' parameters are averaged by their tokens."""
+    schema = "part long, task long, n long, sums binary"
+    start = blocks.sparkSession.sparkContext.broadcast(model)
 
-            (symbols, hashes), own, n = parts.value, start.value.copy(), 0
-            for block, far in _with_far(batches, symbols, hashes):
-                keep = block.learn
-                if keep.any():
-                    own.learn(block.ranks[keep], symbols[block.ranks[keep]], block.first[keep], 0.05, far[:, :, keep])
-                    n += int(keep.sum())
-            part = TaskContext.get().partitionId()
-            if n:
-                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (part // 64, part, n)), *(pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (own.weights, own.refined))], [c.split()[0] for c in shape.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = start.value.with_parameters(start.value.parameters()), 0
+        for block, symbols, places, codes in _coded(batches, *table.value):
+            if block.train.any():
+                own.learn(symbols, places, codes, block.since, block.train)
+                n += int(block.train.sum())
+        if n:
+            yield _batch("part, n, sums", pa.array([0]), pa.array([n]), pa.array([(own.parameters() * n).tobytes()], pa.binary()))
 
-        def mean(pdf):
-            pdf = pdf.sort_values("part")
-            share = pdf["n"].to_numpy() / pdf["n"].sum()
-            of = lambda name: sum(w * np.frombuffer(x) for w, x in zip(share, pdf[name])).tobytes()
-            return pdf.iloc[:1].assign(n=pdf["n"].sum(), weights=[of("weights")], refined=[of("refined")])
+    def adder(pdf):
+        pdf = pdf.sort_values("n")
+        total = sum(np.frombuffer(x) for x in pdf["sums"])
+        return pdf.iloc[:1].assign(n=[pdf["n"].sum()], sums=[total.tobytes()])[["part", "task", "n", "sums"]]
 
-        tasks = blocks.mapInArrow(run, shape)
-        got = tasks.groupBy("group").applyInPandas(mean, shape).withColumn("group", F.col("group") * 0).groupBy("group").applyInPandas(mean, shape).first()  # one row
-        if got is None:
-            break
-        model = model.copy()
-        model.weights = np.frombuffer(got["weights"]).reshape(model.weights.shape).astype(np.float32)
-        model.refined = np.frombuffer(got["refined"]).reshape(model.refined.shape).copy()
-    return model
+    got = _in_steps(blocks.mapInArrow(run, "part long, n long, sums binary"), tasks, ["part"], adder, schema).first()  # one row
+    return model if got is None else model.with_parameters(np.frombuffer(got["sums"]) / got["n"])
 
 
-def score(docs: DataFrame, head: int = 1 << 18, sample: int | None = None) -> DataFrame:
+def score(docs: DataFrame, head: int = 1 << 18) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row."""
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
     held = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    train = rows.where(~held)
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select("doc_id", "text", (~held).alias("train"))
+    train = rows.where("train")
 
-    counts = checkpoint(corpus_counts(train))
+    counts = checkpoint(word_counts(train))
     all_words, distinct, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0))).first()
-    ends = train.count()
+    top = counts.orderBy(F.desc("c"), "w").limit(head).toArrow()  # `head` rows at most
+    words, c = top["w"].to_pylist(), np.asarray(top["c"], np.float64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    blocks = text_blocks(rows, share(Head(words)))
+    del words, top
+    n_blocks, ends, parts = blocks.agg(F.count("*"), F.coalesce(F.sum(F.expr("size(filter(train, x -> x))")), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
+    tasks = (parts >> _BLOCK_BITS) + 1
     total, kinds = all_words + ends, distinct + (ends > 0)
     base_over = np.log10(total + kinds + 1)
-    top = counts.orderBy(F.desc("c"), "h").limit(head).toArrow()  # `head` rows at most
-    hashes, c = np.asarray(top["h"]), np.asarray(top["c"], np.float64)
     rare = all_words - int(c.sum())
     unknown = (once - int((c == 1).sum()) + 1) / (rare + 2)
 
-    finder_of = spark.sparkContext.broadcast(Head(hashes))
-    marked = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", (~held).alias("train"))
-    if sample is None:
-        marked = marked.withColumn("learn", F.col("train"))
-    else:
-        marked = marked.join(F.broadcast(bounded(train.select("doc_id"), sample, 4).withColumn("_in", F.lit(True))), "doc_id", "left").select("doc_id", "key", "text", "train", (F.col("train") & F.col("_in").isNotNull()).alias("learn"))
-    blocks = text_blocks(marked, finder_of)
+    size = max(1, len(hashes)) * ANCHORS
 
     def add_near(block: Block, into: np.ndarray) -> None:
-        mixer.near_words(block.ranks[block.learn], block.text[block.learn], into)
+        mixer.near_words(block.ranks[block.train], block.text()[block.train], size // ANCHORS, ANCHORS, into)
 
-    near = summed(blocks, (len(hashes), ANCHORS), add_near, np.zeros((len(hashes), ANCHORS), np.float32))
-    symbols = np.append(mixer.symbol_table(mixer.word_groups(near)), mixer.END)
+    near = summed(blocks, tasks, size, add_near, np.zeros(size, np.float32))
+    groups = mixer.word_groups(near.reshape(-1, ANCHORS)[: len(hashes)])
     del near
+    table = share((mixer.symbol_table(groups), *mixer.symbol_groups(groups)))
+    symbols = table.value[0]
+
+    def add_symbols(block: Block, into: np.ndarray) -> None:
+        s = table.value[0][block.ranks]
+        mixer.count(s[block.train], mixer.contexts(s, block.since, *table.value[1:])[:, block.train], into)
+
+    model = mixer.Mixer(summed(blocks, tasks, mixer.SLOTS, add_symbols, np.zeros(mixer.SLOTS, np.int64)))
+    coded = with_codes(blocks, share(np.append(hashes, np.array([0, 1], np.uint64))), int(total))
+    tasks = spark.sparkContext.defaultParallelism if not n_blocks else max(1, coded.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] + 1)
+    model = learned(coded, tasks, model, table)
+
     mass = np.bincount(symbols[: len(c)], weights=c, minlength=mixer.SYMBOLS)
     inside = np.append(np.log10(c / mass[symbols[: len(c)]]), [0.0, 0.0])
     base = np.append(np.log10(c + 1) - base_over, [0.0, np.log10(ends + 1) - base_over])
-    table = spark.sparkContext.broadcast((symbols, hashes))
-
-    def add_bits(block: Block, into: np.ndarray) -> None:
-        mixer.count(block.ranks[block.train], table.value[0][block.ranks[block.train]], block.first[block.train], into)
-
-    counts_of = summed(blocks, (2, mixer.SLOTS), add_bits, np.zeros((2, mixer.SLOTS), np.int64))
-    blocks = far_counts(blocks, table, int(total))
-    model = learned(blocks, mixer.Mixer(counts_of), table)
-    parts = spark.sparkContext.broadcast((model, inside, base))
+    fixed = share((model, inside, base))
+    shape = "uid long, doc_id long, n_tokens long, n_rare long, mixed double, base double, bytes long, rare array<binary>, hit array<boolean>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (model, inside, base), (symbols, hashes) = parts.value, table.value
-        for block, far in _with_far(batches, symbols, hashes):
-            ranks, starts = block.ranks, block.starts
-            got = np.add.reduceat(model.log10(ranks, symbols[ranks], block.first, far) + inside[ranks], starts)
-            plain = np.add.reduceat(base[ranks], starts)
-            n_rare = np.add.reduceat((ranks == len(hashes)).astype(np.int64), starts)
-            rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)), pa.int32()), pa.array(block.rare))
-            yield pa.RecordBatch.from_arrays([block.ids, block.keys, pa.array(block.sizes, pa.int64()), pa.array(n_rare), pa.array(got), pa.array(plain), rare, block.bytes], ["doc_id", "key", "n_tokens", "n_rare", "mixed", "base", "rare", "bytes"])
-
-    scored = checkpoint(blocks.mapInArrow(run, "doc_id long, key long, n_tokens long, n_rare long, mixed double, base double, rare array<bigint>, bytes long"))
-    words = scored.select("key", F.explode("rare").alias("h")).join(counts, "h", "left")
-    cost = F.when(F.col("c").isNull(), float(np.log10(unknown))).otherwise(F.log10("c") + float(np.log10(max(1e-9, 1 - unknown)) - np.log10(max(1, rare))))
-    rares = words.groupBy("key").agg(F.count("c").alias("r_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - float(base_over)).alias("r_base"), F.sum(cost).alias("r_cost"))
-    copies = scored.groupBy("key").agg(F.count("*").alias("copies"))
-    rares = copies.join(rares, "key", "left").select("key", *[F.coalesce(F.col(x) / F.col("copies"), F.lit(0.0)).alias(x) for x in ("r_known", "r_base", "r_cost")])
-    out = scored.drop("rare").join(rares, "key")
-    known = F.col("n_tokens") - F.col("n_rare") - (0 if ends else 1) + F.round("r_known").cast("long")
+        model, inside, base = fixed.value
+        tail = len(inside) - 2
+        for block, symbols, places, code in _coded(batches, *table.value):
+            is_rare, hit = block.ranks == tail, code >= mixer.HIT
+            plain = model.log10(symbols, places) + inside[block.ranks]
+            guess = model.guess_chance(code, block.since)
+            with np.errstate(divide="ignore"):
+                got = np.where(hit, np.where(is_rare, np.log10(guess), np.log10(guess + (1 - guess) * 10**plain)), plain + np.log10(1 - guess))
+            sums = [np.add.reduceat(x, block.starts) for x in (is_rare.astype(np.int64), got, base[block.ranks])]
+            at = pa.array(np.append(0, np.cumsum(sums[0])), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, x) for x in (pa.array(block.rare_words, pa.binary()), pa.array(hit[is_rare]))]
+            yield _batch(shape, pa.array((block.number << _BLOCK_BITS) + np.arange(len(block.sizes))), block.ids, pa.array(block.sizes, pa.int64()), *map(pa.array, sums), block.bytes, *lists)
+
+    scored = checkpoint(coded.mapInArrow(run, shape))
+    each = scored.select("uid", F.explode(F.arrays_zip("rare", "hit")).alias("x")).select("uid", F.col("x.rare").alias("w"), F.col("x.hit").alias("hit")).join(counts, "w", "left")
+    cost = F.when(F.col("hit"), 0.0).when(F.col("c").isNull(), float(np.log10(unknown))).otherwise(F.log10("c") + float(np.log10(max(1e-9, 1 - unknown)) - np.log10(max(1, rare))))
+    rares = each.groupBy("uid").agg(F.count("c").alias("r_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - float(base_over)).alias("r_base"), F.sum(cost).alias("r_cost"))
+    out = scored.drop("rare", "hit").join(rares, "uid", "left").fillna(0, ["r_known", "r_base", "r_cost"])
+    known = F.col("n_tokens") - F.col("n_rare") - (0 if ends else 1) + F.col("r_known")
     final = F.col("mixed") + F.col("r_cost")
-    held = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("r_base")).alias("base_score"), final.alias("score"), (-final * float(np.log2(10)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"))

@@ -1,12 +1,16 @@
-"""Online logistic context mixing over word symbols, in numpy.
+"""Online logistic context mixing over words, in numpy.
 
-A token is coded as a symbol of BITS bits and then as one of its symbol's words. Frequent words are symbols of their own;
+A token is first guessed: where its last two words were followed by some word in training, one bit says whether that
+word follows again. The guess's counts and the outcomes of the guesses before it are the contexts of this bit. Other
+tokens are coded as a symbol of BITS bits and then as one of its symbol's words. Frequent words are symbols of their own;
 other head words share symbols by frequency and by group (words that occur among the same frequent words); two symbols
-are for words outside the head and for the end. Each bit of a symbol is predicted by several contexts with counts of zeros
-and ones. The two near ones (none, the last symbol) have a slot each in a small table. The FAR others (two and three
-symbols, the last word, the usual symbols) are as many as the corpus has; they are keyed by 56 bits of a hash, their
-counts are kept outside, and the caller passes in what it found for each token. The predictions' logits are summed with
-weights that a gate selects, and the sum is refined by an adaptive table of (context, quantised probability).
+are for words outside the head and for the end. A symbol's bits are predicted by contexts of symbols, classes and groups,
+each of which has a place of its own: their number is fixed by these alphabets, so that nothing collides as texts grow.
+What grows with the corpus, the pairs of words and what follows them, is kept outside; a token's `code` says what was
+found there.
+
+For each bit the predictors' logits are summed with weights that a gate selects, and the sum is refined by an adaptive
+table. Weights, refinement and the guess's counts are learned online, step by step; a bit's own count is taken off first.
 """
 
 from __future__ import annotations
@@ -19,36 +23,56 @@ BITS = 8
 SYMBOLS = 1 << BITS
 OWN, GROUPS, RANKS = 126, 8, 16
 TAIL, END = SYMBOLS - 2, SYMBOLS - 1
-#: Slots of each near context's table, one after another.
-TABLES = (SYMBOLS, SYMBOLS * SYMBOLS)
-FAR = 4
-OFFSETS = np.concatenate(([0], np.cumsum(TABLES)))
+#: Classes of symbols: by group and kind, the tail and the end; words that the usual group is taken from.
+CLASSES, WINDOW = 32, 16
+#: Values of each context of a symbol's bits: none, the last symbol, the usual group and last class, the last two classes.
+CONTEXTS = (1, SYMBOLS, (GROUPS + 1) * CLASSES, CLASSES * CLASSES)
+OFFSETS = SYMBOLS * np.concatenate(([0], np.cumsum(CONTEXTS)))
 SLOTS = int(OFFSETS[-1])
-INPUTS = len(TABLES) + FAR + 1
-GATES, STEPS = BITS * 12, 33
+INPUTS = len(CONTEXTS) + 1
+SURE, STEPS = 4, 33
+#: A guess's code: 0 for none, else 1 + 5 * (how often the guessed word followed) + (how often another), quantised; and
+#: whether it is right. Histories are the outcomes (none, wrong, right) of the last three.
+GUESSES, HIT, HISTORIES = 26, 128, 27
+#: Tokens that weights are moved by at once.
+STEP = 1 << 14
 
 
 def symbol_table(groups: np.ndarray) -> np.ndarray:
-    """Symbol of each head word, by rank; the entry after the last is for words outside the head."""
+    """Symbol of each head word, by rank; two entries after the last are for words outside the head and for the end."""
     n = len(groups)
     rank = np.arange(n)
     step = np.clip((2 * np.log2(np.maximum(rank, OWN) / OWN)).astype(int), 0, RANKS - 1)
     shared = np.minimum(OWN + groups * RANKS + step, TAIL - 1)
-    return np.append(np.where(rank < OWN, rank, shared), TAIL)
+    return np.append(np.where(rank < OWN, rank, shared), [TAIL, END])
+
+
+def symbol_groups(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, class) of each symbol; GROUPS stands for no group."""
+    s = np.arange(SYMBOLS)
+    group = np.minimum((s - OWN) // RANKS, GROUPS - 1)
+    own = groups[:OWN]
+    group[: len(own)] = own
+    kind = np.where(s < 16, 0, np.where(s < OWN, 1, 2))
+    classes = group * 3 + kind
+    group[TAIL:], classes[TAIL:] = GROUPS, (3 * GROUPS, 3 * GROUPS + 1)
+    return group, classes
 
 
-def near_words(ranks: np.ndarray, text: np.ndarray, into: np.ndarray, reach: int = 6) -> None:
-    """Add to `into` (words, anchors) how often each word has each anchor, a most frequent word, within reach.
+def near_words(ranks: np.ndarray, text: np.ndarray, words: int, anchors: int, into: np.ndarray, reach: int = 3) -> None:
+    """Add to `into` (words * anchors) how often each word has each anchor, a most frequent word, within reach.
 
     `text` tells the texts of the tokens apart; ranks beyond the table (words outside the head, ends) are passed over.
     """
-    words, anchors = into.shape
-    flat = into.reshape(-1)
+    at = np.flatnonzero(ranks < anchors)
     for d in range(1, reach + 1):
-        same = text[d:] == text[:-d]
-        for a, b in ((ranks[:-d], ranks[d:]), (ranks[d:], ranks[:-d])):
-            hit = same & (b < anchors) & (a < words)
-            np.add.at(flat, a[hit].astype(np.int64) * anchors + b[hit], 1)
+        for other in (at - d, at + d):
+            inside = (other >= 0) & (other < len(ranks))
+            a, b = at[inside], other[inside]
+            a, b = ranks[a[text[a] == text[b]]], ranks[b[text[a] == text[b]]]
+            cell = (b * anchors + a)[b < words]
+            if len(cell):
+                np.add.at(into, cell, 1)
 
 
 def word_groups(near: np.ndarray, rounds: int = 12) -> np.ndarray:
@@ -79,17 +103,18 @@ def word_groups(near: np.ndarray, rounds: int = 12) -> np.ndarray:
     return out
 
 
-def _before(x: np.ndarray, d: int, since: np.ndarray) -> np.ndarray:
-    out = np.full(len(x), END, x.dtype)
+def _before(x: np.ndarray, d: int, since: np.ndarray, none: int) -> np.ndarray:
+    out = np.full(len(x), none, x.dtype)
     if len(x) > d:
         out[d:] = x[:-d]
-    out[since < d] = END
+    out[since < d] = none
     return out
 
 
-def _since(doc_start: np.ndarray) -> np.ndarray:
-    at = np.arange(len(doc_start))
-    return at - np.maximum.accumulate(np.where(doc_start, at, 0))
+def since_start(first: np.ndarray) -> np.ndarray:
+    """How many tokens of its text are before each token; `first` marks each text's first."""
+    at = np.arange(len(first))
+    return at - np.maximum.accumulate(np.where(first, at, 0))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -98,131 +123,206 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def pairs(words: np.ndarray, symbols: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
-    """(FAR, tokens): each far context's key in the upper 56 bits and the token's symbol in the lower 8.
+def word_contexts(words: np.ndarray, since: np.ndarray) -> np.ndarray:
+    """Hash of the two words before each token; a text starts after two words that are none."""
+    one, two = (_before(words, d, since, 0) for d in (1, 2))
+    return _mixed(one ^ _mixed(two ^ np.uint64(0x9E3779B97F4A7C15)))
+
+
+def guess_codes(pairs: np.ndarray, counts: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """The code of each asked pair (context in the upper 40 bits, follower in the lower 24).
 
-    `words` are hashes of the tokens' words; `doc_start` marks each text's first token, before which there is no context.
+    `counts` says how many training tokens of one asker are such a pair, `train` whether it asks for a training token:
+    then one count, the token's own, is taken off. The guess is the most frequent follower, of equals the smallest.
     """
-    since = _since(doc_start)
-    last = [_before(symbols.astype(np.uint64), d, since) for d in (1, 2, 3, 4)]
-    two = (last[0] << np.uint64(8)) + last[1]
-    three = (two << np.uint64(8)) + last[2]
-    usual = np.sort(np.stack(last), axis=0)
-    usual = (usual[0] << np.uint64(8)) + usual[1]
-    found = [two, three, _before(words.astype(np.uint64), 1, since), usual]
-    keys = [_mixed(x ^ _mixed(np.full(1, k + 1, np.uint64))) for k, x in enumerate(found)]
-    return (np.stack(keys) & ~np.uint64(SYMBOLS - 1)) + symbols.astype(np.uint64)
-
-
-def paths(asked: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(BITS + 1, pairs): how many of the counted tokens have each pair's context and share 0, 1, ... BITS bits of its symbol."""
-    order = np.argsort(asked, kind="stable")
-    p, c = asked[order], counts[order].astype(np.int64)
-    out = np.empty((BITS + 1, len(p)), np.float32)
-    for d in range(BITS + 1):
-        k = p >> np.uint64(BITS - d)
-        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        out[d, order] = np.repeat(np.add.reduceat(c, starts), np.diff(np.append(starts, len(p))))
+    order = np.argsort(pairs, kind="stable")
+    p, c = pairs[order], np.where(train, counts, 0)[order].astype(np.int64)
+    new = np.append(True, p[1:] != p[:-1])
+    starts = np.flatnonzero(new)
+    n = np.add.reduceat(c, starts)  # of each distinct pair
+    context = p[starts] >> np.uint64(24)
+    opens = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    size = np.diff(np.append(opens, len(starts)))
+    total, best = np.add.reduceat(n, opens), np.maximum.reduceat(n, opens)
+    of = np.repeat(np.arange(len(opens)), size)
+    is_best = n == best[of]
+    place = np.arange(len(starts))
+    top = np.minimum.reduceat(np.where(is_best, place, len(starts)), opens)  # the first of the most frequent
+    rest = n.copy()
+    rest[top] = -1
+    second = np.maximum.reduceat(rest, opens)
+    after = np.minimum.reduceat(np.where(rest == second[of], place, len(starts)), opens)
+    # Each asked pair, with its own count taken off.
+    which = np.cumsum(new) - 1
+    own = train[order].astype(np.int64)
+    ctx = of[which]
+    on_top = which == top[ctx]
+    mine = best[ctx] - own
+    loses = on_top & (own > 0) & ((mine < second[ctx]) | ((mine == second[ctx]) & (after[ctx] < top[ctx])))
+    right = on_top & ~loses
+    often = np.where(on_top, np.where(loses, second[ctx], mine), best[ctx])
+    all_of = total[ctx] - own
+    code = np.where(all_of > 0, 1 + 5 * _quantised(often) + np.minimum(4, _quantised(all_of - often + 1)) + HIT * (right & (often > 0)), 0)
+    out = np.empty(len(pairs), np.uint8)
+    out[order] = code
     return out
 
 
-def walk(symbols: np.ndarray, doc_start: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each bit: (its depth, slots of the near contexts, the bit, the gate's context) for every token."""
-    last = _before(symbols.astype(np.int64), 1, _since(doc_start))
-    node = np.ones(len(symbols), np.int64)
-    for depth in range(BITS):
-        slots = np.stack([node, last * SYMBOLS + node]) + OFFSETS[:-1, None]
-        bit = (symbols.astype(np.int64) >> (BITS - 1 - depth)) & 1
-        yield depth, slots, bit, last
-        node = node * 2 + bit
+def _quantised(n: np.ndarray) -> np.ndarray:
+    """0 for 1, then by powers of two up to 4."""
+    return np.minimum(4, np.ceil(np.log2(np.maximum(1, n)))).astype(np.int64)
 
 
-def count(ranks: np.ndarray, symbols: np.ndarray, doc_start: np.ndarray, into: np.ndarray) -> None:
-    """Add the tokens' bits to the near contexts' counts (2, SLOTS), which must be one block of memory."""
-    flat = into.reshape(-1)
-    for _, slots, bit, _ in walk(symbols, doc_start):
-        np.add.at(flat, (slots + bit * SLOTS).ravel(), 1)
+def contexts(symbols: np.ndarray, since: np.ndarray, group_of: np.ndarray, class_of: np.ndarray) -> np.ndarray:
+    """(contexts, tokens): the value of each context, as the place of its first slot."""
+    n = len(symbols)
+    last = _before(symbols, 1, since, END)
+    one, two = class_of[last], class_of[_before(symbols, 2, since, END)]
+    held = np.append(np.left_shift(np.uint64(1), (8 * np.arange(GROUPS)).astype(np.uint64)), np.uint64(0))
+    sums = np.append(np.uint64(0), np.cumsum(held[group_of[symbols]]))  # eight counts in the bytes of a number
+    at = np.arange(n)
+    window = sums[at] - sums[at - np.minimum(since, WINDOW)]
+    usual = np.where(window == 0, GROUPS, window.view(np.uint8).reshape(n, GROUPS).argmax(axis=1))
+    out = np.stack([np.zeros(n, np.int32), last, usual * CLASSES + one, one * CLASSES + two]).astype(np.int32)
+    return out * SYMBOLS + OFFSETS[:-1, None].astype(np.int32)
 
 
-def _logit(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
+def count(symbols: np.ndarray, places: np.ndarray, into: np.ndarray) -> None:
+    """Add to `into` (SLOTS) how often each context has each symbol."""
+    for k, row in enumerate(places):
+        into[OFFSETS[k] : OFFSETS[k + 1]] += np.bincount(row + symbols - OFFSETS[k], minlength=OFFSETS[k + 1] - OFFSETS[k]).astype(into.dtype)
 
 
-def _sure(n: np.ndarray) -> np.ndarray:
-    """How much a slot has seen: nothing much, some, a lot."""
-    return np.minimum(2, np.log2(1 + n) // 4).astype(np.int8)
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
+def _steps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.clip(z * 2 + STEPS // 2, 0, STEPS - 1.001)
+    low = at.astype(np.int32)
+    return low, at - low
 
 
 class Mixer:
-    """Trained tables, weights and refinement. Learn first, then `freeze` for scoring."""
+    """Predictors' tables, and the parameters that are learned: weights, refinement, and the guess's."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.float32)
-        self.weights = np.full((GATES, INPUTS), 0.3, np.float32)
-        self.weights[:, -1] = 0
-        self.refined = np.tile(1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2.0)), (SYMBOLS, 1))
-
-    def copy(self) -> Mixer:
-        """A model of the same counts whose parameters are its own."""
-        other = Mixer.__new__(Mixer)
-        other.counts, other.weights, other.refined = self.counts, self.weights.copy(), self.refined.copy()
+        """`counts` (SLOTS): how often each context has each symbol."""
+        by_symbol = counts.reshape(-1, SYMBOLS).astype(np.float64)
+        zeros, ones = np.zeros_like(by_symbol), np.zeros_like(by_symbol)
+        for depth in range(BITS):
+            half = by_symbol.reshape(len(by_symbol), 1 << depth, 2, -1).sum(axis=3)
+            zeros[:, 1 << depth : 2 << depth], ones[:, 1 << depth : 2 << depth] = half[:, :, 0], half[:, :, 1]
+        zeros, ones = zeros.ravel(), ones.ravel()
+        logit = lambda a, b: np.log((np.maximum(a, 0) + 0.4) / (np.maximum(b, 0) + 0.4)).astype(np.float32)
+        self.plain = logit(ones, zeros)
+        self.without = np.concatenate((logit(ones, zeros - 1), logit(ones - 1, zeros)))
+        self.sure = np.minimum(SURE - 1, np.log2(1 + zeros + ones) // 3).astype(np.int32)
+        self.weights = np.full((INPUTS, BITS * SURE), 0.3, np.float32)
+        self.weights[-1] = 0
+        self.refined = np.tile(_sigmoid((np.arange(STEPS) - STEPS // 2) / 2.0), (SYMBOLS, 1))
+        self.seen = np.full((2, GUESSES * (HISTORIES + 1) + HISTORIES), 0.5)
+        self.guess_weights = np.tile(np.array([0.4, 0.4, 0.2, 0.0]), (GUESSES, 1))
+
+    def parameters(self) -> np.ndarray:
+        return np.concatenate([x.ravel().astype(np.float64) for x in (self.weights, self.refined, self.seen, self.guess_weights)])
+
+    def with_parameters(self, flat: np.ndarray) -> Mixer:
+        """A model of the same tables with these parameters as its own."""
+        other, at = Mixer.__new__(Mixer), 0
+        other.plain, other.without, other.sure = self.plain, self.without, self.sure
+        for name in ("weights", "refined", "seen", "guess_weights"):
+            own = getattr(self, name)
+            setattr(other, name, flat[at : at + own.size].reshape(own.shape).astype(own.dtype))
+            at += own.size
         return other
 
-    def freeze(self) -> Mixer:
-        """Nothing is learned any more."""
-        self.weights.flags.writeable = self.refined.flags.writeable = False
-        return self
-
-    def _bits(self, symbols: np.ndarray, doc_start: np.ndarray, far: np.ndarray | None, own: bool) -> Iterator[tuple]:
-        """For each bit: inputs, the bit, the refinement's context, the gate. `far`: the tokens' `paths` (BITS + 1, FAR,
-        tokens); without it the far contexts are new. `own`: the tokens are among those counted, so that a bit's own
-        count is taken off before it is predicted."""
-        near = len(TABLES)
-        for depth, slots, bit, context in walk(symbols, doc_start):
-            counts = np.zeros((2, INPUTS - 1, len(symbols)), np.float32)
-            counts[:, :near] = self.counts[:, slots]
-            if far is not None:
-                other = far[depth] - far[depth + 1]
-                counts[1, near:] = np.where(bit == 1, far[depth + 1], other)
-                counts[0, near:] = np.where(bit == 1, other, far[depth + 1])
-            if own:
-                counts[1] -= bit
-                counts[0] -= 1 - bit
-                np.maximum(counts, 0, out=counts)
-            x = np.full((INPUTS, len(symbols)), 0.3, np.float32)
-            x[:-1] = _logit(*counts)
-            two, three = (_sure(counts[0, k] + counts[1, k]).astype(np.int64) for k in (near, near + 1))
-            yield x, bit, context, depth * 12 + two * 3 + three
-
-    def _mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(sum(row * w[gate] for row, w in zip(x, self.weights.T.copy())), -12, 12)
-
-    def _steps(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.clip(z * 2 + STEPS // 2, 0, STEPS - 1.001)
-        low = at.astype(np.int64)
-        return low, at - low
-
-    def learn(self, ranks: np.ndarray, symbols: np.ndarray, doc_start: np.ndarray, rate: float, far: np.ndarray | None = None) -> None:
-        """One online step: move weights against the coding error and the refinement towards the bits."""
-        for x, bit, context, gate in self._bits(symbols, doc_start, far, True):
-            z = self._mix(x, gate)
-            error = (bit - 1 / (1 + np.exp(-z))).astype(np.float32)
-            seen = np.maximum(1, np.bincount(gate, minlength=GATES))
-            step = np.stack([np.bincount(gate, weights=error * row, minlength=GATES) for row in x], axis=1)
-            self.weights += (rate * step / np.sqrt(seen)[:, None] / 8).astype(np.float32)
-            low, part = self._steps(z)
-            flat = context * STEPS + np.where(part > 0.5, low + 1, low)
+    def _bits(self, symbols: np.ndarray, places: np.ndarray, own: bool) -> Iterator[tuple]:
+        """For each bit: the inputs, the bit, the gate, and the sum of the weighted inputs."""
+        for depth in range(BITS):
+            node = (symbols >> (BITS - depth)) + (1 << depth)
+            bit = (symbols >> (BITS - 1 - depth)) & 1
+            slots = places + node
+            gate = self.sure[slots[-1]] + depth * SURE
+            x = self.without[slots + bit * SLOTS] if own else self.plain[slots]
+            z = self.weights[-1][gate] * np.float32(0.3)
+            for row, w in zip(x, self.weights):
+                z += row * w[gate]
+            yield x, bit, gate, np.clip(z, -12, 12)
+
+    def _history(self, code: np.ndarray, since: np.ndarray) -> np.ndarray:
+        outcome = np.where(code == 0, 0, 1 + (code >= HIT)).astype(np.int64)
+        return sum(3**k * _before(outcome, k + 1, since, 0) for k in range(3))
+
+    def _guess(self, code: np.ndarray, history: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For codes that have a guess: the predictors' places, their logits with a constant, and the sum."""
+        kind = (code % HIT).astype(np.int64)
+        places = np.stack([kind, GUESSES + kind * HISTORIES + history, GUESSES * (HISTORIES + 1) + history])
+        x = np.append(np.log(self.seen[1][places] / self.seen[0][places]), np.full((1, len(code)), 0.3), axis=0)
+        return places, x, np.clip((x * self.guess_weights[kind].T).sum(axis=0), -9, 9)
+
+    def learn(self, symbols: np.ndarray, places: np.ndarray, code: np.ndarray, since: np.ndarray, keep: np.ndarray, rate: float = 0.05) -> None:
+        """Online steps over the tokens to `keep`: move weights against the coding error and the tables towards the bits."""
+        history = self._history(code, since)
+        for at in range(0, len(symbols), STEP):
+            some = np.flatnonzero(keep[at : at + STEP]) + at
+            if not len(some):
+                continue
+            guessed = some[code[some] > 0]
+            if len(guessed):
+                self._learn_guess(code[guessed], history[guessed], rate)
+            self._learn_bits(symbols[some], places[:, some], rate)
+
+    def _learn_guess(self, code: np.ndarray, history: np.ndarray, rate: float) -> None:
+        spots, x, z = self._guess(code, history)
+        hit, kind = code >= HIT, (code % HIT).astype(np.int64)
+        error = hit - _sigmoid(z)
+        n = np.maximum(1, np.bincount(kind, minlength=GUESSES))
+        for k in range(len(x)):
+            self.guess_weights[:, k] += rate * np.bincount(kind, weights=error * x[k], minlength=GUESSES) / np.sqrt(n) / 8
+        for row in spots:
+            self.seen[0] += np.bincount(row[~hit], minlength=self.seen.shape[1])
+            self.seen[1] += np.bincount(row[hit], minlength=self.seen.shape[1])
+
+    def _learn_bits(self, symbols: np.ndarray, places: np.ndarray, rate: float) -> None:
+        last = places[1] - int(OFFSETS[1]) >> BITS
+        for x, bit, gate, z in self._bits(symbols, places, True):
+            error = bit - _sigmoid(z)
+            n = np.maximum(1, np.bincount(gate, minlength=BITS * SURE))
+            by = rate / 8 / np.sqrt(n)
+            for k, row in enumerate((*x, np.float32(0.3))):
+                self.weights[k] += (by * np.bincount(gate, weights=error * row, minlength=BITS * SURE)).astype(np.float32)
+            low, part = _steps(z)
+            flat = last * STEPS + low + (part > 0.5)
             n = np.bincount(flat, minlength=SYMBOLS * STEPS).reshape(SYMBOLS, STEPS)
             ones = np.bincount(flat, weights=bit, minlength=SYMBOLS * STEPS).reshape(SYMBOLS, STEPS)
             self.refined += (ones - n * self.refined) / (n + 50)
 
-    def log10(self, ranks: np.ndarray, symbols: np.ndarray, doc_start: np.ndarray, far: np.ndarray | None = None) -> np.ndarray:
-        """log10 of each token's symbol's probability."""
-        out = np.zeros(len(symbols))
-        for x, bit, context, gate in self._bits(symbols, doc_start, far, False):
-            z = self._mix(x, gate)
-            low, part = self._steps(z)
-            fine = self.refined[context, low] * (1 - part) + self.refined[context, low + 1] * part
-            p = np.clip(0.5 / (1 + np.exp(-z)) + 0.5 * fine, 1e-6, 1 - 1e-6)
-            out += np.log10(np.where(bit == 1, p, 1 - p))
+    def guess_chance(self, code: np.ndarray, since: np.ndarray) -> np.ndarray:
+        """The probability that each token is the guessed word; 0 where there is no guess."""
+        out, some = np.zeros(len(code)), np.flatnonzero(code)
+        if len(some):
+            out[some] = _sigmoid(self._guess(code[some], self._history(code, since)[some])[2])
+        return out
+
+    def log10(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """log10 of each token's symbol's probability, without the guess."""
+        out = np.empty(len(symbols))
+        flat = self.refined.astype(np.float32).ravel()
+        for at in range(0, len(symbols), STEP):
+            s, p = symbols[at : at + STEP], places[:, at : at + STEP]
+            last = (p[1] - int(OFFSETS[1]) >> BITS) * STEPS
+            sums, chance = np.zeros(len(s)), None
+            for _, bit, _, z in self._bits(s, p, False):
+                low, part = _steps(z)
+                low += last
+                fine = flat[low] * (1 - part) + flat[low + 1] * part
+                one = np.clip(0.5 * _sigmoid(z) + 0.5 * fine, 1e-6, 1 - 1e-6)
+                right = np.where(bit == 1, one, 1 - one)
+                if chance is None:
+                    chance = right.astype(np.float64)
+                else:
+                    chance *= right
+            np.log10(chance, out=sums)  # eight factors of 1e-6 at least stay far above the least double
+            out[at : at + STEP] = sums
         return out
