@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,10 @@ from lodestone.llm._common import checkpoint, fold
 FOLDS, HELD_OUT = 7, 2
 ANCHORS = 32
 _FAN, _PART = 64, 1 << 16
-_HELD_WORDS, _BLOCK_TOKENS, _BUCKET_PAIRS = 400_000, 1 << 17, 1 << 21
+_HELD_WORDS, _BLOCK_TOKENS, _BUCKET_PAIRS, _CONTEXT_BITS = 400_000, 1 << 18, 1 << 21, 32
 #: A partition has fewer blocks, and a block fewer texts, than 2 to this power.
 _BLOCK_BITS = 18
-_BLOCKS = "block long, ids array<bigint>, train array<boolean>, sizes array<int>, bytes array<bigint>, ranks binary, rare binary"
+_BLOCKS = "block long, ids array<bigint>, train array<boolean>, sizes array<int>, bytes array<bigint>, words binary"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -86,11 +87,12 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 class Head:
-    """Ranks of the head words; `size` stands for any other word."""
+    """Numbers of words: a head word's rank, then `size` for the end, then hashes of all other words."""
 
     def __init__(self, words: list[bytes]):
         self.words, self.size = words, len(words)
         self._rank = dict(zip(words, range(self.size)))
+        self.others = (1 << mixer.WORD_BITS) - self.size - 1
 
     def __getstate__(self) -> list[bytes]:
         return self.words
@@ -98,8 +100,15 @@ class Head:
     def __setstate__(self, words: list[bytes]) -> None:
         self.__init__(words)
 
-    def ranks(self, words: list[bytes]) -> list[int | None]:
-        return list(map(self._rank.get, words))
+    def numbers(self, words: list[bytes | None]) -> tuple[np.ndarray, list[bytes]]:
+        """The words' numbers (None is an end) and the words that are not in the head."""
+        found = np.fromiter(map(self._rank.get, words, repeat(-1)), np.int32, len(words))
+        missed = np.flatnonzero(found < 0)
+        rare = [w for w in map(words.__getitem__, missed.tolist()) if w is not None]
+        ends = np.fromiter((words[i] is None for i in missed.tolist()), bool, len(missed))
+        found[missed[ends]] = self.size
+        found[missed[~ends]] = np.fromiter(map(xxhash.xxh32_intdigest, rare), np.int64, len(rare)) % self.others + self.size + 1
+        return found, rare
 
 
 class Block:
@@ -109,27 +118,28 @@ class Block:
         cell = lambda name: batch.column(name)[i]
         self.number, self.ids, self.bytes = cell("block").as_py(), cell("ids").values, cell("bytes").values
         self.sizes = np.asarray(cell("sizes").values)
-        self.ranks = restored(cell("ranks").as_py(), np.int32, int(self.sizes.sum()))
-        self.rare_words = pa.decompress(cell("rare").as_py()[8:], decompressed_size=int.from_bytes(cell("rare").as_py()[:8], "little"), codec="zstd", asbytes=True).split()
+        self.words = restored(cell("words").as_py(), np.int32, int(self.sizes.sum()))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        first = np.zeros(len(self.ranks), bool)
+        first = np.zeros(len(self.words), bool)
         first[self.starts] = True
         self.since = mixer.since_start(first)
-        self.trained = cell("train").values.to_numpy(zero_copy_only=False)
-        self.train = np.repeat(self.trained, self.sizes)
+        self.train = np.repeat(cell("train").values.to_numpy(zero_copy_only=False), self.sizes)
 
     def text(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 
-    def asked(self, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bucket (of 2^bits) and the pair of each token, and the order of both, training tokens first of equals."""
-        words = hashes[self.ranks]
-        rare = np.fromiter(map(xxhash.xxh64_intdigest, self.rare_words), np.uint64, len(self.rare_words))
-        words[self.ranks == len(hashes) - 2] = rare
-        context = mixer.word_contexts(words, self.since)
-        bucket = (context >> np.uint64(64 - bits)).astype(np.uint32)
-        pair = (context << np.uint64(bits)) & ~np.uint64(0xFFFFFF) | words >> np.uint64(40)
-        return bucket, pair, np.lexsort((~self.train, pair, bucket))
+    def ranks(self, size: int) -> np.ndarray:
+        """Ranks of head words; `size` stands for all other words, and one more for the end."""
+        return np.where(self.words < size, self.words, np.where(self.words == size, size + 1, size))
+
+    def asked(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's bucket (of 2^bits), its pair with a last bit for training tokens, and the order of both."""
+        context = mixer.word_contexts(self.words, self.since)
+        bucket = (context >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+        inside = (context << np.uint64(bits)) >> np.uint64(64 - _CONTEXT_BITS) << np.uint64(mixer.WORD_BITS + 1)
+        key = inside | (self.words.astype(np.uint64) << np.uint64(1)) | self.train
+        order = np.argsort(key)
+        return bucket, key, order[np.argsort(bucket[order], kind="stable")]
 
 
 def _opens(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -149,44 +159,40 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 
 
 def text_blocks(rows: DataFrame, head) -> DataFrame:
-    """The texts (doc_id, text, train) as blocks of ranks, written to the checkpoint folder."""
+    """The texts (doc_id, text, train) as blocks of numbers, with the words that are not in the head as `rare`, written
+    to the checkpoint folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, finder, made = TaskContext.get().partitionId() << _BLOCK_BITS, head.value, 0
-        end = finder.size + 1
-        ids, train, sizes, size, ranks, rare = [], [], [], [], [], []
+        ids, train, sizes, size, words = [], [], [], [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal made
-            joined = b" ".join(rare)
-            cells = [base + made, ids, train, sizes, size, squeezed(np.array(ranks, np.int32)), len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True)]
-            out = _batch(_BLOCKS, *(pa.array([x], t) for x, t in zip(cells, types)))
+            numbers, rare = finder.numbers(words)
+            out = _batch(_BLOCKS + ", rare", *(pa.array([x], t) for x, t in zip((base + made, ids, train, sizes, size, squeezed(numbers), rare), types)))
             made += 1
-            for x in (ids, train, sizes, size, ranks, rare):
+            for x in (ids, train, sizes, size, words):
                 x.clear()
             return out
 
         for b in batches:
             for doc_id, t, learn in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
                 raw = t.as_py()
-                words = words_of(raw)
-                found = finder.ranks(words)
-                if None in found:
-                    rare += [w for w, r in zip(words, found) if r is None]
-                    found = [finder.size if r is None else r for r in found]
-                ranks += found
-                ranks.append(end)
-                for x, v in ((ids, doc_id), (train, learn), (sizes, len(words) + 1), (size, len(raw))):
+                some = words_of(raw)
+                words += some
+                words.append(None)
+                for x, v in ((ids, doc_id), (train, learn), (sizes, len(some) + 1), (size, len(raw))):
                     x.append(v)
-                if len(ranks) >= _BLOCK_TOKENS:
+                if len(words) >= _BLOCK_TOKENS:
                     yield flush()
         if ids:
             yield flush()
 
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-    return checkpoint(rows.mapInArrow(run, _BLOCKS))
+    long, binary = pa.list_(pa.int64()), pa.binary()
+    types = [pa.int64(), long, pa.list_(pa.bool_()), pa.list_(pa.int32()), long, binary, pa.list_(binary)]
+    return checkpoint(rows.mapInArrow(run, _BLOCKS + ", rare array<binary>"))
 
 
 def _in_steps(rows: DataFrame, tasks: int, key: list[str], add, schema: str) -> DataFrame:
@@ -237,32 +243,33 @@ def summed(blocks: DataFrame, tasks: int, size: int, add, out: np.ndarray) -> np
     return out
 
 
-def with_codes(blocks: DataFrame, hashes, tokens: int) -> DataFrame:
-    """The blocks with `codes`: what every token's two words before it guess over all training texts (`mixer.guess_codes`).
+def with_codes(blocks: DataFrame, counts: DataFrame, tokens: int) -> DataFrame:
+    """The blocks with `codes`, what every token's two words before it guess over all training texts
+    (`mixer.guess_codes`), and with `times`, the count of each word that is not in the head.
 
     A block sends a distinct pair once, so that a very common one costs its bucket a row for each block.
     """
     bits = max(3, (tokens // _BUCKET_PAIRS).bit_length())
-    sent = "bucket long, block long, n long, pairs binary, counts binary, train binary"
+    sent = "bucket long, block long, n long, contexts binary, words binary, counts binary"
+    low = np.uint64((1 << mixer.WORD_BITS + 1) - 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks_of(batches):
-            bucket, pair, order = block.asked(hashes.value, bits)
-            starts = np.flatnonzero(_opens(order, bucket, pair, block.train))
-            count = np.minimum(np.diff(np.append(starts, len(order))), 0xFFFF_FFFF).astype(np.uint32)
-            some = order[starts]
-            bucket, pair, train = bucket[some], pair[some], block.train[some]
+            bucket, key, order = block.asked(bits)
+            starts = np.flatnonzero(_opens(order, bucket, key))
+            count = np.diff(np.append(starts, len(order))).astype(np.uint32)
+            bucket, key = bucket[order[starts]], key[order[starts]]
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            rows = [(int(bucket[a]), e - a, squeezed(np.diff(pair[a:e], prepend=np.uint64(0))), squeezed(count[a:e]), squeezed(train[a:e])) for a, e in zip(cuts.tolist(), np.append(cuts[1:], len(some)).tolist())]
+            rows = [(int(bucket[a]), e - a, squeezed(np.diff(key[a:e] >> np.uint64(mixer.WORD_BITS + 1), prepend=np.uint64(0))), squeezed((key[a:e] & low).astype(np.uint32)), squeezed(count[a:e])) for a, e in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist())]
             for k in range(0, len(rows), 1024):
-                b, n, p, c, t = zip(*rows[k : k + 1024])
-                yield _batch(sent, pa.array(b, pa.int64()), pa.array([block.number] * len(b), pa.int64()), pa.array(n, pa.int64()), pa.array(p, pa.binary()), pa.array(c, pa.binary()), pa.array(t, pa.binary()))
+                b, n, c, w, t = zip(*rows[k : k + 1024])
+                yield _batch(sent, pa.array(b, pa.int64()), pa.array([block.number] * len(b), pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (c, w, t)))
 
     def answer(pdf):
         n = pdf["n"].to_numpy()
-        pairs = np.concatenate([np.cumsum(restored(x, np.uint64, k), dtype=np.uint64) for x, k in zip(pdf["pairs"], n)])
-        counts, train = (np.concatenate([restored(x, t, k) for x, k in zip(pdf[c], n)]) for c, t in (("counts", np.uint32), ("train", bool)))
-        codes = mixer.guess_codes(pairs, counts, train)
+        contexts = np.concatenate([np.cumsum(restored(x, np.uint64, k), dtype=np.uint64) for x, k in zip(pdf["contexts"], n)])
+        words, counts = (np.concatenate([restored(x, np.uint32, k) for x, k in zip(pdf[c], n)]) for c in ("words", "counts"))
+        codes = mixer.guess_codes(contexts << np.uint64(mixer.WORD_BITS) | words >> np.uint32(1), counts, (words & np.uint32(1)) == 1)
         ends = np.cumsum(n)
         return pdf[["bucket", "block", "n"]].assign(codes=[squeezed(codes[e - k : e]) for k, e in zip(n, ends)])
 
@@ -271,26 +278,32 @@ def with_codes(blocks: DataFrame, hashes, tokens: int) -> DataFrame:
             codes = []
             for i in range(b.num_rows):
                 block = Block(b, i)
-                bucket, pair, order = block.asked(hashes.value, bits)
-                which = np.cumsum(_opens(order, bucket, pair, block.train)) - 1
+                bucket, key, order = block.asked(bits)
+                which = np.cumsum(_opens(order, bucket, key)) - 1
                 got = np.concatenate([np.zeros(0, np.uint8), *(restored(x["codes"], np.uint8, x["n"]) for x in b.column("found")[i].as_py())])
                 own = np.empty(len(order), np.uint8)
                 own[order] = got[which]
                 codes.append(squeezed(own))
             yield b.drop_columns(["found"]).append_column("codes", pa.array(codes, pa.binary()))
 
-    got = blocks.mapInArrow(ask, sent).groupBy("bucket").applyInPandas(answer, "bucket long, block long, n long, codes binary")
+    plain = blocks.drop("rare")
+    got = plain.mapInArrow(ask, sent).groupBy("bucket").applyInPandas(answer, "bucket long, block long, n long, codes binary")
     found = got.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "codes"))).alias("found"))  # in order of the bucket
-    return checkpoint(blocks.join(found, "block").mapInArrow(spread, _BLOCKS + ", codes binary"))
+    rare = blocks.select("block", F.posexplode("rare").alias("i", "w")).join(counts, "w", "left")
+    times = rare.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("times")).select("block", F.col("times.c").alias("times"))
+    joined = plain.join(found, "block").join(times, "block", "left")
+    return checkpoint(joined.select(*plain.columns, "times", "found").mapInArrow(spread, _BLOCKS + ", times array<bigint>, codes binary"))
 
 
 def _coded(batches: Iterator[pa.RecordBatch], symbols: np.ndarray, group_of: np.ndarray, class_of: np.ndarray) -> Iterator[tuple]:
-    """Each block, its symbols, its contexts and its codes."""
+    """Each block, its ranks, symbols, contexts and codes, and the counts of words that are not in the head (-1: none)."""
     for b in batches:
         for i in range(b.num_rows):
             block = Block(b, i)
-            s = symbols[block.ranks]
-            yield block, s, mixer.contexts(s, block.since, group_of, class_of), restored(b.column("codes")[i].as_py(), np.uint8, len(s))
+            ranks = block.ranks(len(symbols) - 2)
+            s, times = symbols.take(ranks), b.column("times")[i]
+            times = np.asarray(times.values.fill_null(-1)) if times.is_valid else np.zeros(0, np.int64)
+            yield block, ranks, s, mixer.contexts(s, block.since, group_of, class_of), restored(b.column("codes")[i].as_py(), np.uint8, len(s)), times
 
 
 def learned(blocks: DataFrame, tasks: int, model: mixer.Mixer, table) -> mixer.Mixer:
@@ -300,7 +313,7 @@ def learned(blocks: DataFrame, tasks: int, model: mixer.Mixer, table) -> mixer.M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = start.value.with_parameters(start.value.parameters()), 0
-        for block, symbols, places, codes in _coded(batches, *table.value):
+        for block, _, symbols, places, codes, _ in _coded(batches, *table.value):
             if block.train.any():
                 own.learn(symbols, places, codes, block.since, block.train)
                 n += int(block.train.sum())
@@ -327,11 +340,19 @@ def score(docs: DataFrame, head: int = 1 << 18) -> DataFrame:
 
     counts = checkpoint(word_counts(train))
     all_words, distinct, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0))).first()
-    top = counts.orderBy(F.desc("c"), "w").limit(head).toArrow()  # `head` rows at most
+    size_class = F.floor(F.log2("c") * 256)  # at most 16,384 classes of counts, so that only words of large ones are ordered
+    left, least = head, 0
+    for row in counts.groupBy(size_class.alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect():
+        least, left = row["k"], left - row["n"]
+        if left <= 0:
+            break
+    top = counts.where(size_class >= least).orderBy(F.desc("c"), "w").limit(head).toArrow()  # `head` rows at most
     words, c = top["w"].to_pylist(), np.asarray(top["c"], np.float64)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    blocks = text_blocks(rows, share(Head(words)))
-    del words, top
+    n_head = len(words)
+    finder = Head(words)
+    crowd = 1 + max(0, distinct - n_head) / finder.others  # words that share a number beyond the head
+    blocks = text_blocks(rows, share(finder))
+    del words, top, finder
     n_blocks, ends, parts = blocks.agg(F.count("*"), F.coalesce(F.sum(F.expr("size(filter(train, x -> x))")), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
     tasks = (parts >> _BLOCK_BITS) + 1
     total, kinds = all_words + ends, distinct + (ends > 0)
@@ -339,23 +360,23 @@ def score(docs: DataFrame, head: int = 1 << 18) -> DataFrame:
     rare = all_words - int(c.sum())
     unknown = (once - int((c == 1).sum()) + 1) / (rare + 2)
 
-    size = max(1, len(hashes)) * ANCHORS
+    size = max(1, n_head) * ANCHORS
 
     def add_near(block: Block, into: np.ndarray) -> None:
-        mixer.near_words(block.ranks[block.train], block.text()[block.train], size // ANCHORS, ANCHORS, into)
+        mixer.near_words(block.words[block.train], block.text()[block.train], n_head, min(ANCHORS, n_head), into)
 
     near = summed(blocks, tasks, size, add_near, np.zeros(size, np.float32))
-    groups = mixer.word_groups(near.reshape(-1, ANCHORS)[: len(hashes)])
+    groups = mixer.word_groups(near[: n_head * min(ANCHORS, n_head)].reshape(n_head, -1)) if n_head else np.zeros(0, np.int64)
     del near
     table = share((mixer.symbol_table(groups), *mixer.symbol_groups(groups)))
     symbols = table.value[0]
 
     def add_symbols(block: Block, into: np.ndarray) -> None:
-        s = table.value[0][block.ranks]
+        s = table.value[0][block.ranks(n_head)]
         mixer.count(s[block.train], mixer.contexts(s, block.since, *table.value[1:])[:, block.train], into)
 
     model = mixer.Mixer(summed(blocks, tasks, mixer.SLOTS, add_symbols, np.zeros(mixer.SLOTS, np.int64)))
-    coded = with_codes(blocks, share(np.append(hashes, np.array([0, 1], np.uint64))), int(total))
+    coded = with_codes(blocks, counts, int(total))
     tasks = spark.sparkContext.defaultParallelism if not n_blocks else max(1, coded.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] + 1)
     model = learned(coded, tasks, model, table)
 
@@ -363,27 +384,26 @@ def score(docs: DataFrame, head: int = 1 << 18) -> DataFrame:
     inside = np.append(np.log10(c / mass[symbols[: len(c)]]), [0.0, 0.0])
     base = np.append(np.log10(c + 1) - base_over, [0.0, np.log10(ends + 1) - base_over])
     fixed = share((model, inside, base))
-    shape = "uid long, doc_id long, n_tokens long, n_rare long, mixed double, base double, bytes long, rare array<binary>, hit array<boolean>"
+    new, old = float(np.log10(unknown)), float(np.log10(max(1e-9, 1 - unknown)) - np.log10(max(1, rare)))
+    shape = "doc_id long, n_tokens long, n_known long, base_score double, score double, bytes long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, inside, base = fixed.value
-        tail = len(inside) - 2
-        for block, symbols, places, code in _coded(batches, *table.value):
-            is_rare, hit = block.ranks == tail, code >= mixer.HIT
-            plain = model.log10(symbols, places) + inside[block.ranks]
+        for block, ranks, symbols, places, code, times in _coded(batches, *table.value):
+            is_rare, hit = ranks == n_head, code >= mixer.HIT
+            word, known = inside.take(ranks), np.where(ranks == n_head + 1, ends > 0, True)
+            word[is_rare], known[is_rare] = np.where(times < 0, new, np.log10(np.maximum(times, 1)) + old), times >= 0
+            plain = base.take(ranks)
+            plain[is_rare] = np.log10(np.maximum(times, 0) + 1) - base_over
+            word += model.log10(symbols, places)
             guess = model.guess_chance(code, block.since)
-            with np.errstate(divide="ignore"):
-                got = np.where(hit, np.where(is_rare, np.log10(guess), np.log10(guess + (1 - guess) * 10**plain)), plain + np.log10(1 - guess))
-            sums = [np.add.reduceat(x, block.starts) for x in (is_rare.astype(np.int64), got, base[block.ranks])]
-            at = pa.array(np.append(0, np.cumsum(sums[0])), pa.int32())
-            lists = [pa.ListArray.from_arrays(at, x) for x in (pa.array(block.rare_words, pa.binary()), pa.array(hit[is_rare]))]
-            yield _batch(shape, pa.array((block.number << _BLOCK_BITS) + np.arange(len(block.sizes))), block.ids, pa.array(block.sizes, pa.int64()), *map(pa.array, sums), block.bytes, *lists)
-
-    scored = checkpoint(coded.mapInArrow(run, shape))
-    each = scored.select("uid", F.explode(F.arrays_zip("rare", "hit")).alias("x")).select("uid", F.col("x.rare").alias("w"), F.col("x.hit").alias("hit")).join(counts, "w", "left")
-    cost = F.when(F.col("hit"), 0.0).when(F.col("c").isNull(), float(np.log10(unknown))).otherwise(F.log10("c") + float(np.log10(max(1e-9, 1 - unknown)) - np.log10(max(1, rare))))
-    rares = each.groupBy("uid").agg(F.count("c").alias("r_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - float(base_over)).alias("r_base"), F.sum(cost).alias("r_cost"))
-    out = scored.drop("rare", "hit").join(rares, "uid", "left").fillna(0, ["r_known", "r_base", "r_cost"])
-    known = F.col("n_tokens") - F.col("n_rare") - (0 if ends else 1) + F.col("r_known")
-    final = F.col("mixed") + F.col("r_cost")
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("r_base")).alias("base_score"), final.alias("score"), (-final * float(np.log2(10)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"))
+            got = word + np.log10(1 - guess)
+            at = np.flatnonzero(hit)
+            shared = np.where(is_rare[at], crowd, 1)
+            got[at] = np.log10(guess[at] / shared + (1 - guess[at]) * 10 ** word[at])
+            sums = [np.add.reduceat(x, block.starts) for x in (known.astype(np.int64), plain, got)]
+            yield _batch(shape, block.ids, pa.array(block.sizes, pa.int64()), *map(pa.array, sums), block.bytes)
+
+    out = coded.mapInArrow(run, shape)
+    columns = ["doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"]
+    return out.select(*columns, (-F.col("score") * float(np.log2(10)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"))

@@ -25,8 +25,8 @@ OWN, GROUPS, RANKS = 126, 8, 16
 TAIL, END = SYMBOLS - 2, SYMBOLS - 1
 #: Classes of symbols: by group and kind, the tail and the end; words that the usual group is taken from.
 CLASSES, WINDOW = 32, 16
-#: Values of each context of a symbol's bits: none, the last symbol, the usual group and last class, the last two classes.
-CONTEXTS = (1, SYMBOLS, (GROUPS + 1) * CLASSES, CLASSES * CLASSES)
+#: Values of each context of a symbol's bits: the last symbol, the usual group and last class, the last two classes.
+CONTEXTS = (SYMBOLS, (GROUPS + 1) * CLASSES, CLASSES * CLASSES)
 OFFSETS = SYMBOLS * np.concatenate(([0], np.cumsum(CONTEXTS)))
 SLOTS = int(OFFSETS[-1])
 INPUTS = len(CONTEXTS) + 1
@@ -34,6 +34,8 @@ SURE, STEPS = 4, 33
 #: A guess's code: 0 for none, else 1 + 5 * (how often the guessed word followed) + (how often another), quantised; and
 #: whether it is right. Histories are the outcomes (none, wrong, right) of the last three.
 GUESSES, HIT, HISTORIES = 26, 128, 27
+#: Bits of a word's number among the followers; beyond the head several words share one.
+WORD_BITS = 24
 #: Tokens that weights are moved by at once.
 STEP = 1 << 14
 
@@ -59,7 +61,7 @@ def symbol_groups(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, classes
 
 
-def near_words(ranks: np.ndarray, text: np.ndarray, words: int, anchors: int, into: np.ndarray, reach: int = 3) -> None:
+def near_words(ranks: np.ndarray, text: np.ndarray, words: int, anchors: int, into: np.ndarray, reach: int = 2) -> None:
     """Add to `into` (words * anchors) how often each word has each anchor, a most frequent word, within reach.
 
     `text` tells the texts of the tokens apart; ranks beyond the table (words outside the head, ends) are passed over.
@@ -69,10 +71,8 @@ def near_words(ranks: np.ndarray, text: np.ndarray, words: int, anchors: int, in
         for other in (at - d, at + d):
             inside = (other >= 0) & (other < len(ranks))
             a, b = at[inside], other[inside]
-            a, b = ranks[a[text[a] == text[b]]], ranks[b[text[a] == text[b]]]
-            cell = (b * anchors + a)[b < words]
-            if len(cell):
-                np.add.at(into, cell, 1)
+            same = (text[a] == text[b]) & (ranks[b] < words)
+            np.add.at(into, ranks[b[same]] * anchors + ranks[a[same]], 1)
 
 
 def word_groups(near: np.ndarray, rounds: int = 12) -> np.ndarray:
@@ -125,22 +125,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def word_contexts(words: np.ndarray, since: np.ndarray) -> np.ndarray:
     """Hash of the two words before each token; a text starts after two words that are none."""
-    one, two = (_before(words, d, since, 0) for d in (1, 2))
+    one, two = (_before(words.astype(np.uint64) + np.uint64(1), d, since, 0) for d in (1, 2))
     return _mixed(one ^ _mixed(two ^ np.uint64(0x9E3779B97F4A7C15)))
 
 
 def guess_codes(pairs: np.ndarray, counts: np.ndarray, train: np.ndarray) -> np.ndarray:
-    """The code of each asked pair (context in the upper 40 bits, follower in the lower 24).
+    """The code of each asked pair (context in the upper bits, follower in the lower WORD_BITS).
 
     `counts` says how many training tokens of one asker are such a pair, `train` whether it asks for a training token:
     then one count, the token's own, is taken off. The guess is the most frequent follower, of equals the smallest.
     """
-    order = np.argsort(pairs, kind="stable")
+    order = np.argsort(pairs)
     p, c = pairs[order], np.where(train, counts, 0)[order].astype(np.int64)
     new = np.append(True, p[1:] != p[:-1])
     starts = np.flatnonzero(new)
     n = np.add.reduceat(c, starts)  # of each distinct pair
-    context = p[starts] >> np.uint64(24)
+    context = p[starts] >> np.uint64(WORD_BITS)
     opens = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
     size = np.diff(np.append(opens, len(starts)))
     total, best = np.add.reduceat(n, opens), np.maximum.reduceat(n, opens)
@@ -179,12 +179,12 @@ def contexts(symbols: np.ndarray, since: np.ndarray, group_of: np.ndarray, class
     last = _before(symbols, 1, since, END)
     one, two = class_of[last], class_of[_before(symbols, 2, since, END)]
     held = np.append(np.left_shift(np.uint64(1), (8 * np.arange(GROUPS)).astype(np.uint64)), np.uint64(0))
-    sums = np.append(np.uint64(0), np.cumsum(held[group_of[symbols]]))  # eight counts in the bytes of a number
+    sums = np.append(np.uint64(0), np.cumsum(held.take(group_of.take(symbols))))  # eight counts in the bytes of a number
     at = np.arange(n)
     window = sums[at] - sums[at - np.minimum(since, WINDOW)]
     usual = np.where(window == 0, GROUPS, window.view(np.uint8).reshape(n, GROUPS).argmax(axis=1))
-    out = np.stack([np.zeros(n, np.int32), last, usual * CLASSES + one, one * CLASSES + two]).astype(np.int32)
-    return out * SYMBOLS + OFFSETS[:-1, None].astype(np.int32)
+    out = np.stack([last, usual * CLASSES + one, one * CLASSES + two])
+    return out * SYMBOLS + OFFSETS[:-1, None]
 
 
 def count(symbols: np.ndarray, places: np.ndarray, into: np.ndarray) -> None:
@@ -194,13 +194,16 @@ def count(symbols: np.ndarray, places: np.ndarray, into: np.ndarray) -> None:
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-z))
+    out = np.negative(z)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 def _steps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.clip(z * 2 + STEPS // 2, 0, STEPS - 1.001)
-    low = at.astype(np.int32)
-    return low, at - low
+    low = at.astype(np.int64)
+    return low, at - low.astype(at.dtype)
 
 
 class Mixer:
@@ -217,7 +220,7 @@ class Mixer:
         logit = lambda a, b: np.log((np.maximum(a, 0) + 0.4) / (np.maximum(b, 0) + 0.4)).astype(np.float32)
         self.plain = logit(ones, zeros)
         self.without = np.concatenate((logit(ones, zeros - 1), logit(ones - 1, zeros)))
-        self.sure = np.minimum(SURE - 1, np.log2(1 + zeros + ones) // 3).astype(np.int32)
+        self.sure = np.minimum(SURE - 1, np.log2(1 + zeros + ones) // 3).astype(np.int64)
         self.weights = np.full((INPUTS, BITS * SURE), 0.3, np.float32)
         self.weights[-1] = 0
         self.refined = np.tile(_sigmoid((np.arange(STEPS) - STEPS // 2) / 2.0), (SYMBOLS, 1))
@@ -238,17 +241,18 @@ class Mixer:
         return other
 
     def _bits(self, symbols: np.ndarray, places: np.ndarray, own: bool) -> Iterator[tuple]:
-        """For each bit: the inputs, the bit, the gate, and the sum of the weighted inputs."""
+        """For each bit: its depth, the inputs with a constant, the bit, how much is known (SURE levels), and the sum of
+        the weighted inputs."""
+        x = np.full((INPUTS, len(symbols)), 0.3, np.float32)
+        everyone, table = np.arange(len(symbols)), self.without if own else self.plain
         for depth in range(BITS):
             node = (symbols >> (BITS - depth)) + (1 << depth)
             bit = (symbols >> (BITS - 1 - depth)) & 1
             slots = places + node
-            gate = self.sure[slots[-1]] + depth * SURE
-            x = self.without[slots + bit * SLOTS] if own else self.plain[slots]
-            z = self.weights[-1][gate] * np.float32(0.3)
-            for row, w in zip(x, self.weights):
-                z += row * w[gate]
-            yield x, bit, gate, np.clip(z, -12, 12)
+            sure = self.sure.take(slots[-1])
+            table.take(slots + bit * SLOTS if own else slots, out=x[:-1], mode="clip")
+            z = (self.weights[:, depth * SURE : (depth + 1) * SURE].T @ x).ravel().take(sure * len(symbols) + everyone)
+            yield depth, x, bit, sure, np.clip(z, -12, 12, out=z)
 
     def _history(self, code: np.ndarray, since: np.ndarray) -> np.ndarray:
         outcome = np.where(code == 0, 0, 1 + (code >= HIT)).astype(np.int64)
@@ -285,17 +289,15 @@ class Mixer:
             self.seen[1] += np.bincount(row[hit], minlength=self.seen.shape[1])
 
     def _learn_bits(self, symbols: np.ndarray, places: np.ndarray, rate: float) -> None:
-        last = places[1] - int(OFFSETS[1]) >> BITS
-        for x, bit, gate, z in self._bits(symbols, places, True):
-            error = bit - _sigmoid(z)
-            n = np.maximum(1, np.bincount(gate, minlength=BITS * SURE))
-            by = rate / 8 / np.sqrt(n)
-            for k, row in enumerate((*x, np.float32(0.3))):
-                self.weights[k] += (by * np.bincount(gate, weights=error * row, minlength=BITS * SURE)).astype(np.float32)
+        last = places[0] >> BITS
+        for depth, x, bit, sure, z in self._bits(symbols, places, True):
+            each = (sure == np.arange(SURE)[:, None]).astype(np.float32)
+            by = rate / 8 / np.sqrt(np.maximum(1, each.sum(axis=1)))
+            self.weights[:, depth * SURE : (depth + 1) * SURE] += (x * (bit.astype(np.float32) - _sigmoid(z))) @ each.T * by
             low, part = _steps(z)
             flat = last * STEPS + low + (part > 0.5)
             n = np.bincount(flat, minlength=SYMBOLS * STEPS).reshape(SYMBOLS, STEPS)
-            ones = np.bincount(flat, weights=bit, minlength=SYMBOLS * STEPS).reshape(SYMBOLS, STEPS)
+            ones = np.bincount(flat[bit == 1], minlength=SYMBOLS * STEPS).reshape(SYMBOLS, STEPS)
             self.refined += (ones - n * self.refined) / (n + 50)
 
     def guess_chance(self, code: np.ndarray, since: np.ndarray) -> np.ndarray:
@@ -311,14 +313,15 @@ class Mixer:
         flat = self.refined.astype(np.float32).ravel()
         for at in range(0, len(symbols), STEP):
             s, p = symbols[at : at + STEP], places[:, at : at + STEP]
-            last = (p[1] - int(OFFSETS[1]) >> BITS) * STEPS
+            last = (p[0] >> BITS) * STEPS
             sums, chance = np.zeros(len(s)), None
-            for _, bit, _, z in self._bits(s, p, False):
+            for _, _, bit, _, z in self._bits(s, p, False):
                 low, part = _steps(z)
                 low += last
-                fine = flat[low] * (1 - part) + flat[low + 1] * part
+                fine = flat.take(low)
+                fine += (flat.take(low + 1) - fine) * part
                 one = np.clip(0.5 * _sigmoid(z) + 0.5 * fine, 1e-6, 1 - 1e-6)
-                right = np.where(bit == 1, one, 1 - one)
+                right = np.abs(one - (1 - bit).astype(np.float32))
                 if chance is None:
                     chance = right.astype(np.float64)
                 else:
