@@ -24,9 +24,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ FOLDS, HELD_OUT = 7, 2
 ANCHORS = 32
 _FAN, _PART = 64, 1 << 16
 _HELD_WORDS, _BLOCK_TOKENS, _BUCKET_PAIRS, _CONTEXT_BITS = 400_000, 1 << 18, 1 << 21, 32
+#: The parts that words are dealt into, at least and at most.
+_PARTS = (16, 4096)
 #: A partition has fewer blocks, and a block fewer texts, than 2 to this power.
 _BLOCK_BITS = 18
 _BLOCKS = "block long, ids array<bigint>, train array<boolean>, sizes array<int>, bytes array<bigint>, words binary"
@@ -64,16 +68,41 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), [c.split()[0] for c in schema.split(", ")])
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(w binary, c long): every word of the training texts; tasks count before the shuffle."""
+def packed(words: list[bytes]) -> bytes:
+    """Words in one compressed piece; sorted ones take little."""
+    joined = b" ".join(words)
+    return len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> list[bytes]:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split()
+
+
+def dealt(words: list[bytes], parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) of the words by a hash."""
+    part = np.fromiter(map(crc32, words), np.uint32, len(words)) % np.uint32(parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(order) else []
+    for places in np.split(order, cuts[1:]) if len(order) else ():
+        yield int(part[places[0]]), places
+
+
+def word_counts(train: DataFrame, parts: int, tasks: int) -> DataFrame:
+    """(part, task, words binary, counts binary): every word of the training texts and its count, dealt by a hash.
+
+    Tasks count before the shuffle; a part of all tasks is put together in steps.
+    """
+    schema = "part long, task long, words binary, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = _batch("w, c", pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64()))
+            words = sorted(held)
+            counts = np.fromiter(map(held.__getitem__, words), np.int64, len(words))
+            rows = [(p, packed([words[i] for i in at.tolist()]), squeezed(counts[at])) for p, at in dealt(words, parts)]
             held.clear()
-            return out
+            return _batch("part, words, counts", *(pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))))
 
         for b in batches:
             for t in b.column(0).cast(pa.binary()):
@@ -83,7 +112,81 @@ def word_counts(train: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return train.select("text").mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    def together(pdf):
+        words = [unpacked(x) for x in pdf["words"]]
+        counts = np.concatenate([restored(x, np.int64, len(w)) for x, w in zip(pdf["counts"], words)])
+        table = pa.table({"w": pa.array([w for some in words for w in some], pa.binary()), "c": counts})
+        table = table.group_by("w").aggregate([("c", "sum")]).sort_by("w")
+        return pdf.iloc[:1].assign(words=[packed(table["w"].to_pylist())], counts=[squeezed(table["c_sum"].to_numpy())])[["part", "task", "words", "counts"]]
+
+    return _in_steps(train.select("text").mapInArrow(run, "part long, words binary, counts binary"), tasks, ["part"], together, schema)
+
+
+def count_classes(counts: np.ndarray) -> np.ndarray:
+    """Classes of counts, at most 16,384, in their order; a count of one is alone in the first."""
+    return np.floor(np.log2(counts) * 256).astype(np.int64)
+
+
+def _counted(row) -> tuple[list[bytes], np.ndarray]:
+    words = unpacked(row["words"])
+    return words, restored(row["counts"], np.int64, len(words))
+
+
+def class_sizes(counts: DataFrame) -> DataFrame:
+    """(k, n, s): how many words each class of counts has, and the sum of their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                c = _counted(row)[1]
+                k, at, n = np.unique(count_classes(c), return_inverse=True, return_counts=True)
+                yield _batch("k, n, s", pa.array(k), pa.array(n), pa.array(np.bincount(at, weights=c).astype(np.int64)))
+
+    return counts.mapInArrow(run, "k long, n long, s long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def top_words(counts: DataFrame, least: int, head: int) -> DataFrame:
+    """(w, c): the `head` most frequent words, all of which are of class `least` or above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                words, c = _counted(row)
+                at = np.flatnonzero(count_classes(c) >= least)
+                yield _batch("w, c", pa.array([words[i] for i in at.tolist()], pa.binary()), pa.array(c[at]))
+
+    return counts.mapInArrow(run, "w binary, c long").orderBy(F.desc("c"), "w").limit(head)
+
+
+def tail_counts(blocks: DataFrame, counts: DataFrame, parts: int, asked: int) -> DataFrame:
+    """(block, part, n, times): the counts of each block's distinct words that are not in the head (0: none).
+
+    A part's words of all blocks meet its counts; where they are many the blocks are dealt into salted groups.
+    """
+    salts = max(1, asked // parts // _BUCKET_PAIRS)
+    sent = "part long, salt long, block long, words binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, rare in zip(b.column(0).to_pylist(), b.column(1)):
+                words = sorted(set(unpacked(rare.as_py())))
+                rows = [(p, block // _FAN % salts, block, packed([words[i] for i in at.tolist()])) for p, at in dealt(words, parts)]
+                if rows:
+                    yield _batch(sent, *(pa.array(x, t) for x, t in zip(zip(*rows), (*[pa.int64()] * 3, pa.binary()))))
+
+    def answer(asks, counted):
+        words = [unpacked(x) for x in asks["words"]]
+        known = [_counted(r) for r in counted.to_dict("records")]
+        place = pc.index_in(pa.array([w for some in words for w in some], pa.binary()), value_set=pa.array([w for some, _ in known for w in some], pa.binary()))
+        counts = np.append(np.concatenate([np.zeros(0, np.int64), *(c for _, c in known)]), 0)
+        got = counts[np.asarray(place.fill_null(len(counts) - 1))]
+        n = np.array([len(some) for some in words], np.int64)
+        ends = np.cumsum(n)
+        return asks[["block", "part"]].assign(n=n, times=[squeezed(got[e - k : e]) for k, e in zip(n, ends)])
+
+    asks = blocks.select("block", "rare").mapInArrow(ask, sent).groupBy("part", "salt")
+    copies = counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).groupBy("part", "salt")
+    return asks.cogroup(copies).applyInPandas(answer, "block long, part long, n long, times binary")
 
 
 class Head:
@@ -171,7 +274,7 @@ def text_blocks(rows: DataFrame, head) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal made
             numbers, rare = finder.numbers(words)
-            out = _batch(_BLOCKS + ", rare", *(pa.array([x], t) for x, t in zip((base + made, ids, train, sizes, size, squeezed(numbers), rare), types)))
+            out = _batch(_BLOCKS + ", rare", *(pa.array([x], t) for x, t in zip((base + made, ids, train, sizes, size, squeezed(numbers), packed(rare)), types)))
             made += 1
             for x in (ids, train, sizes, size, words):
                 x.clear()
@@ -191,8 +294,8 @@ def text_blocks(rows: DataFrame, head) -> DataFrame:
             yield flush()
 
     long, binary = pa.list_(pa.int64()), pa.binary()
-    types = [pa.int64(), long, pa.list_(pa.bool_()), pa.list_(pa.int32()), long, binary, pa.list_(binary)]
-    return checkpoint(rows.mapInArrow(run, _BLOCKS + ", rare array<binary>"))
+    types = [pa.int64(), long, pa.list_(pa.bool_()), pa.list_(pa.int32()), long, binary, binary]
+    return checkpoint(rows.mapInArrow(run, _BLOCKS + ", rare binary"))
 
 
 def _in_steps(rows: DataFrame, tasks: int, key: list[str], add, schema: str) -> DataFrame:
@@ -243,7 +346,7 @@ def summed(blocks: DataFrame, tasks: int, size: int, add, out: np.ndarray) -> np
     return out
 
 
-def with_codes(blocks: DataFrame, counts: DataFrame, tokens: int) -> DataFrame:
+def with_codes(blocks: DataFrame, tails: DataFrame, parts: int, tokens: int) -> DataFrame:
     """The blocks with `codes`, what every token's two words before it guess over all training texts
     (`mixer.guess_codes`), and with `times`, the count of each word that is not in the head.
 
@@ -275,7 +378,7 @@ def with_codes(blocks: DataFrame, counts: DataFrame, tokens: int) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = []
+            codes, times, n_rare = [], [], []
             for i in range(b.num_rows):
                 block = Block(b, i)
                 bucket, key, order = block.asked(bits)
@@ -284,25 +387,30 @@ def with_codes(blocks: DataFrame, counts: DataFrame, tokens: int) -> DataFrame:
                 own = np.empty(len(order), np.uint8)
                 own[order] = got[which]
                 codes.append(squeezed(own))
-            yield b.drop_columns(["found"]).append_column("codes", pa.array(codes, pa.binary()))
-
-    plain = blocks.drop("rare")
-    got = plain.mapInArrow(ask, sent).groupBy("bucket").applyInPandas(answer, "bucket long, block long, n long, codes binary")
+                rare = unpacked(b.column("rare")[i].as_py())
+                words, of = sorted(set(rare)), {}
+                answers = {x["part"]: restored(x["times"], np.int64, x["n"]) for x in b.column("tails")[i].as_py() or ()}
+                for p, at in dealt(words, parts):
+                    of |= zip((words[k] for k in at.tolist()), answers[p].tolist())
+                times.append(squeezed(np.fromiter(map(of.__getitem__, rare), np.int64, len(rare))))
+                n_rare.append(len(rare))
+            kept = b.drop_columns(["found", "tails", "rare"])
+            yield kept.append_column("n_rare", pa.array(n_rare, pa.int64())).append_column("times", pa.array(times, pa.binary())).append_column("codes", pa.array(codes, pa.binary()))
+
+    got = blocks.mapInArrow(ask, sent).groupBy("bucket").applyInPandas(answer, "bucket long, block long, n long, codes binary")
     found = got.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "codes"))).alias("found"))  # in order of the bucket
-    rare = blocks.select("block", F.posexplode("rare").alias("i", "w")).join(counts, "w", "left")
-    times = rare.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("times")).select("block", F.col("times.c").alias("times"))
-    joined = plain.join(found, "block").join(times, "block", "left")
-    return checkpoint(joined.select(*plain.columns, "times", "found").mapInArrow(spread, _BLOCKS + ", times array<bigint>, codes binary"))
+    tails = tails.groupBy("block").agg(F.collect_list(F.struct("part", "n", "times")).alias("tails"))
+    joined = blocks.join(found, "block").join(tails, "block", "left")
+    return checkpoint(joined.mapInArrow(spread, _BLOCKS + ", n_rare long, times binary, codes binary"))
 
 
 def _coded(batches: Iterator[pa.RecordBatch], symbols: np.ndarray, group_of: np.ndarray, class_of: np.ndarray) -> Iterator[tuple]:
-    """Each block, its ranks, symbols, contexts and codes, and the counts of words that are not in the head (-1: none)."""
+    """Each block, its ranks, symbols, contexts and codes, and the counts of words that are not in the head."""
     for b in batches:
         for i in range(b.num_rows):
             block = Block(b, i)
             ranks = block.ranks(len(symbols) - 2)
-            s, times = symbols.take(ranks), b.column("times")[i]
-            times = np.asarray(times.values.fill_null(-1)) if times.is_valid else np.zeros(0, np.int64)
+            s, times = symbols.take(ranks), restored(b.column("times")[i].as_py(), np.int64, b.column("n_rare")[i].as_py())
             yield block, ranks, s, mixer.contexts(s, block.since, group_of, class_of), restored(b.column("codes")[i].as_py(), np.uint8, len(s)), times
 
 
@@ -338,23 +446,24 @@ def score(docs: DataFrame, head: int = 1 << 18) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select("doc_id", "text", (~held).alias("train"))
     train = rows.where("train")
 
-    counts = checkpoint(word_counts(train))
-    all_words, distinct, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0))).first()
-    size_class = F.floor(F.log2("c") * 256)  # at most 16,384 classes of counts, so that only words of large ones are ordered
+    tasks = max(1, rows.rdd.getNumPartitions())
+    parts = min(_PARTS[1], max(_PARTS[0], tasks))
+    counts = checkpoint(word_counts(train, parts, tasks))
+    classes = {r["k"]: r for r in class_sizes(counts).collect()}  # 16,384 rows at most
+    all_words, distinct, once = sum(r["s"] for r in classes.values()), sum(r["n"] for r in classes.values()), classes[0]["n"] if 0 in classes else 0
     left, least = head, 0
-    for row in counts.groupBy(size_class.alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect():
-        least, left = row["k"], left - row["n"]
+    for least in sorted(classes, reverse=True):
+        left -= classes[least]["n"]
         if left <= 0:
             break
-    top = counts.where(size_class >= least).orderBy(F.desc("c"), "w").limit(head).toArrow()  # `head` rows at most
+    top = top_words(counts, least, head).toArrow()  # `head` rows at most
     words, c = top["w"].to_pylist(), np.asarray(top["c"], np.float64)
     n_head = len(words)
     finder = Head(words)
     crowd = 1 + max(0, distinct - n_head) / finder.others  # words that share a number beyond the head
     blocks = text_blocks(rows, share(finder))
     del words, top, finder
-    n_blocks, ends, parts = blocks.agg(F.count("*"), F.coalesce(F.sum(F.expr("size(filter(train, x -> x))")), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
-    tasks = (parts >> _BLOCK_BITS) + 1
+    ends = blocks.agg(F.coalesce(F.sum(F.expr("size(filter(train, x -> x))")), F.lit(0))).first()[0]
     total, kinds = all_words + ends, distinct + (ends > 0)
     base_over = np.log10(total + kinds + 1)
     rare = all_words - int(c.sum())
@@ -376,9 +485,8 @@ def score(docs: DataFrame, head: int = 1 << 18) -> DataFrame:
         mixer.count(s[block.train], mixer.contexts(s, block.since, *table.value[1:])[:, block.train], into)
 
     model = mixer.Mixer(summed(blocks, tasks, mixer.SLOTS, add_symbols, np.zeros(mixer.SLOTS, np.int64)))
-    coded = with_codes(blocks, counts, int(total))
-    tasks = spark.sparkContext.defaultParallelism if not n_blocks else max(1, coded.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] + 1)
-    model = learned(coded, tasks, model, table)
+    coded = with_codes(blocks, tail_counts(blocks, counts, parts, rare), parts, int(total))
+    model = learned(coded, max(1, coded.rdd.getNumPartitions()), model, table)
 
     mass = np.bincount(symbols[: len(c)], weights=c, minlength=mixer.SYMBOLS)
     inside = np.append(np.log10(c / mass[symbols[: len(c)]]), [0.0, 0.0])
@@ -392,9 +500,9 @@ def score(docs: DataFrame, head: int = 1 << 18) -> DataFrame:
         for block, ranks, symbols, places, code, times in _coded(batches, *table.value):
             is_rare, hit = ranks == n_head, code >= mixer.HIT
             word, known = inside.take(ranks), np.where(ranks == n_head + 1, ends > 0, True)
-            word[is_rare], known[is_rare] = np.where(times < 0, new, np.log10(np.maximum(times, 1)) + old), times >= 0
+            word[is_rare], known[is_rare] = np.where(times == 0, new, np.log10(np.maximum(times, 1)) + old), times > 0
             plain = base.take(ranks)
-            plain[is_rare] = np.log10(np.maximum(times, 0) + 1) - base_over
+            plain[is_rare] = np.log10(times + 1) - base_over
             word += model.log10(symbols, places)
             guess = model.guess_chance(code, block.since)
             got = word + np.log10(1 - guess)
