@@ -94,7 +94,7 @@ def test_links_between_near_copies(spark):
 
 
 def test_lm_counts_and_held_out(spark, sf, docs):
-    got = lm.score(spark.read.parquet(f"{sf}/documents.parquet"), head=500, sample=100).toPandas().set_index("doc_id").sort_index()
+    got = lm.score(spark.read.parquet(f"{sf}/documents.parquet"), head=500).toPandas().set_index("doc_id").sort_index()
     words = [re.findall(rb"[^\x20\x09-\x0d]+", t.encode().lower()) for t in docs.text]
     held = np.array([crc_mod(i, 7) == 2 for i in docs.doc_id])
     count = collections.Counter(w for ws, h in zip(words, held) if not h for w in ws)
@@ -113,15 +113,114 @@ def test_mixer_probabilities_sum_to_one():
     symbols = rng.integers(0, mixer.SYMBOLS, 3000)
     first = np.zeros(3000, bool)
     first[::100] = True
-    counts = np.zeros((2, mixer.SLOTS), np.int64)
-    mixer.count(symbols, symbols, first, counts)
+    since, (group_of, class_of) = mixer.since_start(first), mixer.symbol_groups(rng.integers(0, 8, 500))
+    places = mixer.contexts(symbols, since, group_of, class_of)
+    counts = np.zeros(mixer.SLOTS, np.int64)
+    mixer.count(symbols, places, counts)
+    assert counts.sum() == 3000 * len(mixer.CONTEXTS)
     model = mixer.Mixer(counts)
-    model.learn(symbols, symbols, first, 0.05)
-    model.freeze()
-    total = sum(10 ** model.log10(np.array([4, 9, s]), np.array([4, 9, s]), np.array([True, False, False]))[2] for s in range(mixer.SYMBOLS))
+    model.learn(symbols, places, np.zeros(3000, np.uint8), since, np.ones(3000, bool))
+    everything = np.arange(mixer.SYMBOLS)
+    total = (10 ** model.log10(everything, np.repeat(places[:, 1234:1235], mixer.SYMBOLS, axis=1))).sum()
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def _quantised(n):
+    return min(4, int(np.ceil(np.log2(max(1, n)))))
+
+
+def test_lm_score_equals_a_plain_walk(spark):
+    """Every token's probability again, one by one, from the texts and the learned parameters."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(vocabulary[int(i)] for i in np.minimum(299, rng.geometric(0.02, 60))) for _ in range(60)]
+    texts += [t + f" tail{k} new words" for k, t in enumerate(texts[:15])]
+    seen = {}
+    real, mix = lm.learned, mixer.word_groups
+
+    def spy(blocks, tasks, model, table):
+        seen["model"], seen["table"] = real(blocks, tasks, model, table), table.value
+        return seen["model"]
+
+    def groups(near, *rest):
+        seen["groups"] = mix(near, *rest)
+        return seen["groups"]
+
+    lm.learned, mixer.word_groups = spy, groups
+    try:
+        got = lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), head=200).toPandas().set_index("doc_id").score
+    finally:
+        lm.learned, mixer.word_groups = real, mix
+    model, (symbols, group_of, class_of) = seen["model"], seen["table"]
+    train = [crc_mod(i, 7) != 2 for i in range(len(texts))]
+    count = collections.Counter(w.encode() for t, h in zip(texts, train) if h for w in t.split())
+    head = lm.Head([w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:200]])
+    rank = {w: k for k, w in enumerate(head.words)}
+    rare = sum(c for w, c in count.items() if w not in rank)
+    unknown = (sum(c == 1 for w, c in count.items()) - sum(count[w] == 1 for w in rank) + 1) / (rare + 2)
+    mass = collections.Counter()
+    for w, k in rank.items():
+        mass[int(symbols[k])] += count[w]
+    walks, followers, tables = [], collections.defaultdict(collections.Counter), [collections.Counter() for _ in mixer.CONTEXTS]
+    for t, h in zip(texts, train):
+        words = [w.encode() for w in t.split()] + [None]
+        s = [int(symbols[rank[w]]) if w in rank else mixer.END if w is None else mixer.TAIL for w in words]
+        number = head.numbers(words)[0].tolist()
+        walk = []
+        for i, w in enumerate(words):
+            one, two = (s[i - d] if i >= d else mixer.END for d in (1, 2))
+            recent = collections.Counter(int(group_of[x]) for x in s[max(0, i - mixer.WINDOW) : i] if group_of[x] < mixer.GROUPS)
+            usual = min(recent, key=lambda g: (-recent[g], g)) if recent else mixer.GROUPS
+            context = (one, usual * mixer.CLASSES + int(class_of[one]), int(class_of[one]) * mixer.CLASSES + int(class_of[two]))
+            pair = tuple(number[i - d] if i >= d else -1 for d in (1, 2))
+            walk.append((w, s[i], number[i], context, pair))
+            if h:
+                followers[pair][number[i]] += 1
+                for table, x in zip(tables, context):
+                    table[x, s[i]] += 1
+        walks.append((walk, h))
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+    for doc_id, (walk, h) in enumerate(walks):
+        score, history = 0.0, [0, 0, 0]
+        for w, symbol, number, context, pair in walk:
+            chance = 1.0
+            for depth in range(mixer.BITS):
+                bit, span, n, x = symbol >> (7 - depth) & 1, 8 - depth, [], []
+                for table, c in zip(tables, context):
+                    low = symbol >> span << span
+                    half = 1 << span - 1
+                    zeros, ones = (sum(table[c, low + at + k] for k in range(half)) for at in (0, half))
+                    x.append(np.log((ones + 0.4) / (zeros + 0.4)))
+                    n.append(zeros + ones)
+                sure = int(min(mixer.SURE - 1, np.log2(1 + n[-1]) // 3))
+                z = float(np.clip(np.dot([*x, 0.3], model.weights[:, depth * mixer.SURE + sure]), -12, 12))
+                at = min(max(z * 2 + mixer.STEPS // 2, 0), mixer.STEPS - 1.001)
+                fine = model.refined[context[0], int(at)] * (1 - at % 1) + model.refined[context[0], int(at) + 1] * (at % 1)
+                one = min(max(0.5 * logistic(z) + 0.5 * fine, 1e-6), 1 - 1e-6)
+                chance *= one if bit else 1 - one
+            if w in rank:
+                chance *= count[w] / mass[symbol]
+            elif w is not None:
+                chance *= unknown if w not in count else count[w] * (1 - unknown) / rare
+            after = collections.Counter(followers[pair])
+            after[number] -= h
+            total = sum(after.values())
+            if total:
+                guess = min(after, key=lambda k: (-after[k], k))
+                kind = 1 + 5 * _quantised(after[guess]) + min(4, _quantised(total - after[guess] + 1))
+                past = history[-1] + 3 * history[-2] + 9 * history[-3]
+                spots = (kind, mixer.GUESSES + kind * mixer.HISTORIES + past, mixer.GUESSES * (mixer.HISTORIES + 1) + past)
+                x = [*(np.log(model.seen[1][k] / model.seen[0][k]) for k in spots), 0.3]
+                p = logistic(float(np.clip(np.dot(x, model.guess_weights[kind]), -9, 9)))
+                crowd = 1 if w in rank or w is None else 1 + max(0, len(count) - 200) / head.others
+                chance = chance * (1 - p) + (p / crowd if guess == number else 0)
+                history.append(2 if guess == number else 1)
+            else:
+                history.append(0)
+            score += np.log10(chance)
+        assert got[doc_id] == pytest.approx(score, rel=1e-4)
+
+
 @pytest.mark.parametrize(("name", "label", "modulus", "held"), [("op4_quality", "quality", 5, 0), ("op10_toxicity", "toxic", 3, 1)])
 def test_classifiers_on_held_out_labels(spark, name, label, modulus, held):
     got = queries.QUERIES[name](spark, MID).toPandas()
