@@ -18,10 +18,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; set one only where none is named."""
+    """Use the shared folder that the session names; set one only where none is named, on one machine.
+
+    On a cluster a temporary folder would be another on each machine, so that the session has to name one.
+    """
     sc = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         return
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
 
 
@@ -37,6 +42,11 @@ def fold(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % modulus
 
 
+def row_of(docs: DataFrame) -> Column:
+    """All columns of `docs` as one struct, whatever their names."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

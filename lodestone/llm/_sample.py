@@ -18,9 +18,9 @@ def labelled(labels: DataFrame, name: str, train: Column) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of `docs` (doc_id, text) whose ids were chosen, one for each id, with the other columns of `chosen`.
+    """(doc_id, text, y) for the ids of `chosen` (doc_id, y): of repeated ids the text with the smallest hash.
 
     `chosen` is bounded by the caller, so that it can be broadcast.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

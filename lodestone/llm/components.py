@@ -24,10 +24,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("merge")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
         before, mark = mark, _mark(e)
         if mark == before:
@@ -36,8 +36,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def named_components(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component_id) for every class (node long, rep long): the smallest `rep` of the classes that links join."""
+    """(node, component, component_id) for every class (node long, rep long): the smallest `rep` of the classes that
+    links join. `component` tells components apart, also those whose `rep` is the same or null.
+
+    Both sides of the last join are tables of their own, dealt anew, so that the skew join splits a large component.
+    """
     found = connected_components(links)
-    named = checkpoint(classes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")))
-    ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return named.join(ids, "component").select("node", "component_id")
+    named = checkpoint(classes.join(found.hint("merge"), "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")))
+    ids = checkpoint(named.groupBy("component").agg(F.min("rep").alias("component_id")))
+    return named.join(ids.hint("merge"), "component").select("node", "component", "component_id")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import WORD, checkpoint
+from lodestone.llm._common import WORD, checkpoint, row_of
 
 #: Weights of the sources by their order, repeating, and the most a target may be of its source's size.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -167,7 +167,7 @@ def mixed_documents(docs: DataFrame, block: int = 32, shard: int = 4096, seed: i
     part = F.struct((F.col("lo") - F.col("start")).cast("int").alias("at"), (F.col("hi") - F.col("lo")).cast("int").alias("n"), "times")
     spans = pieces.groupBy("source", "chunk", "nth").agg(F.sort_array(F.collect_list(part)).alias("spans"))
     spans = spans.select(F.col("source").alias("_source"), F.col("chunk").alias("_chunk"), F.col("nth").alias("_nth"), "spans")
-    whole = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string")).alias("size"), F.struct(*docs.columns).alias("_row"))
+    whole = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string")).alias("size"), row_of(docs).alias("_row"))
     placed = _placed(whole, chunks)
     joined = placed.join(spans, placed.source.eqNullSafe(F.col("_source")) & (F.col("chunk") == F.col("_chunk")) & (F.col("nth") == F.col("_nth")))
     most = F.array_max(F.transform("spans", lambda x: x["times"]))

@@ -58,7 +58,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._added = re.compile("|".join(re.escape(t.content) for t in added), re.IGNORECASE).search if added else lambda text: None
         self._model = self._tokenizer.model
         self._part_ids = _Memo(self._encode_part, cache_words).__getitem__
         self._word_ids = _Memo(lambda word: b"".join(map(self._part_ids, _PART(word))), cache_words).__getitem__
@@ -68,8 +69,9 @@ class WordEncoder:
         return np.array([t.id for t in self._model.tokenize(shown)], "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        """Ids of the text. Words are independent of each other in this vocabulary: it drops white space."""
-        if _PLAIN(text):
+        """Ids of the text, as the tokenizer encodes it by default. Words are independent of each other in this vocabulary:
+        it drops white space. Texts that name a token which the tokenizer knows beyond its words go to it whole."""
+        if _PLAIN(text) and not self._added(text):
             return b"".join(map(self._word_ids, text.lower().split()))
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -12,6 +12,7 @@ rows; columns other than `doc_id` and `text` are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import checkpoint
+from lodestone.llm._common import checkpoint, row_of
 from lodestone.llm._forest import Forest
 from lodestone.llm.components import named_components
 
@@ -74,15 +75,18 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return both[x], both[y]
 
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    def tile(col: pa.Array, i: int) -> np.ndarray:
-        return np.asarray(col[i].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-
-    for batch in batches:
-        for i in range(batch.num_rows):
-            x, y = tile_links(tile(batch.column(0), i), tile(batch.column(1), i), radius)
-            keep = x != y
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)), pa.array(y[keep].view(np.int64))], ["a", "b"])
+def _cell(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """Links of the pairs of tiles that meet in a cell: each tile of the one group with each of the other, or of one group
+    with itself; pairs whose population counts differ beyond the radius are skipped."""
+    tiles = [(p, n, np.asarray(f, np.int64).view(np.uint64), second) for p, n, f, second in zip(pdf.p, pdf.tile, pdf.fps, pdf.second)]
+    own = pdf.x.iloc[0] == pdf.y.iloc[0]
+    out = [(np.zeros(0, np.uint64),) * 2]
+    for p, n, a, second in tiles:
+        for q, m, b, other in tiles:
+            if (n <= m if own else not second and other) and abs(p - q) <= radius:
+                x, y = tile_links(a, b, radius)
+                out.append((x[x != y], y[x != y]))
+    return pd.DataFrame({c: np.concatenate([o[k] for o in out]).view(np.int64) for k, c in enumerate("ab")})
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = 4, tile: int = 16384) -> DataFrame:
@@ -92,47 +96,69 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, tile: int = 16384) -
     k = F.array(*[F.lit(n) for n in tiles])
     p = F.expr("bit_count(fp)")
     dealt = distinct.select("fp", p.alias("p"), F.pmod(F.xxhash64("fp"), F.greatest(F.element_at(k, p + 1), F.lit(1))).cast("int").alias("s"))
-    parts = min(20_000, max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(tiles)))
     packed = dealt.groupBy("p", "s").agg(F.collect_list("fp").alias("fps"))
-    meets = F.flatten(
-        F.transform(
-            F.filter(F.sequence(F.col("p"), F.least(F.col("p") + radius, F.lit(64))), lambda q: F.element_at(k, q + 1) > 0),
-            lambda q: F.filter(F.transform(F.sequence(F.lit(0), F.element_at(k, q + 1) - 1), lambda t: F.struct(q.alias("p"), t.alias("s"))), lambda x: (x["p"] > F.col("p")) | (x["s"] >= F.col("s"))),
-        )
-    )
-    left = packed.select(F.col("fps").alias("a"), F.explode(meets).alias("to")).select("a", "to.p", "to.s").repartition(parts, "p", "s")
-    right = packed.select(F.col("fps").alias("b"), "p", "s").repartition(parts, "p", "s")
-    return left.join(right, ["p", "s"]).select("a", "b").mapInArrow(lambda b: _links(b, radius), "a long, b long")
+    # Tiles are numbered in order of their population counts and dealt into groups of `side`; two groups that hold counts
+    # within the radius meet in one cell, so that a tile is sent once for each group it meets and not for each tile.
+    before, at = [], 0
+    for n in tiles:
+        before.append(at)
+        at += n
+    of = [p for p, n in enumerate(tiles) for _ in range(n)]
+    side = max(1, math.isqrt(len(of)) // 4)
+    groups = -(-len(of) // side)
+    low, high = [of[g * side] for g in range(groups)], [of[min(len(of), (g + 1) * side) - 1] for g in range(groups)]
+    meets = [[h for h in range(groups) if low[max(g, h)] - high[min(g, h)] <= radius] for g in range(groups)]
+    if not groups:
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
+    number = F.element_at(F.array(*map(F.lit, before)), F.col("p") + 1) + F.col("s")
+    sent = packed.select("p", number.alias("tile"), "fps", F.floor(number / side).cast("int").alias("g"))
+    to = F.element_at(F.array(*(F.array(*map(F.lit, m)) for m in meets)), F.col("g") + 1)
+    cells = sent.select("p", "tile", "fps", "g", F.explode(to).alias("h")).select("p", "tile", "fps", F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"), (F.col("g") > F.col("h")).alias("second"))
+    return cells.groupBy("x", "y").applyInPandas(lambda pdf: _cell(pdf, radius), "a long, b long")
+
+
+def _found(docs: DataFrame, radius: int, width: int, tile: int) -> DataFrame:
+    """(doc_id, fp, component, component_id) for every document."""
+    fps = checkpoint(fingerprints(docs, width))
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    by_fp = named_components(classes.withColumnRenamed("fp", "node"), fingerprint_links(classes.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
+    return fps.join(checkpoint(by_fp).hint("merge"), "fp")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, tile: int = 16384) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document; component_id is the smallest doc_id reachable."""
-    fps = checkpoint(fingerprints(docs, width))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    by_fp = named_components(classes.withColumnRenamed("fp", "node"), fingerprint_links(classes.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _found(docs, radius, width, tile).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """The documents, all columns, of which one of each group of near-duplicates stays: the one with the smallest id.
+def keep_one(docs: DataFrame, radius: int = 4, width: int = 4, tile: int = 16384) -> DataFrame:
+    """The documents, all columns, of which one row of each group of near-duplicates stays: the one with the smallest id
+    and, of rows with that id, the smallest fingerprint and then the smallest hash of the text.
 
-    Of repeated rows of that id one stays. Rows without an id stay only where no document of their group has one.
+    Rows without an id stay only where no document of their group has one. A group is known by its fingerprints, so that
+    rows of one id in different groups do not take each other's place.
     """
-    found = near_duplicates(docs, radius, width)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL")
-    if nameless.isEmpty():
-        return named
-    alone = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("_fp")).distinct()
-    marked = nameless.select(F.struct(*docs.columns).alias("_row"), fingerprint_column(width)(F.col("text")).alias("_fp"))
-    return named.unionByName(marked.join(alone, "_fp", "left_semi").select("_row.*"))
+    found = checkpoint(_found(docs, radius, width, tile))
+    one = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")
+    best = found.groupBy("component").agg(F.min(one).alias("best")).select("best.doc_id", "best.fp")
+    best = checkpoint(best)
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).join(best.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    rows = docs.select(row_of(docs).alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("string").alias("_text"))
+    out = rows.join(ids.where("_n = 1").select(F.col("doc_id").alias("_doc_id")), "_doc_id", "left_semi").select("_row.*")
+    several = ids.where("_n > 1").select(F.col("doc_id").alias("_doc_id"))
+    if found.where("doc_id IS NULL").isEmpty() and several.isEmpty():
+        return out
+    unsure = rows.where("_doc_id IS NULL").unionByName(rows.join(several, "_doc_id", "left_semi").select(*rows.columns)).withColumn("_fp", fingerprint_column(width)("_text"))
+    chosen = best.select(F.col("doc_id").alias("_best"), F.col("fp").alias("_fp"))
+    kept = unsure.join(chosen, "_fp").where(F.col("_doc_id").eqNullSafe(F.col("_best")))
+    kept = kept.groupBy("_doc_id", "_fp").agg(F.min_by("_row", F.struct(F.xxhash64("_text"), "_text")).alias("_row"))
+    return out.unionByName(kept.select("_row.*"))
 
 
 def fingerprint_column(width: int = 4):
-    """The fingerprint as 16 hexadecimal digits, as a column function."""
-    @F.pandas_udf("string")
+    """The fingerprint's 64 bits as a signed long, as a column function."""
+
+    @F.pandas_udf("long")
     def f(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: f"{fingerprint(t, width):016x}")
+        return pd.Series(np.fromiter((fingerprint(t, width) for t in text), np.uint64, len(text)).view(np.int64))
 
     return f

@@ -172,6 +172,19 @@ def removed_spans(docs: DataFrame, least_words: int = 5) -> DataFrame:
     return grouped
 
 
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without their spans, in one walk through each."""
+    for b in batches:
+        texts = []
+        for text, spans in zip(b.column(1), b.column(2)):
+            t = text.as_py()
+            if t is not None and spans.is_valid and len(spans.values):
+                start, end = (np.asarray(x).tolist() for x in spans.values.flatten())
+                t = "".join(t[a:z] for a, z in zip([0, *end], [*start, len(t)]))
+            texts.append(t)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2), b.column(3)], ["doc_id", "text", "spans", "kept_in"])
+
+
 def dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """(doc_id, text, n_removed, removed, kept_in) for every row: the text that is left, the spans removed from it as
     start:end, and the ids of the documents that keep them."""
@@ -179,13 +192,6 @@ def dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("key"))
     joined = rows.join(spans, rows.doc_id.eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc, x):
-        return F.struct(x["end"].alias("at"), F.concat(acc["parts"], F.array(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]))).alias("parts"))
-
-    cut = F.aggregate(spans, empty, step)
-    left = F.concat(F.array_join(cut["parts"], ""), F.substring(F.col("text"), cut["at"] + 1, F.length("text")))
-    written = F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return joined.select("doc_id", F.when(F.size(spans) > 0, left).otherwise(F.col("text")).alias("text"), F.size(spans).cast("long").alias("n_removed"), written.alias("removed"), F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"))
+    cut = joined.select("doc_id", "text", "spans", "kept_in").mapInArrow(_left, "doc_id long, text string, spans array<struct<start:int,end:int>>, kept_in array<bigint>")
+    written = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return cut.select("doc_id", "text", F.when(F.col("spans").isNotNull(), F.size("spans")).otherwise(0).cast("long").alias("n_removed"), F.coalesce(written, F.lit("")).alias("removed"), F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"))

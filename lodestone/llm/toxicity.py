@@ -1,11 +1,12 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic training rows are the positives; a sample of the other folds' texts, whatever their labels, is the
-unlabelled set. A linear classifier over hashed words and word beginnings is trained in numpy by the class-prior-corrected
+Confirmed toxic training rows are the positives; training rows of the label table, whose labels are not looked at, are
+the unlabelled set, so that the class prior, the share of confirmed rows in that table, is the prior of this very set. A linear classifier over hashed words and word beginnings is trained in numpy by the class-prior-corrected
 risk  prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]),  whose negative part is kept from falling below zero.
 Scoring reads each whole text once, without a shuffle; the model is a bounded table of weights.
 
-Bounds: `most_positive` and `most_unlabelled` texts are sampled for the fit (by a hash of the id); every text is scored.
+Bounds: the fit, in one task, takes at most `most_positive` and `most_unlabelled` labelled rows, chosen by a hash of the
+id; every text is scored.
 Defined results: a null or empty text gets the score of no evidence; a null id is not held out; repeated rows get equal
 scores; if there are no positives, every score is 0; an empty table gives no rows; other columns are ignored.
 """
@@ -16,12 +17,13 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestone.llm._common import fold
+from lodestone.llm._common import fold, row_of
 from lodestone.llm._sample import bounded, labelled, texts_of
 
 _EDGES = ".,;:!?\"'()[]{}|*%$&#"
@@ -124,24 +126,27 @@ class Scorer:
         return float(1 / (1 + np.exp(-min(40.0, max(-40.0, z)))))
 
 
-def _collect_features(rows: DataFrame) -> list[np.ndarray]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.array(sorted(text_features(t.as_py())), np.int64) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "f"])
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 2000, most_unlabelled: int = 6000) -> Scorer:
+    """Fit on the folds that are not held out; the driver gets no more than the features that are kept."""
+    train = labelled(labels, "toxic", fold("doc_id", FOLDS) != HELD_OUT)
+    positive = bounded(train.where("y = 1").select("doc_id"), most_positive, 1).withColumn("y", F.lit(1))
+    chosen = positive.unionByName(bounded(train.select("doc_id"), most_unlabelled, 2).withColumn("y", F.lit(0)))
+    prior = min(0.9, train.agg(F.avg("y")).first()[0] or 0.0)
 
-    got = rows.select("text", "doc_id").mapInArrow(run, "doc_id long, f array<bigint>").toArrow().sort_by("doc_id")
-    return [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in got["f"]]
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.array(sorted(text_features(t.as_py())), np.uint32).tobytes() for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(found, pa.binary())], ["doc_id", "y", "f"])
 
+    def learn(pdf):
+        pdf = pdf.sort_values("doc_id")
+        of = [[np.frombuffer(f, np.uint32).astype(np.int64) for f in pdf.f[pdf.y == y]] for y in (1, 0)]
+        kept, weights, bias = fit_nnpu(*of, prior)
+        return pd.DataFrame({"kept": [kept], "weights": [weights], "bias": [bias]})
 
-def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 2000, most_unlabelled: int = 6000) -> Scorer:
-    """Fit on the folds that are not held out."""
-    train = labelled(labels, "toxic", fold("doc_id", FOLDS) != HELD_OUT)
-    share = train.agg(F.avg("y")).first()[0] or 0.0
-    positive = texts_of(docs, bounded(train.where("y = 1").select("doc_id"), most_positive, 1))
-    others = docs.select(F.col("doc_id").cast("long")).where(fold("doc_id", FOLDS) != HELD_OUT)
-    unlabelled = texts_of(docs, bounded(others, most_unlabelled, 2))
-    return Scorer(*fit_nnpu(_collect_features(positive), _collect_features(unlabelled), min(0.9, share)))
+    rows = texts_of(docs, chosen).select("text", "doc_id", "y").mapInArrow(features, "doc_id long, y int, f binary")
+    got = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "kept array<bigint>, weights array<double>, bias double").first()  # a bounded sample
+    return Scorer(*((np.zeros(0, np.int64), np.zeros(0), -50.0) if got is None else (np.array(got["kept"], np.int64), np.array(got["weights"]), got["bias"])))
 
 
 def _scores(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.RecordBatch]:
@@ -165,7 +170,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
 
 def clean(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
     """The rows of `docs`, all columns, that are not predicted toxic."""
-    rows = docs.select(F.col("text").cast("string").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    rows = docs.select(F.col("text").cast("string").alias("_text"), row_of(docs).alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
