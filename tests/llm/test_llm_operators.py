@@ -31,8 +31,7 @@ def test_packing_round_trip(spark, sf, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    odd = ["<|endoftext|> don't I'LL x²½ 中文 \x85 a_b __ ª12'sx", "İ ſ", ""]
+    odd = ["hello <|endoftext|> world", "x <|ENDOFTEXT|> y", "<|endoftext|> don't I'LL x²½ 中文 \x85 a_b __ ª12'sx", "İ ſ", ""]
     frame = spark.createDataFrame([*((int(i), t) for i, t in zip(docs.doc_id, docs.text)), *((10_000 + k, t) for k, t in enumerate(odd))], "doc_id long, text string")
     rows = packing.pack(frame, queries.tokenizer_path(), keep_ids=True).toPandas()
     texts = dict(zip(docs.doc_id, docs.text)) | {10_000 + k: t for k, t in enumerate(odd)}
