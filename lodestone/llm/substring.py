@@ -2,7 +2,7 @@
 
 A text's units are its sentences, which also end with the line; shorter ones than `least_words` go with the next of
 their line, a run of them is a unit of its own, and so is a run of short lines. What is longer than three times
-`least_words` is cut where a hash of the two words at the cut is the highest within `least_words`. So no border depends on
+`least_words` is cut where a hash of the two words at the cut is the highest within `least_words`. Whole lines that are short are units, too. So no border depends on
 what is far before it, and a passage set into another text has the same units there but for those at its ends. Units are
 normalised (lower case, single spaces) and hashed to 128 bits. All digests are grouped globally, pre-aggregated before the
 shuffle; of a digest that occurs more than once the earliest occurrence (by doc_id, then place) stays and all others are
@@ -11,8 +11,8 @@ removed. Offsets of what is removed refer to the original text, in code points,
 Only digests that repeat are joined back to the units, and a very frequent line is split by the skew join, since nothing
 above the join needs its rows together.
 
-Defined results: a null text has no units and stays null; a run of less than `least_words` words between units is no
-unit and stays; rows without an id rank last; repeated rows of one id and text count as one document, and
+Defined results: a null text has no units and stays null; less than `least_words` words of a line beside a longer
+sentence of it go with that or, at the line's end, are no unit and stay; rows without an id rank last; repeated rows of one id and text count as one document, and
 each gets its result; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -36,7 +36,7 @@ _WORD = re.compile(r"\S+")
 
 def _stretches(text: str, least_words: int) -> Iterator[tuple[int, int]]:
     """(start, end) of the sentences and of the runs of short ones, in order."""
-    begin, run, run_words = 0, None, 0  # short sentences of this line
+    begin, line, run, run_words = 0, 0, None, 0  # short sentences of this line, and where it begins
     lines, lines_end, lines_words = None, 0, 0  # short lines before it
     for m in [*_ENDS.finditer(text), None]:
         end, after = (m.start(), m.end()) if m else (len(text), len(text))
@@ -55,15 +55,16 @@ def _stretches(text: str, least_words: int) -> Iterator[tuple[int, int]]:
             found.append((run, run_end))
             run, run_words = None, 0
         if found:
-            if lines_words >= least_words:
+            if lines is not None:
                 yield lines, lines_end
             lines, lines_words = None, 0
             yield from found
-        if over and run is not None:
+        if over and run is not None and (run_words >= least_words or run == line):
             lines, lines_end, lines_words = run if lines is None else lines, run_end, lines_words + run_words
-            run, run_words = None, 0
+        if over:
+            run, run_words, line = None, 0, after
         begin = after
-    if lines_words >= least_words:
+    if lines is not None:
         yield lines, lines_end
 
 
