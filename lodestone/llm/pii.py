@@ -146,11 +146,12 @@ def redact(docs: DataFrame, least_score: float = LEAST) -> DataFrame:
     """
     rows = with_spans(docs.select(row_of(docs).alias("row"), F.col("text").cast("string").alias("text")), "spans")
     rows = rows.select("row", "text", F.filter("spans", lambda x: x["score"] >= least_score).alias("spans"))
-    cut = lambda begin, n: f"CAST(substr(CAST(text AS BINARY), CAST({begin} AS INT) + 1, CAST({n} AS INT)) AS STRING)"
+    cut = lambda begin, n: f"CAST(substr(raw, CAST({begin} AS INT) + 1, CAST({n} AS INT)) AS STRING)"
     reached = running("ends", lambda a, b: f"greatest({a}, {b})")
     kept = f"filter(zip_with(spans, {reached}, (x, w) -> named_struct('kind', x.kind, 'at', x.at, 'from', w)), s -> s.at >= s.from)"
     parts = f"transform({kept}, s -> concat({cut('s.from', 's.at - s.from')}, '[', upper(s.kind), ']'))"
-    clean = F.expr(_let("ends", "transform(spans, x -> x.at + x.bytes)", f"concat(array_join({parts}, ''), {cut('array_max(ends)', 'octet_length(text) - array_max(ends)')})"))
+    tail = cut("array_max(ends)", "octet_length(text) - array_max(ends)")
+    clean = F.expr(_let("raw", "CAST(text AS BINARY)", _let("ends", "transform(spans, x -> x.at + x.bytes)", f"concat(array_join({parts}, ''), {tail})")))
     out = rows.select("row", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("clean"))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
     return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
