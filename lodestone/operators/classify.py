@@ -30,6 +30,9 @@ class Catalog:
     recency: tuple[str, ...] = ()
     generic: tuple[str, ...] = ()
     aliases: tuple[tuple[str, ...], ...] = field(default=())
+    kinds: tuple[Rule, ...] = ()
+    default_kind: str | None = None
+    intents: dict[str, tuple[Rule, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         keys = [r.key for r in self.rules]
@@ -37,6 +40,10 @@ class Catalog:
             raise ValueError("rules need distinct keys")
         if self.default not in keys:
             raise ValueError("the default is no rule's key")
+        if self.kinds and self.default_kind not in {k.key for k in self.kinds}:
+            raise ValueError("the default kind is no kind's key")
+        if set(self.intents) - set(keys):
+            raise ValueError("intents of an unknown topic")
         for values in (*(v for r in self.rules for v in (r.keywords, r.title_markers, r.action_markers, r.evidence_markers)), self.recency, self.generic, *self.aliases):
             if not all(v.strip() for v in values) or len(set(values)) != len(values):
                 raise ValueError("phrases must be distinct and not blank")
@@ -45,12 +52,15 @@ class Catalog:
 
 
 def read_catalog(spark: SparkSession, path: str) -> Catalog:
-    """A catalog from a JSON file with `default_topic_key`, `topics` and `retrieval_policy`."""
+    """A catalog from a JSON file with `default_topic_key`, `topics` with their `intents`, `retrieval_policy` and
+    `notice_kinds`."""
     raw = json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).take(1)))
     pick = lambda t, k: tuple(str(x).strip() for x in t.get(k) or ())
     rules = tuple(Rule(t["key"], pick(t, "keywords"), pick(t, "title_markers"), pick(t, "body_action_markers"), pick(t, "evidence_markers"), pick(t, "suggested_questions")) for t in raw["topics"])
     policy = raw.get("retrieval_policy") or {}
-    return Catalog(rules, raw["default_topic_key"], pick(policy, "recency_terms"), pick(policy, "generic_terms"), tuple(tuple(g) for g in policy.get("alias_groups") or ()))
+    kinds = tuple(Rule(k["key"], pick(k, "keywords")) for k in raw.get("notice_kinds") or ())
+    intents = {t["key"]: tuple(Rule(i["key"], pick(i, "keywords"), evidence_markers=pick(i, "evidence_markers")) for i in t.get("intents") or ()) for t in raw["topics"]}
+    return Catalog(rules, raw["default_topic_key"], pick(policy, "recency_terms"), pick(policy, "generic_terms"), tuple(tuple(g) for g in policy.get("alias_groups") or ()), kinds, raw.get("default_notice_kind_key"), intents)
 
 
 def _fold(phrase: str) -> str:
@@ -83,7 +93,7 @@ def topic(text: Column, catalog: Catalog, override: Column | None = None) -> Col
 def topic_title_first(title: Column, body: Column, catalog: Catalog) -> Column:
     """Title phrases, then title markers, then a body sentence with a phrase and an action marker, then the default."""
     marked = tuple(Rule(r.key, r.title_markers) for r in catalog.rules)
-    lines = F.split(body, r"(?<=[.!?])\s+|\n+")
+    lines = sentences(body)
     found = [longest_match(title, catalog.rules), longest_match(title, marked)]
     for r in catalog.rules:
         if r.keywords and r.action_markers:
@@ -101,6 +111,34 @@ def _both(rule: Rule):
     return test
 
 
+def sentences(text: Column) -> Column:
+    """Lines, and their sentences."""
+    return F.split(text, r"(?<=[.!?])\s+|\n+")
+
+
+def notice_kind(title: Column, body: Column, kinds: tuple[Rule, ...], default: str) -> Column:
+    """The kind that the title names, else the one that the first sentence of the body to name one names, else the
+    default. A phrase counts within one sentence only."""
+    named = F.filter(F.transform(sentences(body), lambda s: longest_match(s, kinds)), lambda k: k.isNotNull())
+    return F.coalesce(longest_match(title, kinds), F.try_element_at(named, F.lit(1)), F.lit(default))
+
+
+def compatible_kind(asked: Column, kind: Column, bound: tuple[str, ...]) -> Column:
+    """Whether a notice of this kind may answer: questions of a `bound` kind take their own kind only, others any."""
+    return F.coalesce(~asked.isin(*bound) | (asked == kind), F.lit(True))
+
+
+def intent(title: Column, body: Column, topic_key: Column, catalog: Catalog, override: Column | None = None) -> Column:
+    """The intent's key within a topic: a known override, else the longest phrase in the title, else in the body, else
+    the topic's first intent; null where the topic has none."""
+    out = F
+    for key, rules in catalog.intents.items():
+        if rules:
+            found = F.coalesce(longest_match(title, rules), longest_match(body, rules), F.lit(rules[0].key))
+            out = out.when(topic_key == key, found if override is None else F.when(override.isin(*[r.key for r in rules]), override).otherwise(found))
+    return F.lit(None).cast("string") if out is F else out.otherwise(F.lit(None))
+
+
 def ranked(texts: DataFrame, rules: tuple[Rule, ...], limit: int = 3) -> DataFrame:
     """(id, key, hits, place): up to `limit` rules of each text by number of phrases found; of equals the first rule."""
     folded = normalise(F.col("text"))

@@ -32,6 +32,11 @@ def source_title_match(fragments: Column, titles: Column) -> Column:
     return F.when(F.size(fragments) > 0, F.forall(fragments, lambda f: F.exists(titles, lambda t: F.contains(t, f))))
 
 
+def intent_match(expected: Column, sources: Column) -> Column:
+    """Null without an expected intent; every source's intent is the expected one, and there is a source."""
+    return F.when(expected.isNotNull(), (F.size(sources) > 0) & F.forall(sources, lambda s: s.eqNullSafe(expected)))
+
+
 def passed() -> Column:
     """Whether no check failed; checks that do not apply are null."""
     return F.least(*[F.coalesce(F.col(c), F.lit(True)) for c in CHECKS])
@@ -44,6 +49,11 @@ def metrics(results: DataFrame, checks: tuple[str, ...] = CHECKS) -> DataFrame:
     return one.select(rows.alias("m")).select("m.*", F.round(F.try_divide("m.passed", "m.total"), 4).alias("rate"))
 
 
+def summary(results: DataFrame) -> DataFrame:
+    """(total, passed, failed) over all cases; `results` has the column `passed`."""
+    return results.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+
+
 def exit_code(total: int, failed: int) -> int:
     """0 if all passed, 1 if some failed, 2 if nothing ran."""
     return 2 if not total else 1 if failed else 0

@@ -45,3 +45,23 @@ def stale(published: Column, now: Column, days: int = 180) -> Column:
 def competes(document_type: Column) -> Column:
     """Static and historical documents never compete for latest or recent."""
     return F.coalesce(~document_type.isin("static", "historical"), F.lit(True))
+
+
+def best_per_url(found: DataFrame) -> DataFrame:
+    """Of each (qid, url) the row with the best score, of equals the smallest id: one chunk stands for its page."""
+    best = found.groupBy("qid", "url").agg(F.max_by(F.struct(*found.columns), F.struct("score", -F.col("id"))).alias("row"))
+    return best.select("row.*")
+
+
+def latest_urls(posts: DataFrame) -> DataFrame:
+    """(topic, urls): the distinct addresses of each topic's latest posts (`is_latest`), in order; topic null has all."""
+    latest = posts.where("is_latest AND url IS NOT NULL")
+    both = latest.select("topic", "url").unionByName(latest.select(F.lit(None).cast("string").alias("topic"), "url"))
+    return both.groupBy("topic").agg(F.array_sort(F.collect_set("url")).alias("urls"))
+
+
+def latest_of_all(posts: DataFrame) -> DataFrame:
+    """(topic, id, url) of the freshest of the topics' latest posts: dated first, then the later date, then the later
+    crawl; of equals the earlier row."""
+    rank = F.struct(F.col("published").isNotNull(), F.coalesce("published", "crawled"), F.col("crawled"), (-F.col("ordinal")).alias("o"))
+    return posts.where("is_latest").agg(F.max_by(F.struct("topic", "id", "url"), rank).alias("p")).where("p IS NOT NULL").select("p.*")

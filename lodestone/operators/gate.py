@@ -39,7 +39,6 @@ def match_terms(question: Column, catalog: Catalog) -> Column:
 
 def distinctive(question: Column, ignored: tuple[str, ...]) -> Column:
     """The question's words without ignored phrases' words, numbers and words that name a term."""
-    drop = F.lit(None).cast("array<string>")
     parts = [tokens(F.lit(p)) for p in ignored] + [F.array(compact(F.lit(p))) for p in ignored] + [F.array(*map(F.lit, TERM_WORDS))]
     drop = F.concat(*parts)
     return F.filter(F.array_except(F.array_distinct(tokens(question)), drop), lambda w: ~w.rlike("^[0-9]+$"))

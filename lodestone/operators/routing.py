@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import bullets
-from lodestone.operators.search import PROBE_K, TOP_K, checked, nearest_of_each, places
+from lodestone.operators.search import PROBE_K, TOP_K, blocks_of, checked, nearest_of_each, places
 
 #: Fixed values of answers.
 NO_ANSWER = "Chroma 데이터에서 질문과 관련된 안내를 찾지 못했습니다."
@@ -29,14 +29,17 @@ def routed(collection: DataFrame, questions: DataFrame, top_k: int = TOP_K, prob
     """Rows found for each question (qid, vector, explicit): qid, stage, place and the checked row.
 
     A question with an explicit category is searched in it. Others probe all rows, vote, and search the elected
-    category; without one they keep the probe's first rows. A question left with nothing falls back to the probe's rows.
-    All questions go through one plan; the probe is written once and reused.
+    category; without one they keep the probe's first rows. A question left with nothing falls back: to the probe's first
+    rows if it probed, and after an explicit category to an unfiltered search of `top_k` rows, of which those that fail
+    the checks are not replaced.
     """
-    probe = places(checked(nearest_of_each(collection, questions.select("qid", "vector"), probe_k)), "qid")
-    chosen = questions.select("qid", "vector", "explicit").join(elected(vote(probe)), "qid", "left")
+    blocks = blocks_of(questions)
+    asked = questions.select("qid", "vector", "explicit")
+    probe = places(checked(nearest_of_each(collection, asked, probe_k, blocks=blocks)), "qid")
+    chosen = asked.join(elected(vote(probe.where("explicit IS NULL"))), "qid", "left")
     chosen = chosen.select("qid", "vector", F.coalesce("explicit", "category").alias("category"))
-    second = places(checked(nearest_of_each(collection, chosen.where("category IS NOT NULL"), top_k, by_category=True)), "qid")
-    first = probe.where(F.col("place") <= top_k)
+    second = places(checked(nearest_of_each(collection, chosen.where("category IS NOT NULL"), top_k, by_category=True, blocks=blocks)), "qid")
+    first = probe.where(F.when(F.col("explicit").isNull(), F.col("place")).otherwise(F.col("rank")) <= top_k).drop("explicit")
     both = second.withColumn("stage", F.lit(1)).unionByName(first.withColumn("stage", F.lit(2)))
     best = both.withColumn("_stage", F.min("stage").over(Window.partitionBy("qid")))
     return best.where("stage = _stage").drop("_stage")

@@ -32,17 +32,22 @@ def nearest(collection: DataFrame, vector: Sequence[float], limit: int | None =
     return near.withColumn("rank", F.row_number().over(by))
 
 
-def nearest_of_each(collection: DataFrame, questions: DataFrame, limit: int | None = None, by_category: bool = False, block: int = 4096) -> DataFrame:
+def blocks_of(questions: DataFrame, block: int = 4096) -> int:
+    """How many blocks of about `block` questions there are."""
+    return max(1, -(-questions.count() // block))
+
+
+def nearest_of_each(collection: DataFrame, questions: DataFrame, limit: int | None = None, by_category: bool = False, blocks: int | None = None) -> DataFrame:
     """The nearest rows of each question (qid, vector[, category]), with `distance` and `rank`.
 
-    Questions go against all rows in blocks of `block`, each small enough to broadcast; more questions than that are
-    dealt into more blocks. A question's rows are ranked with a limit in every task before they are shuffled.
+    Questions go against all rows in `blocks` (by default as `blocks_of` says, which counts them), each small enough to
+    broadcast. A question's rows are ranked with a limit in every task before they are shuffled.
     """
     n = wanted(limit)
-    blocks = -(-questions.count() // block)
+    blocks = blocks or blocks_of(questions)
     out = None
-    for k in range(max(1, blocks)):
-        some = questions.where(F.pmod(F.xxhash64("qid"), F.lit(max(1, blocks))) == k) if blocks > 1 else questions
+    for k in range(blocks):
+        some = questions.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) if blocks > 1 else questions
         some = F.broadcast(some.withColumnRenamed("category", "_category") if by_category else some.drop("category"))
         pairs = collection.join(some, collection.category == F.col("_category")) if by_category else collection.crossJoin(some)
         near = pairs.withColumn("distance", cosine_distance(F.col("embedding"), F.col("vector"))).drop("vector", "embedding", "_category")

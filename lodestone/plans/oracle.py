@@ -23,7 +23,7 @@ def _routed(explicit: str) -> str:
     z AS (SELECT x.qid, coalesce(x.explicit, w.category) AS wanted FROM x LEFT JOIN w ON w.qid = x.qid),
     s0 AS (SELECT n.*, row_number() OVER (PARTITION BY n.qid ORDER BY distance, id) AS rank FROM n JOIN z ON z.qid = n.qid AND z.wanted = n.category),
     s AS (SELECT *, {_SCORE} AS score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM s0 WHERE rank <= 5 AND {_GOOD}),
-    u AS (SELECT 1 AS stage, * FROM s UNION ALL BY NAME SELECT 2 AS stage, * FROM p WHERE place <= 5),
+    u AS (SELECT 1 AS stage, * FROM s UNION ALL BY NAME SELECT 2 AS stage, p.* FROM p JOIN x ON x.qid = p.qid WHERE CASE WHEN x.explicit IS NULL THEN place ELSE rank END <= 5),
     r AS (SELECT * FROM u QUALIFY stage = min(stage) OVER (PARTITION BY qid))
     """
 
@@ -59,6 +59,9 @@ _LATEST = """latest AS (SELECT topic, arg_min(id, k) AS latest_id, arg_min(publi
 _RULES = (("english", ("of the", "and the")), ("german", ("der", "und die")), ("french", ("la", "dans les")), ("licence", ("license", "all rights reserved")), ("other", ("lorem",)))
 _NORMAL = "trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g'))"
 _TOPIC = "CASE " + " ".join(f"WHEN contains({_NORMAL}, '{p}') THEN '{k}'" for _, _, p, k in sorted((-len(p), n, p, k) for n, (k, ps) in enumerate(_RULES) for p in ps)) + " ELSE 'other' END"
+_folded = lambda x: _NORMAL.replace("lower(text)", f"lower({x})")
+_kind = lambda x: f"CASE WHEN contains({_folded(x)}, 'rights reserved') THEN 'terms' WHEN contains({_folded(x)}, 'license') THEN 'terms' WHEN contains({_folded(x)}, 'and the') THEN 'report' WHEN contains({_folded(x)}, 'und die') THEN 'notice' WHEN contains({_folded(x)}, 'of the') THEN 'report' WHEN contains({_folded(x)}, 'lorem') THEN 'information' WHEN contains({_folded(x)}, 'der') THEN 'notice' END"
+_intent = lambda x: f"CASE WHEN contains({_folded(x)}, 'and the') OR contains({_folded(x)}, 'of the') THEN 'english.parts' WHEN contains({_folded(x)}, 'was') OR contains({_folded(x)}, 'is') THEN 'english.main' END"
 _HITS = " UNION ALL ".join(f"SELECT doc_id AS id, {n} AS n, '{k}' AS key, " + " + ".join(f"CAST(contains(f, '{p}') AS BIGINT)" for p in ps) + " AS hits FROM f" for n, (k, ps) in enumerate(_RULES))
 _RANKED = f"f AS (SELECT doc_id, {_NORMAL} AS f FROM documents), h AS ({_HITS}), top3 AS (SELECT id, key, hits, row_number() OVER (PARTITION BY id ORDER BY hits DESC, n) AS place FROM h WHERE hits > 0 QUALIFY place <= 3)"
 _UNSAFE = (
@@ -168,6 +171,24 @@ SQL: dict[str, str] = {
     "eval_checks": f"WITH {_RESULTS} SELECT *, topic_match AND grounded_match AND coalesce(latest_only_match, true) AND coalesce(source_title_match, true) AS passed FROM res",
     "eval_metrics": f"WITH {_RESULTS} " + " UNION ALL ".join(f"SELECT '{c}' AS metric, count(*) FILTER ({c}) AS passed, count({c}) AS total, CASE WHEN count({c}) > 0 THEN round(count(*) FILTER ({c})::DOUBLE / count({c}), 4) END AS rate FROM res" for c in ("topic_match", "grounded_match", "latest_only_match", "source_title_match")),
     "case_validation": "WITH x AS (SELECT 'case-' || conv_id || '-' || CASE WHEN turn % 5 = 4 THEN 'X' ELSE CAST(turn // 2 AS VARCHAR) END AS id, text, turn % 3 = 0 AS g, turn % 2 = 0 AS t FROM conversations), y AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM x), z AS (SELECT id, CASE WHEN NOT regexp_full_match(id, '[a-z0-9]+(?:-[a-z0-9]+)*') THEN 'id' WHEN n > 1 THEN 'repeated_id' WHEN length(text) NOT BETWEEN 2 AND 500 THEN 'question' WHEN NOT g AND t THEN 'titles' END AS rule FROM y) SELECT * FROM z WHERE rule IS NOT NULL",
+    "notice_kinds": f"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS l, split_part(text, chr(10), 1) AS title FROM documents),
+        k AS (SELECT doc_id, coalesce({_kind('title')}, list_filter(list_transform(l, lambda x: {_kind('x')}), lambda x: x IS NOT NULL)[1], 'information') AS kind FROM s)
+        SELECT doc_id, kind, CASE WHEN doc_id % 3 = 0 THEN kind = 'report' ELSE true END AS compatible FROM k""",
+    "intent_classify": f"""WITH s AS (SELECT *, split_part(text, chr(10), 1) AS title FROM documents)
+        SELECT doc_id, CASE WHEN lang = 'en' THEN CASE WHEN doc_id % 10 = 0 THEN 'english.parts' ELSE coalesce({_intent('title')}, {_intent('text')}, 'english.main') END WHEN lang = 'de' THEN 'licence.all' END AS intent FROM s""",
+    "title_first_topic": f"""WITH s AS (SELECT doc_id, {_folded('text')} AS f, {_folded('split_part(text, chr(10), 1)')} AS t, list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: {_folded('x')}) AS l FROM documents)
+        SELECT doc_id, CASE WHEN contains(t, 'license') THEN 'licence' WHEN contains(t, 'of the') THEN 'english' WHEN contains(t, 'lorem') THEN 'other' WHEN contains(t, 'der') THEN 'german' WHEN contains(t, 'la') THEN 'french'
+            WHEN contains(t, 'ing') THEN 'english' WHEN len(list_filter(l, lambda x: contains(x, 'license') AND contains(x, 'is'))) > 0 THEN 'licence' ELSE 'other' END AS topic FROM s""",
+    "labels_allowed": "SELECT doc_id, CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' WHEN 'es' THEN 'other' END AS label FROM documents",
+    "intent_matches": "WITH e AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS s FROM events GROUP BY user_id) SELECT user_id, CASE user_id % 3 WHEN 0 THEN s = ['click'] WHEN 1 THEN len(s) = 1 END AS intent_match FROM e",
+    "report_summary": "SELECT count(*) AS total, count(*) FILTER (quality = 1) AS passed, count(*) FILTER (quality <> 1) AS failed FROM labels",
+    "best_chunk": "SELECT doc_id % 5 AS qid, source || '/' || lang AS url, doc_id AS id, round(n_chars % 1000 / 1000.0::DOUBLE, 6) AS score FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 5, source, lang ORDER BY n_chars % 1000 DESC, doc_id) = 1",
+    "latest_flags": f"WITH {_POSTS}, {_LATEST} SELECT topic, latest_id, CAST(1 AS BIGINT) AS latest FROM latest",
+    "latest_urls": f"WITH {_POSTS}, {_LATEST}, u AS (SELECT l.topic, p.url FROM latest l JOIN posts p ON p.id = l.latest_id) SELECT topic, url AS urls FROM u UNION ALL SELECT '*', string_agg(DISTINCT url, ',' ORDER BY url) FROM u",
+    "latest_of_all": f"WITH {_POSTS}, {_LATEST} SELECT p.topic, p.id, p.url FROM latest l JOIN posts p ON p.id = l.latest_id ORDER BY published IS NULL, coalesce(published, crawled) DESC, crawled DESC, ordinal LIMIT 1",
+    "listed_pages": "SELECT page_id FROM pages WHERE page_id % 3 < 2 AND page_id % 4 <> 0",
+    "variant_scores": "SELECT doc_id % 7 AS qid, doc_id % 50 AS id, round(max(n_chars % 100) / 100.0::DOUBLE, 6) AS score FROM documents GROUP BY 1, 2",
+    "newest_supported": f"WITH {_POSTS}, f AS (SELECT source AS qid, topic AS intent, id FROM posts QUALIFY row_number() OVER (PARTITION BY source, topic ORDER BY published IS NULL, published DESC, id % 13 DESC, id) = 1) SELECT qid, intent, id FROM f WHERE id % 2 = 0",
 }
 SQL["secret_scan"] = "WITH x AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for k, p in _UNSAFE) + " WHEN regexp_matches(regexp_replace(t, '(?i)https?://[^\\s<>\"'']+', '', 'g'), '(?:^|[^\\w])/(?:[^/]|$)') THEN 'posix_path' END AS unsafe, false AS safe FROM x"
 SQL["error_detail"] = "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '오류 ' || role WHEN turn % 3 = 0 THEN '안내 ' || role ELSE 'fallback' END AS message FROM conversations"

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import contract, rows, text, vector
-from lodestone.operators import audit, chunking, compress, evaluate, freshness, fusion, gate, lexical, readiness, routing, search
-from lodestone.operators.classify import Catalog, Rule, confirmed, ranked, suggested, topic
-from lodestone.sources import store
+from lodestone.operators import accuracy, audit, chunking, compress, evaluate, freshness, fusion, gate, lexical, readiness, routing, search
+from lodestone.operators.classify import Catalog, Rule, allowed_label, compatible_kind, confirmed, intent, notice_kind, ranked, suggested, topic, topic_title_first
+from lodestone.sources import snapshots, store
 from lodestone.sources.tables import collection, load
 
 #: Phrases of the test tables' languages; a catalog for real use is read from its file.
@@ -423,5 +423,93 @@ def case_validation(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.faulty_cases(cases)
 
 
-_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, match_terms, context_compression, contact_lines, line_dedup, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation]
+#: Kinds of notices and intents of a topic, by phrases that occur in the test tables.
+KINDS = (Rule("terms", ("license", "rights reserved")), Rule("report", ("of the", "and the")), Rule("notice", ("der", "und die")), Rule("information", ("lorem",)))
+INTENTS = Catalog(CATALOG.rules, CATALOG.default, kinds=KINDS, default_kind="information", intents={"english": (Rule("english.main", ("is", "was")), Rule("english.parts", ("and the", "of the"))), "licence": (Rule("licence.all", ("all rights",)),)})
+LABELS = {"en": "english", "de": "german", "fr": "french", "es": "other"}
+
+
+def _title():
+    return F.substring_index("text", "\n", 1)
+
+
+def notice_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    kind = notice_kind(_title(), F.col("text"), KINDS, "information")
+    asked = F.when(F.col("doc_id") % 3 == 0, "report").when(F.col("doc_id") % 3 == 1, "information")
+    rows = load(spark, folder, "documents").select("doc_id", kind.alias("kind"), asked.alias("asked"))
+    return rows.select("doc_id", "kind", compatible_kind(F.col("asked"), F.col("kind"), ("terms", "report")).alias("compatible"))
+
+
+def intent_classify(spark: SparkSession, folder: str) -> DataFrame:
+    override = F.when(F.col("doc_id") % 10 == 0, "english.parts").when(F.col("doc_id") % 10 == 1, "none")
+    found = intent(_title(), F.col("text"), F.when(F.col("lang") == "en", "english").when(F.col("lang") == "de", "licence").otherwise("other"), INTENTS, override)
+    return load(spark, folder, "documents").select("doc_id", found.alias("intent"))
+
+
+def title_first_topic(spark: SparkSession, folder: str) -> DataFrame:
+    marked = Catalog(tuple(Rule(r.key, r.keywords[:1], title_markers=(("ing",) if r.key == "english" else ()), action_markers=(("is",) if r.key == "licence" else ())) for r in CATALOG.rules), "other")
+    return load(spark, folder, "documents").select("doc_id", topic_title_first(_title(), F.col("text"), marked).alias("topic"))
+
+
+def labels_allowed(spark: SparkSession, folder: str) -> DataFrame:
+    return load(spark, folder, "documents").select("doc_id", allowed_label(F.col("lang"), LABELS).alias("label"))
+
+
+def intent_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's events as an answer's sources; the expected intent is the type of the user's first letter."""
+    e = load(spark, folder, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("sources"))
+    expected = F.when(F.col("user_id") % 3 == 0, "click").when(F.col("user_id") % 3 == 1, F.element_at("sources", 1))
+    return e.select("user_id", evaluate.intent_match(expected, F.col("sources")).alias("intent_match"))
+
+
+def report_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.summary(load(spark, folder, "labels").select((F.col("quality") == 1).alias("passed")))
+
+
+def best_chunk(spark: SparkSession, folder: str) -> DataFrame:
+    d = load(spark, folder, "documents").select((F.col("doc_id") % 5).alias("qid"), F.concat("source", F.lit("/"), "lang").alias("url"), F.col("doc_id").alias("id"), (F.col("n_chars") % 1000 / 1000.0).alias("score"))
+    return freshness.best_per_url(d).select("qid", "url", "id", _r("score"))
+
+
+def latest_flags(spark: SparkSession, folder: str) -> DataFrame:
+    return freshness.latest_per_topic(_posts(spark, folder)).groupBy("topic").agg(F.max(F.when(F.col("is_latest"), F.col("id"))).alias("latest_id"), F.count_if("is_latest").alias("latest"))
+
+
+def latest_urls(spark: SparkSession, folder: str) -> DataFrame:
+    sets = freshness.latest_urls(freshness.latest_per_topic(_posts(spark, folder)))
+    return sets.select(F.coalesce("topic", F.lit("*")).alias("topic"), F.array_join("urls", ",").alias("urls"))
+
+
+def latest_of_all(spark: SparkSession, folder: str) -> DataFrame:
+    return freshness.latest_of_all(freshness.latest_per_topic(_posts(spark, folder)))
+
+
+def listed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    pages = load(spark, folder, "pages")
+    return snapshots.listed(pages, pages.where("page_id % 3 < 2"), pages.where("page_id % 4 = 0")).select("page_id")
+
+
+def variant_scores(spark: SparkSession, folder: str) -> DataFrame:
+    d = load(spark, folder, "documents").select((F.col("doc_id") % 7).alias("qid"), (F.col("doc_id") % 50).alias("id"), (F.col("n_chars") % 100 / 100.0).alias("score"))
+    return lexical.best_of_variants(d).select("qid", "id", _r("score"))
+
+
+def newest_supported(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each source and topic the freshest post, kept only if it is relevant itself."""
+    posts = _posts(spark, folder).select(F.col("source").alias("qid"), F.col("topic").alias("intent"), "id", "published", (F.col("id") % 13).cast("double").alias("score"), F.when(F.col("id") % 2 == 0, "relevant").otherwise("ambiguous").alias("relevance"))
+    return gate.supported_newest(freshness.freshest_per_intent(posts)).select("qid", "intent", "id")
+
+
+def accuracy_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All questions of `benchmark` over all documents, by both retrievers, of each `wide(10)` rows."""
+    d = load(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", _title().alias("title"), F.col("source").alias("url"), F.lit(None).cast("timestamp").alias("published"), F.col("lang").alias("intent"))
+    asked = _asked(spark, folder).withColumn("general", F.lit(False))
+    many = lexical.wide(10)
+    dense = _dense(spark, folder)
+    fused = fusion.rrf(lexical.bm25(d, asked, many, score_digits=6), dense).where(F.col("place") <= 10)
+    found = accuracy.supported(fused, d, asked, CATALOG)
+    return found.select("qid", "id", "intent", "relevance", _r("score"), F.md5("context").alias("context_md5"))
+
+
+_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, match_terms, context_compression, contact_lines, line_dedup, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation, notice_kinds, intent_classify, title_first_topic, labels_allowed, intent_matches, report_summary, best_chunk, latest_flags, latest_urls, latest_of_all, listed_pages, variant_scores, newest_supported, accuracy_pipeline]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -65,8 +65,12 @@ def test_routing_and_fallback(spark):
     for r in routing.routed(c, q).orderBy("qid", "place").collect():
         got.setdefault(r.qid, []).append((r.stage, r.id))
     assert got[1] == [(1, 1), (1, 2), (1, 3)]  # elected x
-    assert got[2] == [(2, 1), (2, 2), (2, 3), (2, 30)]  # the five nearest of y have no text
+    assert got[2] == [(2, 1)]  # the five nearest of y have no text; of the five nearest of all one has
     assert got[3] == got[2]
+    more = spark.createDataFrame([(4, [0.6, 0.8], "none")], q.schema)
+    assert [(r.stage, r.id) for r in routing.routed(c, more).orderBy("place").collect()] == [(2, 30), (2, 3), (2, 2)]
+    only = rows(spark, *dropped, near[2])
+    assert routing.routed(only, more.withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))).count() == 0  # not refilled
     said = {r.qid: r for r in routing.respond(routing.answers(q, routing.routed(c, q)), lambda ctx: F.substring(ctx, 1, 6)).collect()}
     assert said[1].grounded and said[1].n_sources == 3 and said[1].answer.startswith("- [자료")
 
@@ -154,6 +158,9 @@ def test_compression_and_repeated_lines(spark):
     a = spark.createDataFrame([(1, "the office opens at nine in the morning daily"), (2, "nothing like it at all")], "id int, line string")
     b = spark.createDataFrame([(7, "The office opens at nine in the morning, daily."), (8, "other words")], "id int, line string")
     assert [(r.a_id, r.b_id, r["share"]) for r in compress.repeated_lines(a, b).collect()] == [(1, 7, 1.0)]
+    one = spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh ii jj")], "id int, line string")
+    often = spark.createDataFrame([(7, "aa bb cc dd ee ff gg hh ii kk")] * 3, "id int, line string")
+    assert [round(r["share"], 3) for r in compress.repeated_lines(one, often).collect()] == [0.818]
 
 
 def test_evaluation(spark):
