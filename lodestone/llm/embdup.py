@@ -1,8 +1,8 @@
 """Embedding near-duplicates by collision-counting projections.
 
-Equal vectors are collapsed to one class first. Unit vectors are projected on many random directions. On a direction two
-vectors collide if one's projection lies in a window around the other's; a pair with enough collisions is verified by its
-cosine in double precision. The count that a pair must reach is calibrated: pairs at the least cosine reach it with
+Equal vectors are collapsed to one class first. Unit vectors are projected on many random directions. On a direction, whose
+projections are sorted, two vectors collide if one's projection lies in a window around the other's; the pairs with enough
+collisions, and only they, are verified by their cosine in double precision. The count that a pair must reach is calibrated: pairs at the least cosine reach it with
 probability `count_recall`.
 
 To meet, a pair must first share a cell: each of several tables cuts a few projections into sorted ranges. The number of
@@ -98,38 +98,48 @@ def units(vectors: pd.Series, width: int | None = None) -> np.ndarray:
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
+def collisions(p: np.ndarray, q: np.ndarray, window: float) -> np.ndarray:
+    """(rows of p, rows of q): on how many directions q's projection lies in the window around p's.
+
+    Each direction's projections of q are sorted once; a row of p takes the run of them that its window covers. Runs are
+    marked at both ends, so that their sums over the sorted places are the collisions of a direction.
+    """
+    hits = np.zeros((len(p), len(q)), np.uint8)
+    row = np.arange(len(p))
+    for k in range(p.shape[1]):
+        order = np.argsort(q[:, k], kind="stable")
+        known = q[order, k]
+        edges = np.zeros((len(p), len(q) + 1), np.int8)
+        np.add.at(edges, (row, np.searchsorted(known, p[:, k] - window, "left")), 1)
+        np.add.at(edges, (row, np.searchsorted(known, p[:, k] + window, "right")), -1)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        hits += np.cumsum(edges[:, :-1], axis=1, dtype=np.int8)[:, back].view(np.uint8)
+    return hits
+
+
 def tile_links(design: Design, table: int, a: Tile, b: Tile, own: bool) -> tuple[np.ndarray, np.ndarray, Forest]:
     """Links between two tiles of a cell, or within one (own): counts of linked rows for each, and the forest.
 
-    A pair that shares cells of several tables counts in the first of them only.
+    Only pairs with enough collisions are verified. A pair that shares cells of several tables counts in the first only.
     """
     links_a, links_b = np.zeros(len(a.n), np.int64), np.zeros(len(b.n), np.int64)
     forest = Forest(len(a.n) + (0 if own else len(b.n)))
     step = max(1, (1 << 18) // max(1, len(b.n)))
     for at in range(0, len(a.n), step):
-        rows = slice(at, at + step)
-        p, hits = a.projected[rows], np.zeros((len(a.n[rows]), len(b.n)), np.uint8)
-        if hits.size * design.directions <= 1 << 18:
-            hits = (np.abs(p[:, None, :] - b.projected[None, :, :]) <= design.window).sum(axis=2)
-        else:
-            for k in range(design.directions):
-                hits += np.abs(p[:, k, None] - b.projected[None, :, k]) <= design.window
-        i, j = np.nonzero(hits >= design.count)
+        i, j = np.nonzero(collisions(a.projected[at : at + step], b.projected, design.window) >= design.count)
+        i += at
         if own:
-            later = j > i + at
-            i, j = i[later], j[later]
-        if not len(i):
-            continue
-        linked = np.zeros(hits.shape, bool)
-        linked[i, j] = True
-        linked &= a.unit[rows] @ b.unit.T >= design.least
-        for t in range(table):
-            linked &= a.cells[rows, t, None] != b.cells[None, :, t]
-        links_a[rows] += linked @ b.n
-        links_b += a.n[rows] @ linked
-        i, j = np.nonzero(linked)
-        if len(i):
-            forest.add(i + at, j if own else j + len(a.n))
+            i, j = i[j > i], j[j > i]
+        for k in range(0, len(i), 1 << 15):
+            x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            good = np.einsum("ij,ij->i", a.unit[x], b.unit[y]) >= design.least
+            good &= (a.cells[x, :table] != b.cells[y, :table]).all(axis=1)
+            x, y = x[good], y[good]
+            links_a += np.bincount(x, weights=b.n[y], minlength=len(a.n)).astype(np.int64)
+            links_b += np.bincount(y, weights=a.n[x], minlength=len(b.n)).astype(np.int64)
+            if len(x):
+                forest.add(x, y if own else y + len(a.n))
     return links_a, links_b, forest
 
 

@@ -5,7 +5,7 @@ import collections
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.llm import lm, mixer, substring
+from lodestone.llm import embdup, lm, mixer, substring
 
 
 def test_word_pairs_are_kept_exactly_and_grow_with_the_text():
@@ -69,3 +69,29 @@ def test_a_long_passage_is_found_whatever_surrounds_it(spark):
     for k in range(3):
         assert windows(rows[2 * k][1].split()) & windows(rows[2 * k + 1][1].split())
         assert not windows(got[2 * k]) & windows(got[2 * k + 1])
+
+
+def test_collisions_are_counted_by_windows():
+    rng = np.random.default_rng(7)
+    p, q = rng.standard_normal((40, 9)), np.round(rng.standard_normal((70, 9)), 1)
+    p[:5] = q[:5]
+    assert (embdup.collisions(p, q, 0.5) == ((p[:, None] - 0.5 <= q[None]) & (q[None] <= p[:, None] + 0.5)).sum(axis=2)).all()
+
+
+def test_planted_pairs_are_found_where_cells_are_many(spark):
+    rng = np.random.default_rng(9)
+    n, planted = 6000, 500
+    unit = rng.standard_normal((n, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for k in range(planted):  # cosine 0.95 to 0.96 with the vector before it
+        c, other = 0.9502 + 0.0098 * rng.random(), rng.standard_normal(64)
+        base = unit[2 * k]
+        other -= (other @ base) * base
+        unit[2 * k + 1] = c * base + np.sqrt(1 - c * c) * other / np.linalg.norm(other)
+    assert embdup.Design.of(n, 0.95).used > 1
+    got = embdup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert want.sum() >= 2 * planted and (got.n_links.values <= want).all()
+    recall = got.n_links.sum() / want.sum()
+    print(f"recall {recall:.4f}")
+    assert recall >= 0.99
