@@ -21,7 +21,7 @@ ROWS = [
     (None, None, None, None, None),
 ]
 #: Names that operators use inside.
-CLASHING = ("key", "_row", "_text", "spans", "_spans", "fp", "node", "score", "t", "h1", "chunk", "sid", "taken", "ids", "_key", "_id", "_fp", "y", "_clean", "nth", "size")
+CLASHING = ("key", "_row", "_text", "spans", "_spans", "fp", "node", "score", "t", "h1", "chunk", "sid", "taken", "ids", "_key", "_id", "_fp", "y", "_clean", "nth", "size", "a.b", "c`d")
 
 
 def labels(spark):
@@ -83,6 +83,14 @@ def test_keep_one_keeps_one_of_each_group(spark):
     assert sorted(i for i in ids if i is not None) == [0, 1, 3]  # 1, 2, 5 and the null text have no words
 
 
+def test_rows_of_one_id_do_not_take_each_others_place(spark):
+    a, b = "one two three four five six", "entirely other words stand in this text here"
+    got = simhash.keep_one(spark.createDataFrame([(5, b), (5, a), (3, b), (7, a), (7, a)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(3, b), (5, a)]
+    same = simhash.keep_one(spark.createDataFrame([(5, a), (5, a), (None, b), (None, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.text) for r in same) == [(False, a), (True, b)]
+
+
 VECTORS = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0]), (6, [0.0, 0.0]), (7, []), (100, [1.0, 0.0]), (None, [1.0, 0.0]), (8, [2.0, 0.01]), (9, [1.0])]
 
 
