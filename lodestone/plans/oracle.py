@@ -31,26 +31,38 @@ def _routed(explicit: str) -> str:
 _FOLD = "replace(lower({0}), 'ß', 'ss')"
 
 
-def _bm25(top: int = 10) -> str:
+_COMPACT = "regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^0-9a-z가-힣]', '', 'g')"
+_RUNS = "list_transform(range(1, length({0}) - {1} + 2), lambda i: substring({0}, i, {1}))"
+
+
+def _bm25(top: int = 10, grams: bool = False) -> str:
     """Common tables of BM25 over documents for benchmark questions; `m` has qid, id, score, rank."""
     words = "list_filter(regexp_split_to_array(replace(lower(text), 'ß', 'ss'), '\\s+'), lambda w: w <> '')"
+    if grams:
+        words = f"list_concat({words}, {', '.join(_RUNS.format('compact', n) for n in (2, 3, 4))})"
+    of = lambda table: f"(SELECT *, {_COMPACT.format('text')} AS compact FROM {table})" if grams else table
     return f"""
-    t AS (SELECT doc_id AS id, {words} AS t FROM documents),
+    t AS (SELECT doc_id AS id, {words} AS t FROM {of('documents')}),
     corpus AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t),
     tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY id, len, term),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    asked AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, unnest({words}) AS term FROM benchmark)),
+    asked AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, unnest({words}) AS term FROM {of('benchmark')})),
     sc AS (SELECT asked.qid, tf.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * tf.len / mean))), 6) AS score
         FROM asked JOIN tf ON tf.term = asked.term JOIN df ON df.term = asked.term, corpus GROUP BY asked.qid, tf.id),
     m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= {top})
     """
 
 
-_DENSE = f"""
+def _dense(top: int = 10) -> str:
+    """`dn` has qid, id, distance, rank of the vectors nearest to the benchmark questions' vectors."""
+    return f"""
     dn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM (
         SELECT b.qid, a.vec_id AS id, {_D} AS distance FROM embeddings AS a,
-        (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) AS b) QUALIFY rank <= 10)
-"""
+        (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) AS b) QUALIFY rank <= {top})
+    """
+
+
+_DENSE = _dense()
 _POSTS = """posts AS (SELECT event_type AS topic, event_id AS id, CASE WHEN event_id % 10 <> 3 THEN ts END AS published, ts AS crawled, event_id AS ordinal,
     CAST(user_id AS VARCHAR) AS url, 's' || (user_id % 4) AS source, CASE WHEN event_id % 17 = 0 THEN 'static' ELSE 'notice' END AS document_type FROM events)"""
 _LATEST = """latest AS (SELECT topic, arg_min(id, k) AS latest_id, arg_min(published, k) FILTER (k = 1) AS latest_at, count(*) AS posts FROM (
@@ -77,7 +89,6 @@ _UNSAFE = (
 )
 _STATES = "st AS (SELECT a.x AS store, b.x AS keys, c.x AS compatible, d.n AS n FROM (VALUES (false), (true)) a(x), (VALUES (false), (true)) b(x), (VALUES (false), (true)) c(x), (VALUES (0), (7)) d(n))"
 _TITLED = f"{_bm25()}, td AS (SELECT m.qid, m.id, m.score, b.text AS question, array_to_string(list_slice(string_split(d.text, ' '), 1, 8), ' ') AS title FROM m JOIN documents d ON d.doc_id = m.id JOIN benchmark b ON b.item_id = m.qid)"
-_COMPACT = "regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^0-9a-z가-힣]', '', 'g')"
 _WORDS = "regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[0-9a-z가-힣]+')"
 _RESULTS = f"""res AS (SELECT l.doc_id, {_TOPIC} = 'english' AS topic_match,
     ((quality = 1) = (n_chars > 500)) AND ((n_chars > 500) = (l.doc_id % 9 <> 0)) AS grounded_match,
@@ -206,3 +217,7 @@ SQL["match_terms"] = f"""WITH x AS (SELECT item_id AS qid, list_filter({_WORDS.f
     SELECT qid, array_to_string(list_sort(list_distinct(list_concat(t, [c], CASE WHEN contains(c, 'thon') OR contains(c, 'ntion') THEN ['thon', 'ntion'] ELSE [] END))), ' ') AS terms,
         array_to_string(list_sort(list_filter(list_distinct(t), lambda s: s NOT IN ('latest', 'is', 'that', '학년도', '학기', '여름계절', '겨울계절') AND NOT regexp_full_match(s, '[0-9]+'))), ' ') AS distinctive FROM x"""
 SQL["suggested_questions"] = f"SELECT doc_id, CASE WHEN {_TOPIC} = 'english' THEN 'What is new?|Who is here?|Where is it?' ELSE 'Where is it?|What is new?|When is it?' END AS questions FROM documents"
+SQL["query_plan_whole"] = SQL["query_plan"].replace("substring(text, 1, 20)", "text")
+SQL["hybrid_search"] = f"""WITH {_bm25(100, grams=True)}, {_dense(100)}, f AS (SELECT coalesce(m.qid, dn.qid) AS qid, coalesce(m.id, dn.id) AS id, m.rank AS l, dn.rank AS d FROM m FULL JOIN dn ON dn.qid = m.qid AND dn.id = m.id),
+    s AS (SELECT *, coalesce(1.0::DOUBLE / (60 + l), 0) + coalesce(1.0::DOUBLE / (60 + d), 0) AS fused FROM f)
+    SELECT qid, id, CAST(l AS INTEGER) AS lexical_rank, CAST(d AS INTEGER) AS dense_rank, round(fused, 9) AS fused, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(fused, 12) DESC, id) AS INTEGER) AS place FROM s QUALIFY place <= 10"""

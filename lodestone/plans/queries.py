@@ -252,9 +252,12 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.bm25(_chunks(spark, folder), _asked(spark, folder), 10, score_digits=6).select("qid", "id", "score", "rank")
 
 
-def _dense(spark: SparkSession, folder: str) -> DataFrame:
-    q = load(spark, folder, "embeddings").join(load(spark, folder, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    return search.nearest_of_each(_vectors(spark, folder), q, 10)
+def _dense_questions(spark: SparkSession, folder: str) -> DataFrame:
+    return load(spark, folder, "embeddings").join(load(spark, folder, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+def _dense(spark: SparkSession, folder: str, limit: int = 10) -> DataFrame:
+    return search.nearest_of_each(_vectors(spark, folder), _dense_questions(spark, folder), limit)
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
@@ -262,6 +265,12 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return fused.select("qid", "id", "lexical_rank", "dense_rank", F.round("fused", 9).alias("fused"), "place")
 
 
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best of `wide(10)` rows of either retriever; words and character runs are scored."""
+    found = fusion.hybrid(_chunks(spark, folder), _asked(spark, folder), _vectors(spark, folder), _dense_questions(spark, folder), 10)
+    return found.select("qid", "id", "lexical_rank", "dense_rank", F.round("fused", 9).alias("fused"), "place")
+
+
 def fused_verification(spark: SparkSession, folder: str) -> DataFrame:
     d = _dense(spark, folder).select("qid", "id", "rank", (F.lit(1.0) / (60 + F.col("rank")) + F.when(F.col("id") % 3 == 0, 0.001).otherwise(0.0)).alias("claimed"))
     return d.select("qid", "id", fusion.forged(F.col("claimed"), F.lit(None).cast("int"), F.col("rank")).alias("forged"))
@@ -318,6 +327,12 @@ def query_plan(spark: SparkSession, folder: str) -> DataFrame:
     return q.select("qid", F.array_join(gate.query_variants(F.col("q"), F.lit("label"), F.lit("example")), "|").alias("variants"))
 
 
+def query_plan_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As `query_plan`, of whole questions."""
+    q = _asked(spark, folder).select("qid", F.concat(F.lit("2024 1학기 "), F.col("text")).alias("q"))
+    return q.select("qid", F.array_join(gate.query_variants(F.col("q"), F.lit("label"), F.lit("example")), "|").alias("variants"))
+
+
 def match_terms(spark: SparkSession, folder: str) -> DataFrame:
     q = _asked(spark, folder)
     return q.select("qid", F.array_join(F.array_sort(gate.match_terms(F.col("text"), CATALOG)), " ").alias("terms"), F.array_join(F.array_sort(gate.distinctive(F.col("text"), (*CATALOG.recency, *CATALOG.generic))), " ").alias("distinctive"))
@@ -338,6 +353,13 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("a_id", "b_id").agg(F.count("*").alias("pairs"), F.round(F.max("share"), 6).alias("share"))
 
 
+def same_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of `benchmark` that a line of `documents` says too, by words, by containment or by characters."""
+    lines = lambda t: t.select("id", F.explode(F.split("text", "\n")).alias("line"))
+    found = compress.same_lines(lines(_asked(spark, folder).withColumnRenamed("qid", "id")), lines(_chunks(spark, folder)))
+    return found.select("a_id", "b_id", F.md5("a_line").alias("line_md5"), F.array_join("reasons", ",").alias("reasons"))
+
+
 def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
     """MD5 feature hashing of words into 64 buckets, scaled to unit length; one row for each bucket that is not zero."""
     w = load(spark, folder, "benchmark").select("item_id", F.explode(text.words(F.col("text"))).alias("w"))
@@ -505,11 +527,11 @@ def accuracy_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     d = load(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", _title().alias("title"), F.col("source").alias("url"), F.lit(None).cast("timestamp").alias("published"), F.col("lang").alias("intent"))
     asked = _asked(spark, folder).withColumn("general", F.lit(False))
     many = lexical.wide(10)
-    dense = _dense(spark, folder)
+    dense = _dense(spark, folder, many)
     fused = fusion.rrf(lexical.bm25(d, asked, many, score_digits=6), dense).where(F.col("place") <= 10)
     found = accuracy.supported(fused, d, asked, CATALOG)
     return found.select("qid", "id", "intent", "relevance", _r("score"), F.md5("context").alias("context_md5"))
 
 
-_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, match_terms, context_compression, contact_lines, line_dedup, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation, notice_kinds, intent_classify, title_first_topic, labels_allowed, intent_matches, report_summary, best_chunk, latest_flags, latest_urls, latest_of_all, listed_pages, variant_scores, newest_supported, accuracy_pipeline]
+_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, hybrid_search, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, query_plan_whole, match_terms, context_compression, contact_lines, line_dedup, same_lines, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation, notice_kinds, intent_classify, title_first_topic, labels_allowed, intent_matches, report_summary, best_chunk, latest_flags, latest_urls, latest_of_all, listed_pages, variant_scores, newest_supported, accuracy_pipeline]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
