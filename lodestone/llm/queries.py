@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import embdup, lm, mixing, packing, pii, quality, simhash, substring, topk, toxicity
+from lodestone.llm import bestfit, codes, embdup, lm, mixing, packing, pii, quality, simhash, substring, topk, toxicity, trie
 from lodestone.llm._common import read
 
 
@@ -18,6 +18,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer_path() -> str:
+    """Where the public byte-level vocabulary is."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost-balanced packing of all documents into sequences of 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
@@ -70,6 +77,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every embedding by codebooks of 4 x 256 entries, with errors."""
+    return codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all rebuilt conversations."""
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-fit packing of all documents into sequences of 2048 tokens."""
+    return bestfit.pack(read(spark, sf_dir, "documents"), byte_tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
@@ -81,9 +103,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embdup": op8_embdup,
     "op9_substring": op9_substring,
     "op10_toxicity": op10_toxicity,
+    "op11_codes": op11_codes,
+    "op12_trie": op12_trie,
+    "op13_bestfit": op13_bestfit,
 }
 
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """SQL of op11: a round is a pair of tables, assignments and entries."""
+    near = """a{n} AS (
+            SELECT p.vec_id, p.label, p.part, b.entry, b.d AS error, p.x FROM p, LATERAL (
+                SELECT entry, CAST(list_sum(list_transform(list_zip(p.x, k.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM k{n} AS k WHERE k.part = p.part
+                ORDER BY d, entry LIMIT 1) AS b
+        )"""
+    move = """m{n} AS (
+            SELECT part, entry, list(CAST(s - ((s % c) + c) % c AS BIGINT) // c ORDER BY pos) AS x FROM (
+                SELECT part, entry, pos, CAST(sum(x[pos]) AS BIGINT) AS s, count(*) AS c FROM a{n}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS pos) GROUP BY part, entry, pos)
+            GROUP BY part, entry
+        ), k{next} AS (SELECT k.part, k.entry, coalesce(m.x, k.x) AS x FROM k{n} AS k LEFT JOIN m{n} AS m USING (part, entry))"""
+    steps = ", ".join(f"{near.format(n=n)}, {move.format(n=n, next=n + 1)}" for n in range(rounds))
+    return f"""
+        WITH v AS (
+            SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: CAST(floor(x * 1024.0) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS (
+            SELECT vec_id, label, part, e[part * (len(e) // {parts}) + 1:(part + 1) * (len(e) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS part)
+        ), k0 AS (
+            SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY entry < {entries}
+        ), {steps}, {near.format(n=rounds)},
+        h AS (SELECT sha256(string_agg(c, ',' ORDER BY part, entry)) AS h FROM (SELECT part, entry, array_to_string(x, ',') AS c FROM k{rounds})),
+        r AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h.h AS codebooks_sha256 FROM r, h
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_codes": _codes_sql(),
     "op2_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: CAST(floor(x * 1024.0) AS BIGINT)) AS e FROM embeddings
