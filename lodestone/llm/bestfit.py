@@ -10,8 +10,8 @@ however many documents there are:
 * a task sweeps its range from large to small: documents take their successor, the smallest gap that holds them (a gap as
   many documents of a length as it has room for). Documents that want the same gap are served by rank, longest first;
 * gaps are updated, and the task sweeps again until nothing in its range matches;
-* what is left goes into wider ranges, until one range holds all; documents longer than every gap open new sequences, as
-  many as their tokens would fill, the longest ones first; and the next round begins.
+* what is left goes into wider ranges, until one range holds all; documents longer than every gap open new sequences,
+  half as many as their tokens would fill, the longest ones first; and the next round begins.
 
 Longer documents are settled before shorter ones start: (1/2, 1], (1/4, 1/2], (1/8, 1/4] of a sequence, then the rest. At
 last every piece finds its sequence by its length and rank in the table of matches.
@@ -40,6 +40,9 @@ from lodestone.llm.bytebpe import encoder
 END_ID = 0
 #: Runs that a task sweeps at once.
 RANGE_RUNS = 512
+#: The part of the sequences that their tokens would fill which documents without a gap open at once, unless there are
+#: few (a 256th of all): opened slowly, long documents meet long ones.
+OPENED = 2
 _RUN = pa.schema([("range", pa.int32()), ("gap", pa.bool_()), ("size", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
 #: A match: `n` documents of `size` from rank `first` on go to sequences from `seq` on, `per` to each, from `offset` on.
 _MATCH = pa.schema([("kind", pa.string()), ("size", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("seq", pa.int64()), ("per", pa.int64()), ("offset", pa.int64())])
@@ -121,6 +124,7 @@ def match_all(spark, counts: dict[int, int], seq_len: int, range_runs: int = RAN
     whole = counts.get(seq_len, 0)
     found = [(seq_len, 0, whole, 0, 1, 0)] if whole else []
     gaps: list[Run] = []
+    least_opened = sum(s * n for s, n in counts.items() if s < seq_len) // seq_len // 256
     seq, top = whole, seq_len
     while top:
         low = top // 2 if top * 8 > seq_len * 2 else 0
@@ -129,8 +133,10 @@ def match_all(spark, counts: dict[int, int], seq_len: int, range_runs: int = RAN
             most = max((g[0] for g in gaps), default=0)
             lost = [d for d in docs if d[0] > most]
             if lost:
-                tokens = sum(s * n for s, _, n in lost)
-                count = max(-(-tokens // seq_len), sum(n for s, _, n in lost if s > seq_len // 2))
+                filled = -(-sum(s * n for s, _, n in lost) // seq_len)
+                if filled > least_opened:
+                    filled = -(-filled // OPENED)
+                count = max(filled, sum(n for s, _, n in lost if s > seq_len // 2))
                 rest, fresh, matches = open_sequences(lost, count, seq, seq_len)
                 seq += count
                 docs, gaps, found = [d for d in docs if d[0] <= most] + rest, gaps + fresh, found + matches

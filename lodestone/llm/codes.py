@@ -15,7 +15,7 @@ Defined results: vectors that are null or hold null or non-finite components are
 they ended in zeros, and so do all where the width is no multiple of the parts; rows without an id are coded as well, and
 come after all others when the first entries are chosen; repeated ids are rows each, in order of their vectors; with fewer
 rows than entries there are fewer entries; an empty table gives no rows; other columns are ignored. Whole numbers stop
-where squared distances of a part would leave a long (2^29 for parts of 16), sums of errors at a long's ends.
+where squared distances of a part would leave a long (2^28 for parts of 16), sums of errors at a long's ends.
 """
 
 from __future__ import annotations
