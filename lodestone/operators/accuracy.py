@@ -10,27 +10,45 @@ from lodestone.operators import compress, freshness, fusion, gate
 from lodestone.operators.classify import Catalog
 
 
-def supported(fused: DataFrame, chunks: DataFrame, asked: DataFrame, catalog: Catalog, least: float = 0.10, share: float = 0.75) -> DataFrame:
-    """(qid, intent, id, url, score, relevance, context): of each question and intent the freshest page, if it supports an
-    answer itself; an older one never takes its place.
+def _with_defaults(df: DataFrame, **defaults) -> DataFrame:
+    """`df` with the columns that it lacks."""
+    return df.select("*", *[c.alias(n) for n, c in defaults.items() if n not in df.columns])
+
 
-    `fused` is `fusion.rrf`'s result, `chunks` has (id, text, title, url, published, intent), `asked` (qid, text, general).
-    Rows are reranked by their titles (a fused score counts as its share of the best possible one), judged, cut by score,
-    one chunk stands for its page, and contexts are compressed to the sentences that the question's words occur in.
+def judged(fused: DataFrame, chunks: DataFrame, asked: DataFrame, catalog: Catalog) -> DataFrame:
+    """Candidates with `score` (a fused score as its share of the best possible one, raised by title hits) and `relevance`.
+
+    A candidate is irrelevant if its intent or its title conflicts with the asked intent, or its time with the asked time.
     """
-    q = asked.select("qid", F.col("text").alias("question"), "general")
-    rows = fused.select("qid", "id", "fused", "signals", "lexical_rank").join(chunks, "id").join(F.broadcast(q), "qid")
+    asked = _with_defaults(asked, intent=F.lit(None).cast("string"), recency=gate.asks_for_recent(F.col("text"), catalog))
+    q = asked.select("qid", F.col("text").alias("question"), "general", F.col("intent").alias("asked_intent"), F.coalesce("recency", F.lit(False)).alias("recency"))
+    rows = fused.select("qid", "id", "fused", "signals", "lexical_rank").join(_with_defaults(chunks, document_type=F.lit("notice")), "id").join(q, "qid")
     rows = rows.withColumn("terms", gate.match_terms(F.col("question"), catalog)).withColumn("distinct", gate.distinctive(F.col("question"), (*catalog.recency, *catalog.generic)))
     title = compact(F.col("title"))
     best = 2.0 / (fusion.RRF_K + 1)
     rows = rows.withColumn("score", fusion.title_boost(F.col("fused") / best, fusion.hits(F.col("distinct"), title, 4), fusion.hits(F.col("terms"), title, 2)))
     markers = F.array(*[F.lit(m) for r in catalog.rules for m in r.evidence_markers]).cast("array<string>")
-    reason = gate.evidence(F.col("question"), F.col("title"), F.col("general"), F.lit(False), F.col("terms"), F.col("distinct"), markers)
+    reason = gate.evidence(F.col("question"), F.col("title"), F.col("general"), F.col("recency"), F.col("terms"), F.col("distinct"), markers)
     in_body = F.exists("distinct", lambda t: F.contains(compact(F.col("text")), t))
     rows = rows.withColumn("reason", reason)
     temporal = ~F.col("reason").isin("missing_temporal_evidence", "year_mismatch", "semester_mismatch")
-    judged = rows.withColumn("relevance", gate.relevance(F.lit(False), temporal, F.col("reason").startswith("accepted"), in_body, F.col("signals"), F.col("lexical_rank")))
-    kept = gate.score_gate(judged.where("relevance <> 'irrelevant'"), least, share)
-    pages = freshness.best_per_url(kept.select("qid", "id", "url", "intent", "published", "score", "relevance", "text", "terms"))
-    newest = gate.supported_newest(freshness.freshest_per_intent(pages))
-    return compress.compressed(newest).select("qid", "intent", "id", "url", "score", "relevance", "context")
+    conflict = gate.intent_conflict(F.col("asked_intent"), F.col("intent"), F.col("title"), catalog)
+    return rows.withColumn("relevance", gate.relevance(conflict, temporal, F.col("reason").startswith("accepted"), in_body, F.col("signals"), F.col("lexical_rank")))
+
+
+def supported(fused: DataFrame, chunks: DataFrame, asked: DataFrame, catalog: Catalog, least: float = 0.10, share: float = 0.75) -> DataFrame:
+    """(qid, intent, id, url, score, relevance, evidence, context): of each question and intent the freshest notice
+    (`newest`), and the static and historical pages that a question which is not for recent ones may refer to (`reference`).
+
+    `fused` is `fusion.rrf`'s result, `chunks` has (id, text, title, url, published, intent[, document_type]), `asked`
+    (qid, text, general[, intent, recency]). In this order: only relevant candidates go on, the score gate, one chunk for
+    each page, the freshest notice of each intent (undated ones only where recency is not asked for), and for general
+    questions the test whether that notice itself says what was asked. An older one never takes its place. Contexts are
+    compressed to the sentences that the question's words occur in.
+    """
+    relevant = judged(fused, chunks, asked, catalog).where("relevance = 'relevant'")
+    kept = gate.score_gate(relevant, least, share)
+    pages = freshness.best_per_url(kept.select("qid", "id", "url", "intent", "published", "score", "relevance", "title", "text", "terms", "distinct", "general", "recency", "document_type"))
+    newest = freshness.freshest_per_intent(pages).where(~F.col("general") | gate.supports(F.col("distinct"), F.col("title"), F.col("text"))).withColumn("evidence", F.lit("newest"))
+    reference = pages.where(~freshness.competes(F.col("document_type")) & ~F.col("recency")).withColumn("evidence", F.lit("reference"))
+    return compress.compressed(newest.unionByName(reference)).select("qid", "intent", "id", "url", "score", "relevance", "evidence", "context")

@@ -18,10 +18,16 @@ def missing_sources(spark: SparkSession, posts: DataFrame, required: tuple[str,
 
 
 def topics(spark: SparkSession, posts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(topic, posts, latest_id, latest_at) of every topic of the catalog, empty ones too."""
+    """(topic, posts, latest_id, latest_at[, latest_title, latest_url]) of every topic of the catalog, empty ones too; of
+    posts that have a `title` and a `url` also those of the latest."""
     catalog = spark.createDataFrame([(k,) for k in keys], "topic string")
     found = latest_id_per_topic(posts)
-    return catalog.join(found, "topic", "left").select("topic", F.coalesce("posts", F.lit(0)).alias("posts"), "latest_id", "latest_at")
+    out = catalog.join(found, "topic", "left").select("topic", F.coalesce("posts", F.lit(0)).alias("posts"), "latest_id", "latest_at")
+    if not {"title", "url"} <= set(posts.columns):
+        return out
+    of = posts.select(F.col("topic").alias("_t"), F.col("id").alias("_id"), F.struct("title", "url").alias("_p"), F.col("ordinal").alias("_o"))
+    named = out.join(of, (F.col("topic") == F.col("_t")) & (F.col("latest_id") == F.col("_id")), "left")
+    return named.groupBy("topic", "posts", "latest_id", "latest_at").agg(F.min_by("_p", "_o").alias("_p")).select("topic", "posts", "latest_id", "latest_at", F.col("_p.title").alias("latest_title"), F.col("_p.url").alias("latest_url"))
 
 
 def issues(spark: SparkSession, posts: DataFrame, keys: tuple[str, ...], required: tuple[str, ...], ruled: Column, now: Column, days: int = 180) -> DataFrame:
@@ -36,6 +42,6 @@ def issues(spark: SparkSession, posts: DataFrame, keys: tuple[str, ...], require
         row(missing_sources(spark, posts, required), "missing_source", F.col("source"), none("string"), none(kind))
         .unionByName(row(posts.where(F.col("published").isNull() & competes(F.col("document_type"))), "missing_published_at", F.col("source"), F.col("topic"), F.col("id")))
         .unionByName(row(posts.where(F.col("topic").isin(*keys) & (ruled != F.col("topic"))), "topic_override_mismatch", F.col("source"), F.col("topic"), F.col("id")))
-        .unionByName(row(summary.where("posts = 0"), "empty_topic", none("string"), F.col("topic"), none(kind)))
+        .unionByName(row(summary.where("latest_id IS NULL"), "empty_topic", none("string"), F.col("topic"), none(kind)))
         .unionByName(row(latest, "stale_topic", F.col("source"), F.col("topic"), F.col("latest_id")))
     )

@@ -21,6 +21,7 @@ class Rule:
     action_markers: tuple[str, ...] = ()
     evidence_markers: tuple[str, ...] = ()
     questions: tuple[str, ...] = ()
+    exclusion_markers: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ def read_catalog(spark: SparkSession, path: str) -> Catalog:
     rules = tuple(Rule(t["key"], pick(t, "keywords"), pick(t, "title_markers"), pick(t, "body_action_markers"), pick(t, "evidence_markers"), pick(t, "suggested_questions")) for t in raw["topics"])
     policy = raw.get("retrieval_policy") or {}
     kinds = tuple(Rule(k["key"], pick(k, "keywords")) for k in raw.get("notice_kinds") or ())
-    intents = {t["key"]: tuple(Rule(i["key"], pick(i, "keywords"), evidence_markers=pick(i, "evidence_markers")) for i in t["intents"]) for t in raw["topics"] if t.get("intents")}
+    intents = {t["key"]: tuple(Rule(i["key"], pick(i, "keywords"), evidence_markers=pick(i, "evidence_markers"), exclusion_markers=pick(i, "exclusion_markers")) for i in t["intents"]) for t in raw["topics"] if t.get("intents")}
     return Catalog(rules, raw["default_topic_key"], pick(policy, "recency_terms"), pick(policy, "generic_terms"), tuple(tuple(g) for g in policy.get("alias_groups") or ()), kinds, raw.get("default_notice_kind_key"), intents)
 
 

@@ -69,3 +69,26 @@ def query_variants(question: Column, label: Column, example: Column) -> Column:
 def supported_newest(freshest: DataFrame) -> DataFrame:
     """Only questions whose newest document is itself relevant; an older one never takes its place."""
     return freshest.where("relevance = 'relevant'")
+
+
+def asks_for_recent(question: Column, catalog: Catalog) -> Column:
+    """Whether a question has one of the catalog's words for recent."""
+    whole = compact(question)
+    return F.exists(F.array(*[compact(F.lit(t)) for t in catalog.recency]).cast("array<string>"), lambda t: F.contains(whole, t))
+
+
+def intent_conflict(asked: Column, intent: Column, title: Column, catalog: Catalog) -> Column:
+    """Whether a candidate's intent is another than the asked one (null conflicts with none), or its title has a marker
+    that the asked intent excludes."""
+    flat = compact(title)
+    out = F.coalesce(asked != intent, F.lit(False))
+    for rule in (i for some in catalog.intents.values() for i in some if i.exclusion_markers):
+        hit = F.exists(F.array(*[compact(F.lit(m)) for m in rule.exclusion_markers]), lambda m: F.contains(flat, m))
+        out = out | (F.coalesce(asked == rule.key, F.lit(False)) & F.coalesce(hit, F.lit(False)))
+    return out
+
+
+def supports(distinct: Column, title: Column, text: Column) -> Column:
+    """Whether a document says one of the words that distinguish a question, if it has any."""
+    flat = F.concat(compact(title), F.lit(" "), compact(text))
+    return (F.size(distinct) == 0) | F.exists(distinct, lambda t: F.contains(flat, t))

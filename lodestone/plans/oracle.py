@@ -65,8 +65,10 @@ def _dense(top: int = 10) -> str:
 _DENSE = _dense()
 _POSTS = """posts AS (SELECT event_type AS topic, event_id AS id, CASE WHEN event_id % 10 <> 3 THEN ts END AS published, ts AS crawled, event_id AS ordinal,
     CAST(user_id AS VARCHAR) AS url, 's' || (user_id % 4) AS source, CASE WHEN event_id % 17 = 0 THEN 'static' ELSE 'notice' END AS document_type FROM events)"""
-_LATEST = """latest AS (SELECT topic, arg_min(id, k) AS latest_id, arg_min(published, k) FILTER (k = 1) AS latest_at, count(*) AS posts FROM (
-    SELECT *, row_number() OVER (PARTITION BY topic ORDER BY published IS NULL, coalesce(published, crawled) DESC, crawled DESC, ordinal) AS k FROM posts) GROUP BY topic)"""
+#: Notices compete for latest; static and historical documents only count.
+_NOTICE = "document_type NOT IN ('static', 'historical')"
+_LATEST = f"""latest AS (SELECT t.topic, id AS latest_id, published AS latest_at, n AS posts FROM (SELECT topic, count(*) AS n FROM posts GROUP BY topic) t LEFT JOIN (
+    SELECT * FROM posts WHERE {_NOTICE} QUALIFY row_number() OVER (PARTITION BY topic ORDER BY published IS NULL, coalesce(published, crawled) DESC, crawled DESC, ordinal) = 1) p ON p.topic = t.topic)"""
 #: Classes in order, with their phrases; the longest phrase found decides.
 _RULES = (("english", ("of the", "and the")), ("german", ("der", "und die")), ("french", ("la", "dans les")), ("licence", ("license", "all rights reserved")), ("other", ("lorem",)))
 _NORMAL = "trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g'))"
@@ -141,8 +143,8 @@ SQL: dict[str, str] = {
     "intent_top3": f"WITH {_RANKED} SELECT id, key, hits, CAST(place AS INTEGER) AS place FROM top3",
     "intent_confirm": f"WITH {_RANKED} SELECT d.doc_id AS id, CASE WHEN count(*) FILTER (key = 'english') > 0 THEN 'english' END AS confirmed FROM documents d LEFT JOIN top3 ON top3.id = d.doc_id GROUP BY d.doc_id",
     "latest_per_topic": f"WITH {_POSTS}, {_LATEST} SELECT topic, latest_id, CAST(floor(epoch(latest_at)) AS BIGINT) AS latest_at, posts FROM latest",
-    "recent_notices": f"WITH {_POSTS}, o AS (SELECT *, CASE WHEN topic = 'click' THEN 0 ELSE 1 END AS f FROM posts WHERE published IS NOT NULL), u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY url ORDER BY f, published DESC, id) = 1) SELECT topic, id, url FROM u ORDER BY f, published DESC, id LIMIT 3",
-    "freshest_per_intent": f"WITH {_POSTS} SELECT source AS qid, topic AS intent, id FROM posts QUALIFY row_number() OVER (PARTITION BY source, topic ORDER BY published IS NULL, published DESC, id % 13 DESC, id) = 1",
+    "recent_notices": f"WITH {_POSTS}, o AS (SELECT *, CASE WHEN topic = 'click' THEN 0 ELSE 1 END AS f FROM posts WHERE published IS NOT NULL AND {_NOTICE}), u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY url ORDER BY f, published DESC, id) = 1) SELECT topic, id, url FROM u ORDER BY f, published DESC, id LIMIT 3",
+    "freshest_per_intent": f"WITH {_POSTS} SELECT source AS qid, topic AS intent, id FROM posts WHERE {_NOTICE} AND (source <> 's1' OR published IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY source, topic ORDER BY published IS NULL, published DESC, id % 13 DESC, id) = 1",
     "chunk_fixed": "WITH w AS (SELECT doc_id, text, unnest(range(0, CAST(floor((greatest(length(text) - 150, 1) - 1) / 750) AS BIGINT) + 1)) AS k FROM documents WHERE length(text) > 0) SELECT doc_id AS id, k AS chunk_no, k * 750 AS start, md5(substring(text, k * 750 + 1, 900)) AS text_md5 FROM w",
     "char_ngrams": f"WITH x AS (SELECT item_id, {_COMPACT.format('text')} AS t FROM benchmark), g AS (SELECT item_id, substring(t, i, n) AS g FROM x, (VALUES (2), (3), (4)) s(n), LATERAL (SELECT unnest(range(1, length(t) - n + 2)) AS i)) SELECT x.item_id, count(g) AS grams, count(DISTINCT g) AS kinds FROM x LEFT JOIN g ON g.item_id = x.item_id GROUP BY x.item_id",
     "bm25_topk": f"WITH {_bm25()} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM m",
@@ -173,9 +175,9 @@ SQL: dict[str, str] = {
     "audit_topics": f"WITH {_POSTS}, {_LATEST} SELECT k.topic, coalesce(posts, 0) AS posts, latest_id FROM (VALUES ('click'), ('purchase'), ('nothing')) k(topic) LEFT JOIN latest ON latest.topic = k.topic",
     "audit_issues": f"""WITH {_POSTS}, {_LATEST}, k(topic) AS (VALUES ('click'), ('purchase'), ('nothing'))
         SELECT 'missing_source' AS code, r.source, CAST(NULL AS VARCHAR) AS topic, CAST(NULL AS BIGINT) AS post_id FROM (VALUES ('s0'), ('s9')) r(source) WHERE r.source NOT IN (SELECT source FROM posts)
-        UNION ALL SELECT 'missing_published_at', source, topic, id FROM posts WHERE published IS NULL AND document_type NOT IN ('static', 'historical')
+        UNION ALL SELECT 'missing_published_at', source, topic, id FROM posts WHERE published IS NULL AND {_NOTICE}
         UNION ALL SELECT 'topic_override_mismatch', source, topic, id FROM posts WHERE topic IN (SELECT topic FROM k) AND id % 19 = 0 AND topic <> 'click'
-        UNION ALL SELECT 'empty_topic', NULL, topic, NULL FROM k WHERE topic NOT IN (SELECT topic FROM posts)
+        UNION ALL SELECT 'empty_topic', NULL, topic, NULL FROM k WHERE topic NOT IN (SELECT topic FROM latest WHERE latest_id IS NOT NULL)
         UNION ALL SELECT 'stale_topic', p.source, l.topic, l.latest_id FROM latest l JOIN k ON k.topic = l.topic JOIN posts p ON p.id = l.latest_id WHERE epoch(TIMESTAMP '2024-06-01') - floor(epoch(l.latest_at)) > 180 * 86400""",
     "staleness": f"WITH {_POSTS} SELECT id, epoch(TIMESTAMP '2024-06-01') - floor(epoch(published)) > 30 * 86400 AS stale, document_type NOT IN ('static', 'historical') AS competes FROM posts",
     "date_parsing": "WITH x AS (SELECT doc_id, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS d FROM documents) SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(epoch(d) AS BIGINT) WHEN 1 THEN CAST(epoch(d) AS BIGINT) + 37230 END AS at FROM x",
@@ -199,7 +201,7 @@ SQL: dict[str, str] = {
     "latest_of_all": f"WITH {_POSTS}, {_LATEST} SELECT p.topic, p.id, p.url FROM latest l JOIN posts p ON p.id = l.latest_id ORDER BY published IS NULL, coalesce(published, crawled) DESC, crawled DESC, ordinal LIMIT 1",
     "listed_pages": "SELECT page_id FROM pages WHERE page_id % 3 < 2 AND page_id % 4 <> 0",
     "variant_scores": "SELECT doc_id % 7 AS qid, doc_id % 50 AS id, round(max(n_chars % 100) / 100.0::DOUBLE, 6) AS score FROM documents GROUP BY 1, 2",
-    "newest_supported": f"WITH {_POSTS}, f AS (SELECT source AS qid, topic AS intent, id FROM posts QUALIFY row_number() OVER (PARTITION BY source, topic ORDER BY published IS NULL, published DESC, id % 13 DESC, id) = 1) SELECT qid, intent, id FROM f WHERE id % 2 = 0",
+    "newest_supported": f"WITH {_POSTS}, f AS (SELECT source AS qid, topic AS intent, id FROM posts WHERE {_NOTICE} QUALIFY row_number() OVER (PARTITION BY source, topic ORDER BY published IS NULL, published DESC, id % 13 DESC, id) = 1) SELECT qid, intent, id FROM f WHERE id % 2 = 0",
 }
 SQL["secret_scan"] = "WITH x AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for k, p in _UNSAFE) + " WHEN regexp_matches(regexp_replace(t, '(?i)https?://[^\\s<>\"'']+', '', 'g'), '(?:^|[^\\w])/(?:[^/]|$)') THEN 'posix_path' END AS unsafe, false AS safe FROM x"
 SQL["error_detail"] = "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '오류 ' || role WHEN turn % 3 = 0 THEN '안내 ' || role ELSE 'fallback' END AS message FROM conversations"

@@ -222,7 +222,7 @@ def recent_notices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def freshest_per_intent(spark: SparkSession, folder: str) -> DataFrame:
-    p = _posts(spark, folder).select(F.col("source").alias("qid"), F.col("topic").alias("intent"), "id", "published", (F.col("id") % 13 / 13).alias("score"))
+    p = _posts(spark, folder).select(F.col("source").alias("qid"), F.col("topic").alias("intent"), "id", "published", (F.col("id") % 13 / 13).alias("score"), "document_type", (F.col("source") == "s1").alias("recency"))
     return freshness.freshest_per_intent(p).select("qid", "intent", "id")
 
 
@@ -518,19 +518,19 @@ def variant_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def newest_supported(spark: SparkSession, folder: str) -> DataFrame:
     """Of each source and topic the freshest post, kept only if it is relevant itself."""
-    posts = _posts(spark, folder).select(F.col("source").alias("qid"), F.col("topic").alias("intent"), "id", "published", (F.col("id") % 13).cast("double").alias("score"), F.when(F.col("id") % 2 == 0, "relevant").otherwise("ambiguous").alias("relevance"))
+    posts = _posts(spark, folder).select(F.col("source").alias("qid"), F.col("topic").alias("intent"), "id", "published", (F.col("id") % 13).cast("double").alias("score"), F.when(F.col("id") % 2 == 0, "relevant").otherwise("ambiguous").alias("relevance"), "document_type")
     return gate.supported_newest(freshness.freshest_per_intent(posts)).select("qid", "intent", "id")
 
 
 def accuracy_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    """All questions of `benchmark` over all documents, by both retrievers, of each `wide(10)` rows."""
-    d = load(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", _title().alias("title"), F.col("source").alias("url"), F.lit(None).cast("timestamp").alias("published"), F.col("lang").alias("intent"))
-    asked = _asked(spark, folder).withColumn("general", F.lit(False))
-    many = lexical.wide(10)
-    dense = _dense(spark, folder, many)
-    fused = fusion.rrf(lexical.bm25(d, asked, many, score_digits=6), dense).where(F.col("place") <= 10)
+    """All questions of `benchmark` over all documents: the ten best of `fusion.hybrid`, judged, dated and compressed."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("timestamp")
+    kind = F.when(F.col("doc_id") % 17 == 0, "static").when(F.col("doc_id") % 19 == 0, "historical").otherwise("notice")
+    d = load(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", _title().alias("title"), F.concat("source", F.lit("/"), (F.col("doc_id") / 2).cast("long")).alias("url"), F.when((F.col("doc_id") % 10 != 3) & (kind == "notice"), day).alias("published"), F.col("lang").alias("intent"), kind.alias("document_type"))
+    asked = _asked(spark, folder).select("qid", "text", (F.col("qid") % 5 == 0).alias("general"), F.when(F.col("qid") % 4 == 1, "en").alias("intent"), (F.col("qid") % 3 == 0).alias("recency"))
+    fused = fusion.hybrid(_chunks(spark, folder), asked.select("qid", "text"), _vectors(spark, folder), _dense_questions(spark, folder), 10)
     found = accuracy.supported(fused, d, asked, CATALOG)
-    return found.select("qid", "id", "intent", "relevance", _r("score"), F.md5("context").alias("context_md5"))
+    return found.select("qid", "id", "intent", "evidence", _r("score"), F.md5("context").alias("context_md5"))
 
 
 _ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, hybrid_search, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, query_plan_whole, match_terms, context_compression, contact_lines, line_dedup, same_lines, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation, notice_kinds, intent_classify, title_first_topic, labels_allowed, intent_matches, report_summary, best_chunk, latest_flags, latest_urls, latest_of_all, listed_pages, variant_scores, newest_supported, accuracy_pipeline]

@@ -125,6 +125,21 @@ def test_freshness(spark):
     assert [r.id for r in freshness.recent(posts, "y").collect()] == [2, 1]
 
 
+def test_static_and_historical_posts_do_not_compete(spark):
+    t = lambda d: datetime(2026, 1, d)
+    kind = "topic string, id int, published timestamp, crawled timestamp, ordinal int, url string, document_type string, qid int, intent string, score double, recency boolean"
+    row = lambda topic, i, day, url, kind, recent: (topic, i, day and t(day), t(9), i, url, kind, 0 if recent else 1, topic, 0.5, recent)
+    posts = spark.createDataFrame([row("x", 1, 20, "u1", "static", False), row("x", 2, 5, None, "notice", False), row("x", 3, 4, None, None, False), row("y", 4, 6, "u4", "historical", False), row("z", 5, None, "u5", "notice", True), row("z", 6, None, "u6", "notice", False)], kind)
+    latest = {r.topic: (r.latest_id, r.posts) for r in freshness.latest_id_per_topic(posts).collect()}
+    assert latest == {"x": (2, 3), "y": (None, 1), "z": (6, 2)} or latest == {"x": (2, 3), "y": (None, 1), "z": (5, 2)}
+    flagged = freshness.latest_per_topic(posts)
+    assert flagged.count() == 6 and [r.id for r in flagged.where("is_latest").orderBy("id").collect()] == [2, 5]
+    assert [r.id for r in freshness.recent(posts, None).collect()] == [2, 3]  # without an address each is its own
+    assert sorted((r.qid, r.intent, r.id) for r in freshness.freshest_per_intent(posts).collect()) == [(1, "x", 2), (1, "z", 6)]
+    assert freshness.latest_of_all(flagged).first().id == 2
+    assert [r.topic for r in audit.issues(spark, posts.withColumn("source", F.lit("s")), ("x", "y"), (), F.col("topic"), F.lit(t(9))).where("code = 'empty_topic'").collect()] == ["y"]
+
+
 def test_audit(spark):
     t = datetime(2026, 1, 1)
     posts = spark.createDataFrame([(1, "s", "x", "notice", t, t, 1), (2, "s", "x", "static", None, t, 2), (3, "s", "x", "notice", None, t, 3)], "id int, source string, topic string, document_type string, published timestamp, crawled timestamp, ordinal int")

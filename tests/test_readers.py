@@ -66,3 +66,19 @@ def test_the_way_to_an_answer(spark):
     catalog = Catalog((Rule("other", ("lorem",)),), "other")
     got = accuracy.supported(fusion.rrf(ranks, ranks), chunks, asked, catalog).collect()
     assert [(r.intent, r.id, r.relevance) for r in got] == [("i", 1, "relevant")] and got[0].context.startswith("Tuition refund dates.")
+
+
+def test_only_relevant_candidates_reach_the_newest(spark):
+    rows = [
+        (1, "Tuition refund dates here.", "Tuition refund dates", "u1", "2024-05-01", "i", "notice"),
+        (2, "Something else entirely.", "Cafeteria", "u2", "2024-09-01", "i", "notice"),  # newer, ambiguous: evicts nothing
+        (3, "Tuition refund dates page.", "Tuition refund dates", "u3", None, "i", "static"),
+        (4, "Tuition refund dates undated.", "Tuition refund dates", "u4", None, "k", "notice"),
+        (5, "Tuition refund dates of others.", "Tuition refund dates", "u5", "2024-08-01", "m", "notice"),
+    ]
+    chunks = spark.createDataFrame(rows, "id int, text string, title string, url string, published string, intent string, document_type string").withColumn("published", F.to_timestamp("published"))
+    asked = spark.createDataFrame([(0, "tuition refund dates", False, None, False), (1, "latest tuition refund dates", False, None, None), (2, "tuition refund dates", True, "i", False)], "qid int, text string, general boolean, intent string, recency boolean").drop("recency")
+    ranks = spark.createDataFrame([(q, i, i) for q in range(3) for i in range(1, 6)], "qid int, id int, rank int")
+    catalog = Catalog((Rule("other", ("lorem",)),), "other", recency=("latest",))
+    got = sorted((r.qid, r.intent, r.id, r.evidence) for r in accuracy.supported(fusion.rrf(ranks, ranks), chunks, asked, catalog).collect())
+    assert got == [(0, "i", 1, "newest"), (0, "i", 3, "reference"), (0, "k", 4, "newest"), (0, "m", 5, "newest"), (1, "i", 1, "newest"), (1, "m", 5, "newest"), (2, "i", 1, "newest"), (2, "i", 3, "reference")]
