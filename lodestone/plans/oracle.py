@@ -223,3 +223,8 @@ SQL["query_plan_whole"] = SQL["query_plan"].replace("substring(text, 1, 20)", "t
 SQL["hybrid_search"] = f"""WITH {_bm25(100, grams=True)}, {_dense(100)}, f AS (SELECT coalesce(m.qid, dn.qid) AS qid, coalesce(m.id, dn.id) AS id, m.rank AS l, dn.rank AS d FROM m FULL JOIN dn ON dn.qid = m.qid AND dn.id = m.id),
     s AS (SELECT *, coalesce(1.0::DOUBLE / (60 + l), 0) + coalesce(1.0::DOUBLE / (60 + d), 0) AS fused FROM f)
     SELECT qid, id, CAST(l AS INTEGER) AS lexical_rank, CAST(d AS INTEGER) AS dense_rank, round(fused, 9) AS fused, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(fused, 12) DESC, id) AS INTEGER) AS place FROM s QUALIFY place <= 10"""
+
+SQL["knn_indexed"] = SQL["knn_batch"]
+SQL["knn_indexed_category"] = f"""WITH q AS (SELECT vec_id AS qid, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), n AS (SELECT b.qid, a.vec_id AS id, {_D} AS distance FROM embeddings AS a JOIN q AS b ON b.label = a.label)
+    SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS rank, round(distance, 6) + 0.0 AS distance FROM n QUALIFY rank <= 5"""
+SQL["bm25_indexed"] = SQL["bm25_topk"]

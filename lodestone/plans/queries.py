@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import contract, rows, text, vector
-from lodestone.operators import accuracy, audit, chunking, compress, evaluate, freshness, fusion, gate, lexical, readiness, routing, search
+from lodestone.operators import accuracy, audit, chunking, compress, evaluate, freshness, fusion, gate, inverted, ivf, lexical, readiness, routing, search
 from lodestone.operators.classify import Catalog, Rule, allowed_label, compatible_kind, confirmed, intent, notice_kind, ranked, suggested, topic, topic_title_first
 from lodestone.sources import snapshots, store
+from lodestone.sources.shared import shared_folder
 from lodestone.sources.tables import collection, load
 
 #: Phrases of the test tables' languages; a catalog for real use is read from its file.
@@ -533,5 +534,28 @@ def accuracy_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("qid", "id", "intent", "evidence", _r("score"), F.md5("context").alias("context_md5"))
 
 
-_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, hybrid_search, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, query_plan_whole, match_terms, context_compression, contact_lines, line_dedup, same_lines, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation, notice_kinds, intent_classify, title_first_topic, labels_allowed, intent_matches, report_summary, best_chunk, latest_flags, latest_urls, latest_of_all, listed_pages, variant_scores, newest_supported, accuracy_pipeline]
+def _index(spark: SparkSession, folder: str) -> ivf.PartitionIndex:
+    return ivf.build(_vectors(spark, folder), shared_folder(spark, "ivf"), cells=32)
+
+
+def knn_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """As `knn_batch`, by the partition index's exact way."""
+    found = ivf.search(spark, _index(spark, folder), _questions(spark, folder), search.TOP_K, probe=4, exact=True)
+    return found.select("qid", "id", _r("distance"), "rank")
+
+
+def knn_indexed_category(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest rows of each question's own category, by the partition index's exact way."""
+    asked = load(spark, folder, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("category"))
+    found = ivf.search(spark, _index(spark, folder), asked, search.TOP_K, probe=2, exact=True, by_category=True)
+    return found.select("qid", "id", _r("distance"), "rank")
+
+
+def bm25_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """As `bm25_topk`, from a stored inverted index."""
+    index = inverted.build(_chunks(spark, folder), shared_folder(spark, "bm25"))
+    return inverted.search(spark, index, _asked(spark, folder), 10, score_digits=6).select("qid", "id", "score", "rank")
+
+
+_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, hybrid_search, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, query_plan_whole, match_terms, context_compression, contact_lines, line_dedup, same_lines, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation, notice_kinds, intent_classify, title_first_topic, labels_allowed, intent_matches, report_summary, best_chunk, latest_flags, latest_urls, latest_of_all, listed_pages, variant_scores, newest_supported, accuracy_pipeline, knn_indexed, knn_indexed_category, bm25_indexed]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
