@@ -21,22 +21,27 @@ def _over(digests: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(digests), "").cast("binary"), 256)
 
 
-def leaves(rows: DataFrame, digits: int = 4, digest: Column | None = None) -> DataFrame:
-    """(range, rows, digest): a row for each range of digests that is not empty; `digest` defaults to all columns'."""
-    d = rows.select((row_digest(*rows.columns) if digest is None else digest).alias("d"))
-    return d.groupBy(F.substring("d", 1, digits).alias("range")).agg(F.count("*").alias("rows"), _over(F.collect_list("d")).alias("digest"))
+def leaves(rows: DataFrame, digits: int = 4, digest: Column | None = None, key: tuple[str, ...] = ()) -> DataFrame:
+    """([key,] range, rows, digest): a row for each range of digests that is not empty; `digest` defaults to all columns'.
+    With `key` every value of these columns is a table of its own."""
+    d = rows.select(*key, (row_digest(*rows.columns) if digest is None else digest).alias("_d"))
+    return d.groupBy(*key, F.substring("_d", 1, digits).alias("range")).agg(F.count("*").alias("rows"), _over(F.collect_list("_d")).alias("digest"))
 
 
-def tree(found: DataFrame) -> DataFrame:
-    """(level, range, rows, digest) of `leaves`: the ranges (2), their groups by the first half of the digits (1), and the
-    root (0), which an empty table has as well."""
+def tree(found: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """([key,] level, range, rows, digest) of `leaves`: the ranges (2), their groups by the first half of the digits (1),
+    and the root (0), which an empty table has as well if there is no key."""
     half = F.expr("substring(range, 1, greatest(1, length(range) DIV 2))")
-    up = lambda df, key: df.groupBy(key.alias("range")).agg(F.sum("rows").alias("rows"), F.transform(F.array_sort(F.collect_list(F.struct("range", "digest"))), lambda r: r["digest"]).alias("d")).select("range", "rows", F.sha2(F.array_join("d", "").cast("binary"), 256).alias("digest"))
+
+    def up(df: DataFrame, by: Column | None) -> DataFrame:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("range", "digest"))), lambda r: r["digest"])
+        grouped = df.groupBy(*key, *([] if by is None else [by.alias("_up")]))
+        out = grouped.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sha2(F.array_join(parts, "").cast("binary"), 256).alias("digest"))
+        return out.select(*key, (F.lit("") if by is None else F.col("_up")).alias("range"), "rows", "digest")
+
     groups = up(found, half)
-    root = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.transform(F.array_sort(F.collect_list(F.struct("range", "digest"))), lambda r: r["digest"]).alias("d"))
-    root = root.select(F.lit("").alias("range"), "rows", F.sha2(F.array_join("d", "").cast("binary"), 256).alias("digest"))
-    level = lambda df, n: df.select(F.lit(n).alias("level"), "range", "rows", "digest")
-    return level(found, 2).unionByName(level(groups, 1)).unionByName(level(root, 0))
+    level = lambda df, n: df.select(*key, F.lit(n).alias("level"), "range", "rows", "digest")
+    return level(found, 2).unionByName(level(groups, 1)).unionByName(level(up(groups, None), 0))
 
 
 def root(rows: DataFrame, digits: int = 4) -> tuple[str, int]:

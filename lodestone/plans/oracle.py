@@ -228,3 +228,24 @@ SQL["knn_indexed"] = SQL["knn_batch"]
 SQL["knn_indexed_category"] = f"""WITH q AS (SELECT vec_id AS qid, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), n AS (SELECT b.qid, a.vec_id AS id, {_D} AS distance FROM embeddings AS a JOIN q AS b ON b.label = a.label)
     SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS rank, round(distance, 6) + 0.0 AS distance FROM n QUALIFY rank <= 5"""
 SQL["bm25_indexed"] = SQL["bm25_topk"]
+
+
+def _tree(rows: str, key: str = "") -> str:
+    """Levels of a digest tree over `rows`, a query that gives `d` (and the key's column)."""
+    k, by = (f"{key}, ", f"GROUP BY {key}") if key else ("", "")
+    return f"""l AS (SELECT {k}substring(d, 1, 4) AS range, count(*) AS rows, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM ({rows}) GROUP BY {k}substring(d, 1, 4)),
+    g AS (SELECT {k}substring(range, 1, 2) AS range, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(digest, '' ORDER BY l.range)) AS digest FROM l GROUP BY {k}substring(range, 1, 2)),
+    t AS (SELECT {k}CAST(2 AS BIGINT) AS level, range, rows, digest FROM l UNION ALL SELECT {k}1, range, rows, digest FROM g UNION ALL SELECT {k}0, '', CAST(coalesce(sum(rows), 0) AS BIGINT), sha256(coalesce(string_agg(digest, '' ORDER BY range), '')) FROM g {by})"""
+
+
+_WHOLE = "array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(x::DOUBLE * 1024) AS BIGINT) AS VARCHAR)), ',')"
+SQL["content_digest"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS name, * FROM (WITH {_tree(f'SELECT sha256(CAST(to_json({r}) AS VARCHAR)) AS d FROM {n}')} SELECT * FROM t)"
+    for n, r in (("documents", "{'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text}"), ("embeddings", f"{{'label': label, 'vec_id': vec_id, 'whole': {_WHOLE}}}"))
+)
+SQL["strict_reasons"] = f"""WITH d AS (SELECT *, CAST(substring(source, 4) AS INTEGER) % 8 AS n FROM documents),
+    a AS (WITH {_tree("SELECT source, sha256(CAST(to_json({'doc_id': doc_id, 'text': text || CASE WHEN n = 2 AND doc_id % 2 = 0 THEN '!' ELSE '' END}) AS VARCHAR)) AS d FROM d", "source")} SELECT * FROM t WHERE level = 0),
+    b AS (WITH {_tree("SELECT source, sha256(CAST(to_json({'doc_id': doc_id, 'text': text}) AS VARCHAR)) AS d FROM d WHERE n <> 6", "source")} SELECT * FROM t WHERE level = 0),
+    x AS (SELECT a.source, CAST(substring(a.source, 4) AS INTEGER) % 8 AS n, coalesce(b.rows, 0) AS count, a.rows AS then_rows, a.digest = b.digest AS same FROM a LEFT JOIN b ON b.source = a.source)
+    SELECT source, count, CASE WHEN n = 7 THEN 'index_unavailable' WHEN count = 0 THEN 'empty_index' WHEN n = 5 THEN 'missing_manifest' WHEN n = 4 THEN 'invalid_manifest' WHEN n = 3 THEN 'settings_mismatch'
+        WHEN NOT coalesce(same, false) THEN 'content_mismatch' WHEN then_rows + CASE WHEN n = 1 THEN 1 ELSE 0 END <> count THEN 'chunk_count_mismatch' ELSE 'compatible' END AS reason FROM x"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import contract, rows, text, vector
-from lodestone.operators import accuracy, audit, chunking, compress, evaluate, freshness, fusion, gate, inverted, ivf, lexical, readiness, routing, search
+from lodestone.operators import accuracy, audit, chunking, compress, digest, evaluate, freshness, fusion, gate, inverted, ivf, lexical, readiness, routing, search
 from lodestone.operators.classify import Catalog, Rule, allowed_label, compatible_kind, confirmed, intent, notice_kind, ranked, suggested, topic, topic_title_first
 from lodestone.sources import snapshots, store
 from lodestone.sources.shared import shared_folder
@@ -557,5 +557,28 @@ def bm25_indexed(spark: SparkSession, folder: str) -> DataFrame:
     return inverted.search(spark, index, _asked(spark, folder), 10, score_digits=6).select("qid", "id", "score", "rank")
 
 
-_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, hybrid_search, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, query_plan_whole, match_terms, context_compression, contact_lines, line_dedup, same_lines, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation, notice_kinds, intent_classify, title_first_topic, labels_allowed, intent_matches, report_summary, best_chunk, latest_flags, latest_urls, latest_of_all, listed_pages, variant_scores, newest_supported, accuracy_pipeline, knn_indexed, knn_indexed_category, bm25_indexed]
+def content_digest(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest trees of all documents and of all embeddings, whose components go in as whole 1024ths."""
+    d = load(spark, folder, "documents").select("doc_id", "lang", "n_chars", "source", "text")
+    whole = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("string")), ",")
+    e = load(spark, folder, "embeddings").select("label", "vec_id", whole.alias("whole"))
+    name = lambda df, n: digest.tree(digest.leaves(df)).select(F.lit(n).alias("name"), F.col("level").cast("long").alias("level"), "range", "rows", "digest")
+    return name(d, "documents").unionByName(name(e, "embeddings"))
+
+
+def strict_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Every source's documents as a collection, whose manifest was written with another fault for each: a text that has
+    changed since, a row that has gone, other settings, and so on. Contents are compared by their digests' roots."""
+    d = load(spark, folder, "documents")
+    number = F.substring("source", 4, 9).cast("int") % 8
+    stored = d.where(number != 6).select("source", "doc_id", "text")
+    written = d.select("source", "doc_id", F.when((number == 2) & (F.col("doc_id") % 2 == 0), F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    at_root = lambda df, n: digest.tree(digest.leaves(df, digest=digest.row_digest("doc_id", "text"), key=("source",)), ("source",)).where("level = 0").select("source", F.col("digest").alias(n), F.col("rows").alias(f"{n}_rows"))
+    both = at_root(written, "then").join(at_root(stored, "now"), "source", "left").withColumn("n", number)
+    count, manifest_count = F.coalesce("now_rows", F.lit(0)), F.col("then_rows") + F.when(F.col("n") == 1, 1).otherwise(0)
+    reason = readiness.strict_reason(F.col("n") != 7, count, F.col("n") != 5, F.col("n") != 4, F.col("n") != 3, F.coalesce(F.col("now") == F.col("then"), F.lit(False)), manifest_count)
+    return both.select("source", count.alias("count"), reason.alias("reason"))
+
+
+_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, hybrid_search, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, query_plan_whole, match_terms, context_compression, contact_lines, line_dedup, same_lines, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation, notice_kinds, intent_classify, title_first_topic, labels_allowed, intent_matches, report_summary, best_chunk, latest_flags, latest_urls, latest_of_all, listed_pages, variant_scores, newest_supported, accuracy_pipeline, knn_indexed, knn_indexed_category, bm25_indexed, content_digest, strict_reasons]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
