@@ -33,11 +33,29 @@ def forged(claimed: Column, lexical_rank: Column, dense_rank: Column, k: int = R
 
 
 def inconsistent(*paths: DataFrame) -> DataFrame:
-    """Ids whose rows (id, meta) differ between retrieval paths."""
+    """Ids whose rows (id, meta) differ between retrieval paths; a null on one and a value on another differ, too."""
     rows = paths[0]
     for p in paths[1:]:
         rows = rows.unionByName(p)
-    return rows.groupBy("id").agg(F.count_distinct("meta").alias("versions")).where("versions > 1").select("id", "versions")
+    return rows.groupBy("id").agg(F.count_distinct(F.struct("meta")).alias("versions")).where("versions > 1").select("id", "versions")
+
+
+def consistent(*paths: DataFrame) -> DataFrame:
+    """(id, meta) of all retrieval paths, one row an id. Ids whose rows differ between paths end the job (fail closed)."""
+    rows = paths[0]
+    for p in paths[1:]:
+        rows = rows.unionByName(p)
+    one = rows.groupBy("id").agg(F.count_distinct(F.struct("meta")).alias("_n"), F.any_value("meta").alias("meta"))
+    fault = F.raise_error(F.concat(F.lit("metadata differ between retrieval paths: "), F.col("id").cast("string")))
+    return one.select("id", F.when(F.col("_n") == 1, F.col("meta")).otherwise(fault).alias("meta"))
+
+
+def reranked(candidates: DataFrame) -> DataFrame:
+    """Candidates (qid, id, score, title_marker, body_marker, temporal, conflict, published) with `place`: those without a
+    conflict first, then a title's marker, a body's marker, the right time, the score, and the date only between equals."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    order = [flag("conflict"), *[~flag(c) for c in ("title_marker", "body_marker", "temporal")], F.desc("score"), F.col("published").desc_nulls_last(), F.col("id")]
+    return candidates.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
 
 
 def title_boost(score: Column, distinct_hits: Column, policy_hits: Column) -> Column:

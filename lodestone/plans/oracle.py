@@ -249,3 +249,9 @@ SQL["strict_reasons"] = f"""WITH d AS (SELECT *, CAST(substring(source, 4) AS IN
     x AS (SELECT a.source, CAST(substring(a.source, 4) AS INTEGER) % 8 AS n, coalesce(b.rows, 0) AS count, a.rows AS then_rows, a.digest = b.digest AS same FROM a LEFT JOIN b ON b.source = a.source)
     SELECT source, count, CASE WHEN n = 7 THEN 'index_unavailable' WHEN count = 0 THEN 'empty_index' WHEN n = 5 THEN 'missing_manifest' WHEN n = 4 THEN 'invalid_manifest' WHEN n = 3 THEN 'settings_mismatch'
         WHEN NOT coalesce(same, false) THEN 'content_mismatch' WHEN then_rows + CASE WHEN n = 1 THEN 1 ELSE 0 END <> count THEN 'chunk_count_mismatch' ELSE 'compatible' END AS reason FROM x"""
+SQL["topic_automaton"] = SQL["topic_classify"]
+SQL["json_shapes"] = """WITH b AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN '[' || props || ']' WHEN 1 THEN substring(props, 2) WHEN 2 THEN 'null' WHEN 3 THEN CAST(value AS VARCHAR) WHEN 4 THEN '"' || event_type || '"' ELSE props END AS b FROM events),
+    k AS (SELECT event_id, b, CASE WHEN NOT json_valid(b) THEN 'broken' WHEN json_type(b) = 'OBJECT' THEN 'object' WHEN json_type(b) = 'ARRAY' THEN 'array' WHEN json_type(b) = 'NULL' THEN 'null' ELSE 'scalar' END AS kind FROM b WHERE b IS NOT NULL)
+    SELECT e.event_id, kind, CASE WHEN kind = 'object' THEN TRY_CAST(json_extract(b, '$.k') AS BIGINT) END AS k FROM events e LEFT JOIN k ON k.event_id = e.event_id"""
+SQL["rerank_order"] = f"""WITH {_dense(20)}, f AS (SELECT dn.qid, dn.id, floor((1 - distance) * 4) AS score, lang = 'en' AS tm, n_chars > 1500 AS bm, dn.id % 3 <> 0 AS te, dn.id % 5 = 0 AS co, CASE WHEN dn.id % 4 <> 0 THEN dn.id % 10 END AS published FROM dn JOIN documents d ON d.doc_id = dn.id)
+    SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY co, NOT tm, NOT bm, NOT te, score DESC, published DESC NULLS LAST, id) AS INTEGER) AS place FROM f"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import contract, rows, text, vector
-from lodestone.operators import accuracy, audit, chunking, compress, digest, evaluate, freshness, fusion, gate, inverted, ivf, lexical, readiness, routing, search
+from lodestone.functions import contract, json, rows, text, vector
+from lodestone.operators import accuracy, answers, audit, automaton, chunking, compress, digest, evaluate, freshness, fusion, gate, hashing, inverted, ivf, lexical, posts, readiness, routing, search
 from lodestone.operators.classify import Catalog, Rule, allowed_label, compatible_kind, confirmed, intent, notice_kind, ranked, suggested, topic, topic_title_first
 from lodestone.sources import snapshots, store
 from lodestone.sources.shared import shared_folder
@@ -580,5 +580,46 @@ def strict_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("source", count.alias("count"), reason.alias("reason"))
 
 
-_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, hybrid_search, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, query_plan_whole, match_terms, context_compression, contact_lines, line_dedup, same_lines, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation, notice_kinds, intent_classify, title_first_topic, labels_allowed, intent_matches, report_summary, best_chunk, latest_flags, latest_urls, latest_of_all, listed_pages, variant_scores, newest_supported, accuracy_pipeline, knn_indexed, knn_indexed_category, bm25_indexed, content_digest, strict_reasons]
+def feature_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Hashed vectors of all documents, titles weighted: how many components are not zero, and the largest one's number."""
+    d = load(spark, folder, "documents").select(F.col("doc_id").alias("id"), _title().alias("title"), "text")
+    size = F.transform("embedding", lambda x: F.round(F.abs(x), 9))
+    return hashing.text_vectors(d).select("id", F.size(F.filter("embedding", lambda x: x != 0)).alias("components"), F.array_position(size, F.array_max(size)).cast("int").alias("largest"))
+
+
+def topic_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    """As `topic_classify`, by one automaton of all phrases."""
+    d = load(spark, folder, "documents")
+    return d.select("doc_id", automaton.topic(F.col("text"), CATALOG, F.when(F.col("source") == "src1", "licence").when(F.col("source") == "src2", "unknown")).alias("topic"))
+
+
+def page_posts(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as posts."""
+    p = posts.board_posts(load(spark, folder, "pages"), "pages")
+    return p.select("id", "title", "document_type", F.md5("content").alias("content_md5"), F.size("attachments").alias("attachments"), F.size("links").alias("links"))
+
+
+def json_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Properties of all events in every shape that a body can have."""
+    p, n = F.col("props"), F.col("event_id") % 7
+    body = F.when(n == 0, F.concat(F.lit("["), p, F.lit("]"))).when(n == 1, F.substring(p, F.lit(2), F.length(p))).when(n == 2, F.lit("null")).when(n == 3, F.col("value").cast("string")).when(n == 4, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise(p)
+    found = load(spark, folder, "events").select("event_id", json.json_kind(body).alias("kind"), json.object_or_null(body).alias("o"))
+    return found.select("event_id", "kind", F.try_variant_get("o", "$.k", "long").alias("k"))
+
+
+def rerank_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The neighbours of all questions in order of their flags; scores are coarse, so that dates decide between equals."""
+    d = _dense(spark, folder, 20).join(load(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars"), "id")
+    flags = d.select("qid", "id", F.floor((1 - F.col("distance")) * 4).alias("score"), (F.col("lang") == "en").alias("title_marker"), (F.col("n_chars") > 1500).alias("body_marker"), (F.col("id") % 3 != 0).alias("temporal"), (F.col("id") % 5 == 0).alias("conflict"), F.when(F.col("id") % 4 != 0, F.col("id") % 10).alias("published"))
+    return fusion.reranked(flags).select("qid", "id", "place")
+
+
+def extractive_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """An answer from every document to what is asked in its language's commonest words."""
+    d = load(spark, folder, "documents")
+    answer = answers.extractive(F.col("text"), F.array(F.lit("the"), F.lit("der"), F.lit("la"), F.lit("of")))
+    return d.select("doc_id", answer.alias("answer")).select("doc_id", F.length("answer").alias("length"), F.md5("answer").alias("answer_md5"))
+
+
+_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, hybrid_search, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, query_plan_whole, match_terms, context_compression, contact_lines, line_dedup, same_lines, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation, notice_kinds, intent_classify, title_first_topic, labels_allowed, intent_matches, report_summary, best_chunk, latest_flags, latest_urls, latest_of_all, listed_pages, variant_scores, newest_supported, accuracy_pipeline, knn_indexed, knn_indexed_category, bm25_indexed, content_digest, strict_reasons, feature_vectors, topic_automaton, page_posts, json_shapes, rerank_order, extractive_answers]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
