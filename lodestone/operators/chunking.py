@@ -25,6 +25,18 @@ def headed(chunk_id: Column, title: Column, topic: Column, published: Column, te
     return F.concat_ws("\n", F.concat(F.lit("title: "), title), F.concat(F.lit("topic: "), topic), F.concat(F.lit("published: "), published), text)
 
 
+#: The header's labels, and the mark of documents whose figures are of the past.
+TITLE, PUBLISHED, STATE, BODY = "제목: ", "작성일: ", "문서 상태: 역사 정보 (현재 수치·현황 아님)", "본문: "
+
+
+def with_header(title: Column, published: Column, document_type: Column, text: Column) -> Column:
+    """A chunk's text below the header that is embedded with it; historical documents carry a mark, and a null title or
+    date is left empty."""
+    line = lambda label, c: F.concat(F.lit(label), F.coalesce(c, F.lit("")))
+    mark = F.when(document_type == "historical", F.lit(STATE))
+    return F.concat_ws("\n", line(TITLE, title), line(PUBLISHED, published), mark, line(BODY, text))
+
+
 def cut(text: str, size: int, overlap: int, slack: float = 0.2) -> Iterator[tuple[int, str]]:
     """Windows that end at a line's end, else a sentence's, else a space, within the last `slack` of the window.
 
@@ -52,9 +64,9 @@ def bounded_windows(docs: DataFrame, size: int = 900, overlap: int = 150) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, text in zip(b.column(0), b.column(1)):
-                parts = list(cut(text.as_py() or "", size, overlap))
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(parts), b.column(0).type), pa.array(range(len(parts)), pa.int64()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.string())], ["id", "chunk_no", "start", "text"])
+            rows = [(key, n, at, part) for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n, (at, part) in enumerate(cut(text or "", size, overlap))]
+            kinds = [b.column(0).type, pa.int64(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "chunk_no", "start", "text"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, chunk_no long, start int, text string")

@@ -255,3 +255,20 @@ SQL["json_shapes"] = """WITH b AS (SELECT event_id, CASE event_id % 7 WHEN 0 THE
     SELECT e.event_id, kind, CASE WHEN kind = 'object' THEN TRY_CAST(json_extract(b, '$.k') AS BIGINT) END AS k FROM events e LEFT JOIN k ON k.event_id = e.event_id"""
 SQL["rerank_order"] = f"""WITH {_dense(20)}, f AS (SELECT dn.qid, dn.id, floor((1 - distance) * 4) AS score, lang = 'en' AS tm, n_chars > 1500 AS bm, dn.id % 3 <> 0 AS te, dn.id % 5 = 0 AS co, CASE WHEN dn.id % 4 <> 0 THEN dn.id % 10 END AS published FROM dn JOIN documents d ON d.doc_id = dn.id)
     SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY co, NOT tm, NOT bm, NOT te, score DESC, published DESC NULLS LAST, id) AS INTEGER) AS place FROM f"""
+SQL["chunk_headers"] = """WITH w AS (SELECT doc_id, lang, text, unnest(range(0, CAST(floor((greatest(length(text) - 150, 1) - 1) / 750) AS BIGINT) + 1)) AS k FROM documents WHERE length(text) > 0)
+    SELECT doc_id AS id, k AS chunk_no, md5('제목: ' || coalesce(lang, '') || chr(10) || '작성일: ' || CASE WHEN doc_id % 3 > 0 THEN '2024-01-0' || (doc_id % 9 + 1) ELSE '' END || chr(10) || CASE WHEN doc_id % 19 = 0 THEN '문서 상태: 역사 정보 (현재 수치·현황 아님)' || chr(10) ELSE '' END || '본문: ' || substring(text, k * 750 + 1, 900)) AS text_md5 FROM w"""
+#: A window ends behind the last line end, sentence end or space that begins within its last fifth; the walk is recursive.
+SQL["chunk_boundary"] = """WITH RECURSIVE d AS (SELECT doc_id AS id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+    c AS (SELECT id, CAST(0 AS BIGINT) AS chunk_no, CAST(0 AS BIGINT) AS start, {end0} AS stop FROM d
+        UNION ALL SELECT id, chunk_no + 1, here, {end1} FROM (SELECT c.id, c.chunk_no, greatest(c.start + 1, c.stop - 150) AS here, d.text, d.n FROM c JOIN d ON d.id = c.id WHERE c.stop < d.n))
+    SELECT c.id, chunk_no, CAST(start AS INTEGER) AS start, substring(d.text, start + 1, stop - start) AS text FROM c JOIN d ON d.id = c.id"""
+
+
+def _stop(at: str) -> str:
+    """Where the window from `at` ends: of the text's 900 characters the last 180 (and a mark's length before) may end it."""
+    tail = lambda m: f"substring(text, {at} + 720 - {m} + 1, 180 + {m})"
+    last = lambda mark, m: f"CASE WHEN contains({tail(m)}, {mark}) THEN {at} + 720 - {m} + length({tail(m)}) - instr(reverse({tail(m)}), reverse({mark})) + 1 END"
+    return f"CASE WHEN {at} + 900 >= n THEN n ELSE coalesce({last('chr(10)', 1)}, {last(chr(39) + '. ' + chr(39), 2)}, {last(chr(39) + ' ' + chr(39), 1)}, {at} + 900) END"
+
+
+SQL["chunk_boundary"] = SQL["chunk_boundary"].format(end0=_stop("CAST(0 AS BIGINT)"), end1=_stop("here"))

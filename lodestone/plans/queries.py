@@ -621,5 +621,13 @@ def extractive_answers(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", answer.alias("answer")).select("doc_id", F.length("answer").alias("length"), F.md5("answer").alias("answer_md5"))
 
 
-_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, hybrid_search, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, query_plan_whole, match_terms, context_compression, contact_lines, line_dedup, same_lines, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation, notice_kinds, intent_classify, title_first_topic, labels_allowed, intent_matches, report_summary, best_chunk, latest_flags, latest_urls, latest_of_all, listed_pages, variant_scores, newest_supported, accuracy_pipeline, knn_indexed, knn_indexed_category, bm25_indexed, content_digest, strict_reasons, feature_vectors, topic_automaton, page_posts, json_shapes, rerank_order, extractive_answers]
+def chunk_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents' windows below their headers; one document in 19 is historical."""
+    d = load(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    about = load(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"))).alias("day"), F.when(F.col("doc_id") % 19 == 0, "historical").otherwise("notice").alias("kind"))
+    rows = chunking.windows(d).join(about, "id")
+    return rows.select("id", "chunk_no", F.md5(chunking.with_header(F.col("lang"), F.col("day"), F.col("kind"), F.col("text"))).alias("text_md5"))
+
+
+_ALL = [knn_topk, knn_category_filter, knn_batch, score_clamp, category_vote, category_routed_search, routed_search_fallback, no_answer_rows, context_assembly, post_limit_drop, metadata_defaults, int_coercion, question_validation, explicit_category, index_inspect, health_status, chat_guard, strict_compat, fingerprint, bulletize, answer_line_classes, response_contract, url_validity, secret_scan, error_detail, topic_classify, intent_top3, intent_confirm, suggested_questions, latest_per_topic, recent_notices, freshest_per_intent, chunk_fixed, chunk_boundary, char_ngrams, bm25_topk, rrf_fusion, hybrid_search, fused_verification, candidate_consistency, rerank_boost, score_gate, relevance_gate, evidence_decision, year_term_extract, query_plan, query_plan_whole, match_terms, context_compression, contact_lines, line_dedup, same_lines, hash_embedding, page_text, upsert_latest, filtered_chunks, row_count, source_label, audit_sources, audit_topics, audit_issues, staleness, date_parsing, eval_checks, eval_metrics, case_validation, notice_kinds, intent_classify, title_first_topic, labels_allowed, intent_matches, report_summary, best_chunk, latest_flags, latest_urls, latest_of_all, listed_pages, variant_scores, newest_supported, accuracy_pipeline, knn_indexed, knn_indexed_category, bm25_indexed, content_digest, strict_reasons, feature_vectors, topic_automaton, page_posts, json_shapes, rerank_order, extractive_answers, chunk_headers]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
