@@ -272,3 +272,30 @@ def _stop(at: str) -> str:
 
 
 SQL["chunk_boundary"] = SQL["chunk_boundary"].format(end0=_stop("CAST(0 AS BIGINT)"), end1=_stop("here"))
+_ANSWERS = "['latest', 'is', 'that', '학년도', '학기', '여름계절', '겨울계절']"
+SQL["accuracy_pipeline"] = f"""WITH {_bm25(100, grams=True)}, {_dense(100)}, fu AS (SELECT coalesce(m.qid, dn.qid) AS qid, coalesce(m.id, dn.id) AS id, m.rank AS l, dn.rank AS r FROM m FULL JOIN dn ON dn.qid = m.qid AND dn.id = m.id),
+    su AS (SELECT *, coalesce(1.0::DOUBLE / (60 + l), 0) + coalesce(1.0::DOUBLE / (60 + r), 0) AS fused FROM fu),
+    hy AS (SELECT * FROM su QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(fused, 12) DESC, id) <= 10),
+    ki AS (SELECT *, CASE WHEN doc_id % 17 = 0 THEN 'static' WHEN doc_id % 19 = 0 THEN 'historical' ELSE 'notice' END AS kind FROM documents),
+    ch AS (SELECT doc_id AS id, text, split_part(text, chr(10), 1) AS title, source || '/' || (doc_id // 2) AS url, CASE WHEN doc_id % 10 <> 3 AND kind = 'notice' THEN doc_id % 365 END AS published, lang AS intent, kind FROM ki),
+    qu AS (SELECT item_id AS qid, text AS question, item_id % 5 = 0 AS general, CASE WHEN item_id % 4 = 1 THEN 'en' END AS asked, item_id % 3 = 0 AS recency, {_COMPACT.format('text')} AS c,
+        list_filter({_WORDS.format('text')}, lambda s: length(s) >= 2) AS w FROM benchmark),
+    qt AS (SELECT *, list_distinct(list_concat(w, [c], CASE WHEN contains(c, 'thon') OR contains(c, 'ntion') THEN ['thon', 'ntion'] ELSE [] END)) AS terms,
+        list_filter(list_distinct(w), lambda s: NOT list_contains({_ANSWERS}, s) AND NOT regexp_full_match(s, '[0-9]+')) AS dist FROM qu),
+    ca AS (SELECT hy.qid, hy.id, l, r, fused, ch.* EXCLUDE (id), qt.* EXCLUDE (qid, c, w), {_COMPACT.format('title')} AS flat, {_COMPACT.format('ch.text')} AS body FROM hy JOIN ch ON ch.id = hy.id JOIN qt ON qt.qid = hy.qid),
+    sk AS (SELECT *, least(1.0::DOUBLE, fused / (2.0::DOUBLE / 61) + 0.08::DOUBLE * len(list_filter(dist, lambda s: length(s) >= 4 AND length(s) <= length(flat) AND contains(flat, s)))
+            + least(0.24::DOUBLE, 0.12::DOUBLE * len(list_filter(terms, lambda s: length(s) >= 2 AND length(s) <= length(flat) AND contains(flat, s))))) AS score,
+        len(list_filter(['the', 'der', 'les', 'license'], lambda k: contains(flat, k) AND len(list_filter(terms, lambda t: length(t) >= 2 AND (contains(t, k) OR contains(k, t)))) > 0)) > 0 AS marked,
+        list_filter(dist, lambda s: length(s) >= 2 AND contains(flat, s)) AS o, len(list_filter(dist, lambda s: contains(body, s))) > 0 AS in_body,
+        {_year('question')} AS qy, {_year('title')} AS ty, {_term('question')} AS qt, {_term('title')} AS tt FROM ca),
+    ju AS (SELECT *, CASE WHEN qy IS NOT NULL AND ty IS NULL OR qy <> ty OR qt IS NOT NULL AND tt IS NULL OR qt <> tt THEN 'time' WHEN general AND recency OR marked OR len(o) >= 2 OR len(list_filter(o, lambda s: length(s) >= 5)) > 0 THEN 'accepted' ELSE 'weak' END AS reason FROM sk),
+    re AS (SELECT * FROM ju WHERE NOT coalesce(asked <> intent, false) AND reason <> 'time' AND ((reason = 'accepted' OR in_body) AND l IS NOT NULL AND r IS NOT NULL OR reason = 'accepted' AND l IS NOT NULL) AND score >= 0.1),
+    ga AS (SELECT * FROM re QUALIFY score >= 0.75 * max(score) OVER (PARTITION BY qid)),
+    pa AS (SELECT * FROM ga QUALIFY row_number() OVER (PARTITION BY qid, url ORDER BY score DESC, id) = 1),
+    ne AS (SELECT * FROM pa WHERE kind = 'notice' AND (published IS NOT NULL OR NOT recency) QUALIFY row_number() OVER (PARTITION BY qid, intent ORDER BY published IS NULL, published DESC, score DESC, id) = 1),
+    ev AS (SELECT *, 'newest' AS evidence FROM ne WHERE NOT general OR len(dist) = 0 OR len(list_filter(dist, lambda s: contains(flat || ' ' || body, s))) > 0 UNION ALL SELECT *, 'reference' FROM pa WHERE kind <> 'notice' AND NOT recency),
+    se AS (SELECT qid, id, terms, unnest({_SENT}) AS s, generate_subscripts({_SENT}, 1) AS i FROM ev),
+    hi AS (SELECT *, len(list_intersect(list_distinct({_WORDS.format('s')}), terms)) AS h FROM se),
+    to_ AS (SELECT * FROM hi WHERE h > 0 QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY h DESC, i) <= 3),
+    co AS (SELECT qid, id, string_agg(s, ' ' ORDER BY i) AS c FROM to_ GROUP BY qid, id)
+    SELECT ev.qid, ev.id, intent, evidence, round(score, 6) + 0.0 AS score, md5(coalesce(co.c, ev.text)) AS context_md5 FROM ev LEFT JOIN co ON co.qid = ev.qid AND co.id = ev.id"""

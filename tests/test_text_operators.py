@@ -97,3 +97,18 @@ def test_extractive_answers(spark):
     assert df.where("i = 0").select(answers.required(answers.extractive(F.col("c"), F.col("t"))).alias("a")).first().a
     with pytest.raises(Exception, match="empty"):
         df.where("i = 2").select(answers.required(answers.extractive(F.col("c"), F.col("t"))).alias("a")).collect()
+
+
+def test_nfkc_changes_matches(spark):
+    import unicodedata
+
+    from lodestone.functions.unicode import nfkc
+    from lodestone.operators import lexical
+
+    texts = ["ＡＢＣ　ｄｅｆ", "ﬁle ①", "\u1100\u1161", "plain", "", None, "½ x²"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = [r.t for r in df.orderBy("id").select(nfkc("text").alias("t")).collect()]
+    assert got == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    asked = spark.createDataFrame([(0, "abc file 가")], "qid int, text string")
+    assert lexical.bm25(df, asked).count() == 0
+    assert sorted(r.id for r in lexical.bm25(df.withColumn("text", nfkc("text")), asked).collect()) == [0, 1, 2]
