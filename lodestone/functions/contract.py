@@ -23,8 +23,26 @@ UNSAFE = {
     "windows_path": r"(?i)(?:^|[^\w])[A-Za-z]:[\\/]",
     "posix_path": r"(?:^|[^\w])/(?:[^/]|$)",
 }
-_URL = r"(?i)https?://[^\s<>\"']+"
-_ENDPOINT = r"(?i)/api/(?:health|live)(?:에서|으로|정도|를|을|은|는|이|가|에|로|와|과|의|도|만)?(?=$|\s|[.,!;:。、，．！…](?:$|\s|[가-힣]))"
+#: An address, an endpoint that a message may name, a particle after it, and a sign that ends it.
+URL = r"(?i)https?://[^\s<>\"']+"
+ENDPOINT = r"(?i)/api/(?:health|live)"
+PARTICLE = r"^(?:에서|으로|정도|를|을|은|는|이|가|에|로|와|과|의|도|만)"
+PUNCTUATION = r"^[.,!;:。、，．！…]"
+
+
+def _without_endpoints(x: Column) -> Column:
+    """A text without the endpoints that it names as such: the mention, with or without a particle, ends the text, stands
+    before white space, or before a sign that itself ends the text or stands before white space or a Korean word."""
+    between = F.split(x, ENDPOINT)
+
+    def back(part: Column, i: Column) -> Column:
+        bare = F.regexp_replace(part, PARTICLE, "")
+        behind = F.substring(bare, F.lit(2), F.length(bare))
+        stops = lambda s: s.rlike(r"^\s") | ((s == "") & (i == F.size(between) - 1))
+        named = stops(bare) | (bare.rlike(PUNCTUATION) & (stops(behind) | behind.rlike("^[가-힣]")))
+        return F.when((i == 0) | named, part).otherwise(F.concat(F.lit("/api/live"), part))
+
+    return F.array_join(F.transform(between, back), "")
 
 
 def response_type(x: Column) -> Column:
@@ -43,7 +61,7 @@ def first_unsafe(x: Column) -> Column:
     """The first reason for which a message may not be shown; null if none of UNSAFE holds."""
     out = F
     for name, pattern in UNSAFE.items():
-        seen = F.regexp_replace(F.regexp_replace(x, _URL, ""), _ENDPOINT, "") if name == "posix_path" else x
+        seen = _without_endpoints(F.regexp_replace(x, URL, "")) if name == "posix_path" else x
         out = out.when(seen.rlike(pattern), name)
     return out
 
@@ -51,7 +69,7 @@ def first_unsafe(x: Column) -> Column:
 def safe_message(x: Column) -> Column:
     """One line of 1 to 500 characters, in Korean, that shows nothing internal; addresses in it are plain ones."""
     bare = strip(x)
-    plain_urls = ~F.exists(F.regexp_extract_all(bare, F.lit(_URL), F.lit(0)), lambda u: u.rlike("[?#]|://[^/]*@"))
+    plain_urls = ~F.exists(F.regexp_extract_all(bare, F.lit(URL), F.lit(0)), lambda u: u.rlike("[?#]|://[^/]*@"))
     return F.coalesce(F.length(bare).between(1, 500) & first_unsafe(bare).isNull() & plain_urls & bare.rlike("[가-힣]"), F.lit(False))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Particles that end a Korean word, longest of the same ending first.
+#: Particles that end a Korean word, in the order in which they are tried.
 PARTICLES = ("으로", "에서", "까지", "부터", "에게", "한테", "처럼", "보다", "로", "을", "를", "은", "는", "이", "가", "의", "와", "과", "도", "에")
 #: How a text names a term, in the order in which they are tried.
 TERMS = (("summer", r"여름\s*계절(?:학기|수업)?"), ("winter", r"겨울\s*계절(?:학기|수업)?"), ("first", r"1\s*학기"), ("second", r"2\s*학기"))

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 CHECKS = ("topic_match", "grounded_match", "latest_only_match", "source_title_match")
 
 
+#: Fixed value: what a case's id looks like.
+CASE_ID = "^[a-z0-9]+(?:-[a-z0-9]+)*$"
+
+
 def faulty_cases(cases: DataFrame) -> DataFrame:
     """Cases (id, question, expected_grounded, expected_titles) that break a rule, with the rule."""
     counted = cases.groupBy("id").agg(F.count("*").alias("n"))
     rule = (
-        F.when(~F.col("id").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$"), "id").when(F.col("n") > 1, "repeated_id")
+        F.when(~F.col("id").rlike(CASE_ID), "id").when(F.col("n") > 1, "repeated_id")
         .when(~F.length("question").between(2, 500), "question").when(~F.col("expected_grounded") & (F.size("expected_titles") > 0), "titles")
     )
     return cases.join(counted, "id").withColumn("rule", rule).where("rule IS NOT NULL").select("id", "rule")

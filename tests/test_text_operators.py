@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import json
+from lodestone.functions import contract, json
 from lodestone.operators import answers, automaton, classify, fusion, hashing, posts, search
 
 
@@ -112,3 +112,11 @@ def test_nfkc_changes_matches(spark):
     asked = spark.createDataFrame([(0, "abc file 가")], "qid int, text string")
     assert lexical.bm25(df, asked).count() == 0
     assert sorted(r.id for r in lexical.bm25(df.withColumn("text", nfkc("text")), asked).collect()) == [0, 1, 2]
+
+
+def test_endpoints_that_a_message_may_name(spark):
+    fine = ["/api/health 확인", "서버는 /api/live에서 확인", "보기: /api/health.", "/api/live, 그리고 /api/health를", "/api/health,다음"]
+    bad = ["/api/healthz 확인", "/api/live/x 확인", "/api/health/api/live", "/api/other 확인", "/api/health,next", "길 /etc/passwd"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(fine + bad)], "i int, t string").orderBy("i")
+    got = [r.u for r in df.select(contract.first_unsafe(F.col("t")).alias("u")).collect()]
+    assert got == [None] * len(fine) + ["posix_path"] * len(bad)
