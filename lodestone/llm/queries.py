@@ -136,7 +136,38 @@ def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
     """
 
 
+#: CRC-32 of `conv_id` as text, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+            lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_trie": f"""
+        WITH t0 AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+        ), t AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM t0
+        ), c AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)
+        ), r AS (
+            SELECT c.conv_id, 1 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE pos >= h
+            UNION ALL SELECT c.conv_id, 0, pos, role, text FROM c JOIN t ON t.conv_id = c.base WHERE pos < h
+        ), s AS (
+            SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY part, pos) FILTER (part IS NOT NULL), []) AS seq FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id
+        ), n AS (
+            SELECT conv_id, d, len(seq) = d AS ends, CASE WHEN d > 0 THEN length(seq[d].text) ELSE 0 END AS chars, md5(d || CAST(to_json(seq[1:d]) AS VARCHAR)) AS k,
+                CASE WHEN d > 0 THEN md5((d - 1) || CAST(to_json(seq[1:d - 1]) AS VARCHAR)) END AS up FROM s, LATERAL (SELECT unnest(range(len(seq) + 1)) AS d)
+        ), g AS (
+            SELECT k, any_value(up) AS up, min(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS own,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM n GROUP BY k
+        ), kids AS (
+            SELECT up AS k, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY up
+        ), w AS (
+            SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN kids USING (k)
+        ), sub AS (
+            SELECT n.k, count(*) FILTER (w.n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM w JOIN n ON n.conv_id = w.conv_id AND n.d <= w.depth GROUP BY n.k
+        )
+        SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256 FROM w JOIN sub USING (k) LEFT JOIN g AS p ON p.k = w.up
+    """,
     "op11_codes": _codes_sql(),
     "op2_topk": """
         WITH v AS (
