@@ -95,7 +95,7 @@ VECTORS = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [
 
 
 def test_vectors(spark):
-    df = clashing(spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>")).drop("node", "score").withColumn("label", F.lit(1))
+    df = clashing(spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>")).withColumn("label", F.lit(1))
     top = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 100 == 0, k=3).orderBy("query_id", "rank").collect()]
     assert top[:3] == [(0, 1, 8, 2048 * 1024), (0, 2, 9, 1024 * 1024), (0, 3, 100, 1024 * 1024)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdup.near_duplicates(df).collect()}
