@@ -1,9 +1,11 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic training rows are the positives; training rows of the label table, whose labels are not looked at, are
-the unlabelled set, so that the class prior, the share of confirmed rows in that table, is the prior of this very set. A linear classifier over hashed words and word beginnings is trained in numpy by the class-prior-corrected
-risk  prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]),  whose negative part is kept from falling below zero.
-Scoring reads each whole text once, without a shuffle; the model is a bounded table of weights.
+the unlabelled set, so that the class prior, the share of confirmed rows in that table, is the prior of this very set. A
+linear classifier over hashed words and word beginnings is trained in numpy by the class-prior-corrected risk
+prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]),  whose negative part is kept from falling below zero.
+The bias is then moved so that the threshold falls where the F measure is best, as estimated from the prior on folds that
+the fit did not see. Scoring reads each whole text once, without a shuffle; the model is a bounded table of weights.
 
 Bounds: the fit, in one task, takes at most `most_positive` and `most_unlabelled` labelled rows, chosen by a hash of the
 id; every text is scored.
@@ -32,16 +34,16 @@ FOLDS, HELD_OUT = 3, 1
 
 
 def word_features(word: str) -> tuple[int, ...]:
-    """Hashed ids of a word and of its beginnings of 3 to 6 letters."""
+    """Hashed ids of a word and of its beginnings of 3 to 8 letters."""
     w = word.strip(_EDGES)
-    return tuple(crc32(x.encode()) for x in {"w" + w, *("p" + w[:n] for n in range(3, min(7, len(w) + 1)))}) if w else ()
+    return tuple(crc32(x.encode()) for x in {"w" + w, *("p" + w[:n] for n in range(3, min(9, len(w) + 1)))}) if w else ()
 
 
 def text_features(text: str | None) -> set[int]:
     return {f for w in set((text or "").lower().split()) for f in word_features(w)}
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 200, rate: float = 0.1, l2: float = 1e-4, least_positive: int = 3, least_ratio: float = 3.0, least_z: float = 3.5, least_weight: float = 0.3) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 200, rate: float = 0.1, l2: float = 1e-6, least_positive: int = 3, least_ratio: float = 4.0, least_z: float = 3.5, least_weight: float = 0.3) -> tuple[np.ndarray, np.ndarray, float]:
     """Kept feature ids (ascending), their weights, and the bias.
 
     Features are kept that are `least_ratio` times as frequent among the positives as in the unlabelled texts, by
@@ -68,40 +70,86 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return kept, weights, bias
 
 
-def _descend(kept: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int, rate: float, l2: float) -> tuple[np.ndarray, float]:
-    """Weights of the kept features and the bias, by Adam on the non-negative risk."""
+def _hits(kept: np.ndarray, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(document, place in `kept`) of every kept feature of the documents, and the number of documents."""
+    found = np.concatenate(docs)
+    col = np.minimum(np.searchsorted(kept, found), len(kept) - 1)
+    doc, hit = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), kept[col] == found
+    return doc[hit], col[hit], len(docs)
 
-    def rows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        found = np.concatenate(docs)
-        col = np.minimum(np.searchsorted(kept, found), len(kept) - 1)
-        doc, hit = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), kept[col] == found
-        return doc[hit], col[hit]
 
-    (pd, pc), (ud, uc) = rows(positive), rows(unlabelled)
-    n_p, n_u = len(positive), len(unlabelled)
-    w = np.zeros(len(kept) + 1)
-    w[-1] = -2.0
-    m, v = np.zeros_like(w), np.zeros_like(w)
+def risk(w: np.ndarray, positive: tuple, unlabelled: tuple, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Positive and negative part of the corrected risk (logistic loss) and their gradients; the bias is the last of `w`."""
+    (pd, pc, n_p), (ud, uc, n_u) = positive, unlabelled
 
     def gradient(doc: np.ndarray, col: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(col, weights=g[doc], minlength=len(kept)), g.sum())
+        return np.append(np.bincount(col, weights=g[doc], minlength=len(w) - 1), g.sum())
 
     def sigmoid(z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
+    zp = np.bincount(pd, weights=w[pc], minlength=n_p) + w[-1]
+    zu = np.bincount(ud, weights=w[uc], minlength=n_u) + w[-1]
+    sp, su = sigmoid(zp), sigmoid(zu)
+    gain = prior * np.logaddexp(0, -zp).mean()
+    rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return gain, rest, gradient(pd, pc, prior * (sp - 1) / n_p), gradient(ud, uc, su / n_u) - gradient(pd, pc, prior * sp / n_p)
+
+
+def _descend(kept: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int, rate: float, l2: float) -> tuple[np.ndarray, float]:
+    """Weights of the kept features and the bias, by Adam on the non-negative risk."""
+    rows = _hits(kept, positive), _hits(kept, unlabelled)
+    w = np.zeros(len(kept) + 1)
+    w[-1] = -2.0
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, epochs + 1):
-        zp = np.bincount(pd, weights=w[pc], minlength=n_p) + w[-1]
-        zu = np.bincount(ud, weights=w[uc], minlength=n_u) + w[-1]
-        sp, su = sigmoid(zp), sigmoid(zu)
-        negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        rest = gradient(ud, uc, su / n_u) - gradient(pd, pc, prior * sp / n_p)
-        g = gradient(pd, pc, prior * (sp - 1) / n_p) + rest if negative_risk >= 0 else -rest
+        _, rest, up, down = risk(w, *rows, prior)
+        g = up + down if rest >= 0 else -down
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
+def best_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float | None:
+    """The logit between two given ones at which  2 * prior * recall / (share of unlabelled + prior),  the F measure as
+    the prior gives it, is greatest; the highest of equals. None if there is nothing to choose."""
+    at = np.unique(np.concatenate((positive, unlabelled)))
+    if len(at) < 2:
+        return None
+    cuts = (at[1:] + at[:-1]) / 2
+    recall = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    share = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    f = 2 * prior * recall / (share + prior)
+    return float(cuts[np.flatnonzero(f == f.max())[-1]])
+
+
+def fit_calibrated(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, threshold: float = 0.7, folds: int = 4, few: float = 50.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """`fit_nnpu` with its bias moved so that `threshold` is the score of the best cut.
+
+    The cut is chosen on logits of documents that their fold's fit did not see; equal documents share a fold. With
+    few positives it says little: n of them move the bias n / (n + `few`) of the way.
+    """
+    kept, weights, bias = fit_nnpu(positive, unlabelled, prior)
+    if not len(kept):
+        return kept, weights, bias
+    of_p, of_u = ([crc32(d.tobytes()) % folds for d in docs] for docs in (positive, unlabelled))
+    seen: list[list[float]] = [[], []]
+    for k in range(folds):
+        rest = [d for d, f in zip(positive, of_p) if f != k], [d for d, f in zip(unlabelled, of_u) if f != k]
+        ids, w, b = fit_nnpu(*rest, prior)
+        for z, docs, of in ((seen[0], positive, of_p), (seen[1], unlabelled, of_u)):
+            mine = [d for d, f in zip(docs, of) if f == k]
+            if mine:
+                doc, col, n = _hits(ids, mine) if len(ids) else ([], [], len(mine))
+                z += (np.bincount(doc, weights=w[col], minlength=n) + b).tolist() if len(doc) else [b] * n
+    cut = best_cut(np.array(seen[0]), np.array(seen[1]), prior)
+    if cut is None:
+        return kept, weights, bias
+    aim = float(np.log(threshold / (1 - threshold)))
+    return kept, weights, bias + (aim - cut) * len(positive) / (len(positive) + few)
+
+
 class Scorer:
     """Toxicity scores of texts under a fitted model."""
 
@@ -126,8 +174,9 @@ class Scorer:
         return float(1 / (1 + np.exp(-min(40.0, max(-40.0, z)))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 2000, most_unlabelled: int = 6000) -> Scorer:
-    """Fit on the folds that are not held out; the driver gets no more than the features that are kept."""
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 2000, most_unlabelled: int = 6000, threshold: float = 0.7) -> Scorer:
+    """Fit on the folds that are not held out, calibrated for `threshold`; the driver gets no more than the features that are
+    kept."""
     train = labelled(labels, "toxic", fold("doc_id", FOLDS) != HELD_OUT)
     positive = bounded(train.where("y = 1").select("doc_id"), most_positive, 1).withColumn("y", F.lit(1))
     chosen = positive.unionByName(bounded(train.select("doc_id"), most_unlabelled, 2).withColumn("y", F.lit(0)))
@@ -141,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 2000, most_unla
     def learn(pdf):
         pdf = pdf.sort_values("doc_id")
         of = [[np.frombuffer(f, np.uint32).astype(np.int64) for f in pdf.f[pdf.y == y]] for y in (1, 0)]
-        kept, weights, bias = fit_nnpu(*of, prior)
+        kept, weights, bias = fit_calibrated(*of, prior, threshold)
         return pd.DataFrame({"kept": [kept], "weights": [weights], "bias": [bias]})
 
     rows = texts_of(docs, chosen).select("text", "doc_id", "y").mapInArrow(features, "doc_id long, y int, f binary")
