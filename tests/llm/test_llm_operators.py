@@ -363,7 +363,7 @@ def test_pipeline_stages(spark, sf, docs):
     scores = toxicity.score(frame, toxicity.fit(frame, spark.read.parquet(f"{sf}/labels.parquet")))
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in scores.collect() if r.predicted == 0}
     one = stage["simhash"](spark, frame, sf)
-    assert {r.doc_id for r in one.collect()} == {r.component_id for r in simhash.near_duplicates(frame).collect()}
+    assert {r.doc_id for r in one.collect()} == {r.component_id for r in simhash.similar(frame).collect()}
     hidden = stage["pii"](spark, frame, sf)
     assert hidden.count() == len(docs) and pii.digest(pii.scan(hidden)).agg(F.sum("n_email") + F.sum("n_phone") + F.sum("n_card")).first()[0] == 0
     mixed = stage["mixing"](spark, frame, sf).toPandas()
