@@ -1,6 +1,6 @@
 """Cost-balanced packing of documents into fixed-length token sequences.
 
-Each task tokenises its own documents and packs them shard by shard (a shard is a bounded number of tokens), so no
+Each task tokenises its own documents and packs them shard by shard (a shard is a bounded number of tokens and of documents), so no
 row is shuffled and memory does not grow with the input. In a shard every document first gives up its whole
 `seq_len` chunks, which fill sequences of their own. The remainders go, in descending order, to the sequence with the
 lowest estimated cost (linear plus quadratic in the piece's length) that still has room. A remainder that fits nowhere
@@ -141,7 +141,7 @@ def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int
     return out
 
 
-def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, seq_len: int, shard_tokens: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, seq_len: int, shard_tokens: int, shard_docs: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     encode, end = encoder(path), np.array([END_ID], "<u4").tobytes()
     base, made = TaskContext.get().partitionId() << 32, 0
     ids: list[int | None] = []
@@ -176,17 +176,17 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, seq_len: int,
             ids.append(doc_id)
             docs.append(got)
             held += len(got) // 4
-            if held >= shard_tokens:
+            if held >= shard_tokens or len(docs) >= shard_docs:
                 yield flush()
     if docs:
         yield flush()
 
 
-def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, shard_tokens: int = 4_000_000, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, shard_tokens: int = 4_000_000, shard_docs: int = 200_000, keep_ids: bool = False) -> DataFrame:
     """Pack every document; one row for each piece.
 
-    `shard_tokens` bounds a task's memory, not what is packed. `keep_ids` adds the piece's token ids as `ids`.
+    `shard_tokens` and `shard_docs` (many texts are tiny or empty) bound a task's memory, not what is packed. `keep_ids` adds the piece's token ids as `ids`.
     """
     schema = SCHEMA + (", ids array<int>" if keep_ids else "")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(lambda b: _pack_partition(b, tokenizer_path, seq_len, shard_tokens, keep_ids), schema)
+    return rows.mapInArrow(lambda b: _pack_partition(b, tokenizer_path, seq_len, shard_tokens, shard_docs, keep_ids), schema)

@@ -49,6 +49,13 @@ def test_packing_round_trip(spark, sf, docs):
     assert padding == 0
 
 
+def test_shards_are_bounded_in_documents_and_pad_nothing(spark):
+    rows = packing.pack(spark.createDataFrame([(i, "" if i % 3 else "some words") for i in range(1000)], "doc_id long, text string").coalesce(1), queries.tokenizer_path(), shard_docs=64).toPandas()
+    assert sorted(set(rows.doc_id)) == list(range(1000))
+    by = rows.groupby("sequence_id")
+    assert by.doc_id.nunique().max() <= 64 and all(n & (n - 1) == 0 for n in by.length.sum())
+
+
 def test_packing_balances_cost():
     lengths = np.random.default_rng(0).integers(1, 1500, 400).tolist()
     cost = [sum(packing.piece_cost(n, 2048) for _, _, n in s) for s in packing.pack_lengths(lengths) if sum(n for _, _, n in s) == 2048]
