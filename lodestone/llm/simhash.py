@@ -296,7 +296,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def similar(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 100, first: int = 26, tile: int = 8192) -> DataFrame:
+def similar(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 100, first: int = 20, tile: int = 8192) -> DataFrame:
     """(doc_id, fp, component, component_id) for every document; components are joined by pairs whose sets of shingles
     have a Jaccard similarity of `least` or more, on whole texts.
 
@@ -322,6 +322,6 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 1
     return signed.select("doc_id", "fp").join(by_fp.hint("merge"), "fp")
 
 
-def keep_similar(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 100, first: int = 26, tile: int = 8192) -> DataFrame:
+def keep_similar(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 100, first: int = 20, tile: int = 8192) -> DataFrame:
     """As `keep_one`, of the groups that `similar` finds."""
     return _one_of_each(docs, checkpoint(similar(docs, least, width, radius, first, tile)), text_key_column)
