@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.vector import cosine_distance
 from lodestone.operators import inverted, ivf, lexical, search
 from lodestone.sources.shared import shared_folder
 
@@ -84,3 +86,24 @@ def test_inverted_index_of_an_empty_table(spark):
     index = inverted.build(spark.createDataFrame([], "id long, text string"), shared_folder(spark, "bm25"))
     assert index.n == 0
     assert inverted.search(spark, index, spark.createDataFrame([(0, "a")], "qid int, text string")).count() == 0
+
+
+def test_batched_search_keeps_ties_copies_and_odd_vectors(spark):
+    """Against every pair's distance by the expression: copies tie by id, NaN comes after numbers and null last."""
+    rng = np.random.default_rng(4)
+    base = [[float(x) for x in v] for v in rng.normal(size=(12, 4))]
+    odd = [None, [0.0] * 4, [1.0], [float("nan")] * 4, [None, 1.0, 1.0, 1.0], [float("inf"), 0.0, 0.0, 0.0]]
+    rows = spark.createDataFrame([(i, base[i % 12], "ab"[i % 2]) for i in range(60)] + [(100 + i, v, "a") for i, v in enumerate(odd)] + [(200, base[0], None)], "id int, embedding array<double>, category string")
+    asked = spark.createDataFrame([(f"q{i}", v, "a") for i, v in enumerate([base[0], base[5], *odd])] + [("n", base[1], None)], "qid string, vector array<double>, category string")
+    for n, by_category in ((7, False), (63, False), (500, False), (4, True)):
+        pairs = rows.crossJoin(asked.withColumnRenamed("category", "wanted")).where(F.col("category") == F.col("wanted") if by_category else F.lit(True))
+        pairs = pairs.withColumn("distance", cosine_distance(F.col("embedding"), F.col("vector")))
+        want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("distance").asc_nulls_last(), "id"))).where(F.col("rank") <= n)
+        of = lambda df: sorted((r.qid, r["rank"], r.id, str(r.distance)) for r in df.collect())
+        assert of(search.nearest_of_each(rows, asked, n, by_category)) == of(want)
+
+
+def test_batched_search_computes_few_distances_row_by_row(spark, vectors, questions):
+    """Vectors meet in products of matrices; the expression sees only what they find."""
+    plan = search.nearest_of_each(vectors, questions, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
