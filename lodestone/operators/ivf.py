@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from lodestone.functions.vector import cosine_distance
-from lodestone.operators.search import blocks_of, wanted
+from lodestone.operators.search import blocks_of, measured, near_in_cells, wanted
 
 
 @dataclass(frozen=True)
@@ -128,26 +127,29 @@ def _cells(batches: Iterator[pa.RecordBatch], index: PartitionIndex, most: int,
         yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(q)), pa.array(c.astype("i4"))], ["qid", "cell"])
 
 
-def _read(spark: SparkSession, index: PartitionIndex, wanted_cells: DataFrame, questions: DataFrame, by_category: bool, with_rest: bool) -> DataFrame:
-    """Rows of the cells with their distance to each question that asks for the cell. The list of cells, which the index
-    bounds, becomes a filter on the folders."""
+def _read(spark: SparkSession, index: PartitionIndex, wanted_cells: DataFrame, questions: DataFrame, by_category: bool, with_rest: bool, n: int) -> DataFrame:
+    """Of the rows of the cells that each question asks for, what may be among its `n` nearest, with distances. The list of
+    cells, which the index bounds, becomes a filter on the folders."""
     cells = [r["cell"] for r in wanted_cells.select("cell").distinct().collect()]  # a row a cell at most
     rows = spark.read.parquet(f"{index.path}/rows").drop("away")
     rows = rows.where(F.col("cell").isin(cells + ([-1] if with_rest else [])))
     asked = wanted_cells.unionByName(questions.select("qid", F.lit(-1).alias("cell"))) if with_rest else wanted_cells
     q = questions.select("qid", "vector", *([F.col("category").alias("_category")] if by_category else []))
-    some = F.broadcast(asked.join(q, "qid"))  # a block of questions, a cell each
-    pairs = rows.join(some, "cell")
+    keys = ["cell", *(["_category"] if by_category else [])]
+    left = rows.select("id", F.col("embedding").alias("v"), "cell", *([F.col("category").alias("_category")] if by_category else []))
+    right = asked.join(q, "qid").select("qid", F.col("vector").alias("v"), *keys)
     if by_category:
-        pairs = pairs.where(F.col("category") == F.col("_category"))
-    return pairs.withColumn("distance", cosine_distance(F.col("embedding"), F.col("vector"))).drop("vector", "embedding", "_category", "cell")
+        left, right = left.where("_category IS NOT NULL"), right.where("_category IS NOT NULL")
+    # A question takes rows of its cells only, so that its pairs are those of one cell each.
+    return measured(rows, q, near_in_cells(left, right, keys, n), by_category).drop("_category", "cell")
 
 
-def search(spark: SparkSession, index: PartitionIndex, questions: DataFrame, limit: int | None = None, probe: int = 8, exact: bool = False, by_category: bool = False, block: int = 1024) -> DataFrame:
+def search(spark: SparkSession, index: PartitionIndex, questions: DataFrame, limit: int | None = None, probe: int = 8, exact: bool = False, by_category: bool = False, block: int = 65_536) -> DataFrame:
     """The nearest rows of each question (qid, vector[, category]), with `distance` and `rank`.
 
     The `probe` nearest cells are read. With `exact` further cells follow, as far as their bounds ask for it, and the result
-    is that of `nearest_of_each` over all rows. Questions go in blocks of about `block`, which are broadcast.
+    is that of `nearest_of_each` over all rows. Questions go in blocks of about `block`; rows and
+    questions of a cell meet in bounded parts of it (`search.near_in_cells`).
     """
     n = wanted(limit)
     count, out = blocks_of(questions, block), None
@@ -157,13 +159,13 @@ def search(spark: SparkSession, index: PartitionIndex, questions: DataFrame, lim
         some = questions.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == k) if count > 1 else questions
         q = some.select("qid", F.col("vector").cast("array<double>").alias("vector"), *(["category"] if by_category else []))
         first = q.select("qid", "vector").mapInArrow(lambda b: _cells(b, index, probe, False), kind)
-        found = _read(spark, index, first, q, by_category, False).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
+        found = _read(spark, index, first, q, by_category, False, n).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
         if exact:
             found.write.parquet(part := f"{index.path}/found-{uuid.uuid4().hex}")
             found = spark.read.parquet(part)
             least = found.groupBy("qid").agg(F.when(F.count("distance") >= n, F.max("distance")).alias("least"))
             more = q.join(F.broadcast(least), "qid", "left").select("qid", "vector", "least").mapInArrow(lambda b: _cells(b, index, probe, True), kind)
-            rest = _read(spark, index, more, q, by_category, True)
+            rest = _read(spark, index, more, q, by_category, True, n)
             found = found.drop("rank").unionByName(rest.select(*[c for c in found.columns if c != "rank"])).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
         out = found if out is None else out.unionByName(found)
     return out
