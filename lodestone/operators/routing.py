@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import bullets
-from lodestone.operators.search import PROBE_K, TOP_K, blocks_of, checked, nearest_of_each, places
+from lodestone.operators.search import PROBE_K, TOP_K, checked, nearest_of_each, places
+from lodestone.sources.shared import shared_folder
 
 #: Fixed values of answers.
 NO_ANSWER = "Chroma 데이터에서 질문과 관련된 안내를 찾지 못했습니다."
@@ -25,6 +26,12 @@ def elected(votes: DataFrame) -> DataFrame:
     return votes.withColumn("_n", F.row_number().over(by)).where("_n = 1").select("qid", "category")
 
 
+def _stored(df: DataFrame, kind: str) -> DataFrame:
+    """A table that several steps read, written once."""
+    df.write.parquet(folder := shared_folder(df.sparkSession, kind))
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def routed(collection: DataFrame, questions: DataFrame, top_k: int = TOP_K, probe_k: int = PROBE_K) -> DataFrame:
     """Rows found for each question (qid, vector, explicit): qid, stage, place and the checked row.
 
@@ -33,12 +40,11 @@ def routed(collection: DataFrame, questions: DataFrame, top_k: int = TOP_K, prob
     rows if it probed, and after an explicit category to an unfiltered search of `top_k` rows, of which those that fail
     the checks are not replaced.
     """
-    blocks = blocks_of(questions)
     asked = questions.select("qid", "vector", "explicit")
-    probe = places(checked(nearest_of_each(collection, asked, probe_k, blocks=blocks)), "qid")
+    probe = _stored(places(checked(nearest_of_each(collection, asked, probe_k)), "qid"), "probe")
     chosen = asked.join(elected(vote(probe.where("explicit IS NULL"))), "qid", "left")
-    chosen = chosen.select("qid", "vector", F.coalesce("explicit", "category").alias("category"))
-    second = places(checked(nearest_of_each(collection, chosen.where("category IS NOT NULL"), top_k, by_category=True, blocks=blocks)), "qid")
+    chosen = _stored(chosen.select("qid", "vector", F.coalesce("explicit", "category").alias("category")), "chosen")
+    second = places(checked(nearest_of_each(collection, chosen.where("category IS NOT NULL"), top_k, by_category=True)), "qid")
     first = probe.where(F.when(F.col("explicit").isNull(), F.col("place")).otherwise(F.col("rank")) <= top_k).drop("explicit")
     both = second.withColumn("stage", F.lit(1)).unionByName(first.withColumn("stage", F.lit(2)))
     best = both.withColumn("_stage", F.min("stage").over(Window.partitionBy("qid")))
