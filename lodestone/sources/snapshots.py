@@ -35,7 +35,8 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return cases
 
 
-def listed(pages: DataFrame, allowed: DataFrame, denied: DataFrame | None = None) -> DataFrame:
-    """Pages whose `url` is in `allowed` (url) and, where there is one, not in `denied` (url)."""
-    kept = pages.join(allowed.select("url").distinct(), "url", "left_semi")
-    return kept if denied is None else kept.join(denied.select("url").distinct(), "url", "left_anti")
+def listed(pages: DataFrame, allowed: DataFrame, denied: DataFrame | None = None, key: str = "url") -> DataFrame:
+    """Pages whose `key` is in `allowed` (key) and, where there is one, not in `denied` (key). By address, pages of one address
+    are listed or not together; by another key each for itself."""
+    kept = pages.join(allowed.select(key).distinct(), key, "left_semi")
+    return kept if denied is None else kept.join(denied.select(key).distinct(), key, "left_anti")

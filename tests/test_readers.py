@@ -82,3 +82,12 @@ def test_only_relevant_candidates_reach_the_newest(spark):
     catalog = Catalog((Rule("other", ("lorem",)),), "other", recency=("latest",))
     got = sorted((r.qid, r.intent, r.id, r.evidence) for r in accuracy.supported(fusion.rrf(ranks, ranks), chunks, asked, catalog).collect())
     assert got == [(0, "i", 1, "newest"), (0, "i", 3, "reference"), (0, "k", 4, "newest"), (0, "m", 5, "newest"), (1, "i", 1, "newest"), (1, "m", 5, "newest"), (2, "i", 1, "newest"), (2, "i", 3, "reference")]
+
+
+def test_pages_of_one_address_are_listed_each_for_itself(spark, tmp_path):
+    """Larger tables repeat addresses; the SQL of `listed_pages` looks at numbers."""
+    from lodestone.plans.queries import listed_pages
+
+    spark.createDataFrame([(i, f"http://a/{i % 2}", "") for i in range(24)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(r.page_id for r in listed_pages(spark, str(tmp_path)).collect())
+    assert got == [i for i in range(24) if i % 3 < 2 and i % 4]
