@@ -242,21 +242,39 @@ def signature_links(a: np.ndarray, b: np.ndarray, radius: int, first: int, same:
     return np.unique(np.sort(pairs, axis=0), axis=1)
 
 
-def _signature_cell(pdf: pd.DataFrame, radius: int, first: int) -> pd.DataFrame:
-    """Candidate links (a, b) of the pairs of tiles that meet in a cell."""
-    tiles = [(n, low, high, np.asarray(nodes, np.int64), np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, _WORDS), second) for n, low, high, nodes, sigs, second in zip(pdf.tile, pdf.low, pdf.high, pdf.nodes, pdf.sigs, pdf.second)]
+def signature_pairs(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, radius: int, first: int, same: bool) -> np.ndarray:
+    """Pairs as `signature_links` numbers them: all within the radius whose groups `of_a` and `of_b` differ."""
+    out, step = [np.zeros((2, 0), np.int64)], max(1, (1 << 19) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        r, c = np.nonzero((np.bitwise_count(a[at : at + step, None, 0] ^ b[None, :, 0]) <= first) & (of_a[at : at + step, None] != of_b[None, :]))
+        r += at
+        if same:
+            r, c = r[r < c], c[r < c]
+        near = np.bitwise_count(a[r] ^ b[c]).sum(axis=1, dtype=np.int64) <= radius
+        out.append(np.stack([r[near], c[near] + (0 if same else len(a))]))
+    return np.concatenate(out, axis=1)
+
+
+def _signature_cell(pdf: pd.DataFrame, radius: int, first: int, apart: bool) -> pd.DataFrame:
+    """Candidate links (a, b) of the pairs of tiles that meet in a cell; with `apart` all between different groups."""
+    tiles = [(n, low, high, np.asarray(nodes, np.int64), np.asarray(groups, np.int64), np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, _WORDS), second) for n, low, high, nodes, groups, sigs, second in zip(pdf.tile, pdf.low, pdf.high, pdf.nodes, pdf.groups, pdf.sigs, pdf.second)]
     own, out = pdf.x.iloc[0] == pdf.y.iloc[0], [np.zeros((2, 0), np.int64)]
-    for n, low, high, nodes, a, second in tiles:
-        for m, low2, high2, others, b, other in tiles:
+    for n, low, high, nodes, of_a, a, second in tiles:
+        for m, low2, high2, others, of_b, b, other in tiles:
             if (n <= m if own else not second and other) and max(low, low2) - min(high, high2) <= radius:
                 # Within one tile, places of a and b are the same.
-                out.append(np.concatenate((nodes, others))[signature_links(a, b, radius, first, own and n == m)])
+                same = own and n == m
+                found = signature_pairs(a, b, of_a, of_b, radius, first, same) if apart else signature_links(a, b, radius, first, same)
+                out.append(np.concatenate((nodes, others))[found])
     found = np.concatenate(out, axis=1)
     return pd.DataFrame({"a": found.min(axis=0), "b": found.max(axis=0)})
 
 
-def candidate_links(signed: DataFrame, radius: int, first: int, tile: int) -> DataFrame:
-    """(a, b): distinct candidate pairs among `signed` (node long, sig binary, p int: its population count)."""
+def candidate_links(signed: DataFrame, radius: int, first: int, tile: int, apart: bool = False) -> DataFrame:
+    """(a, b): distinct candidate pairs among `signed` (node long, sig binary, p int: its population count).
+
+    With `apart` they are all pairs within the radius whose `component` (long) differs, else a forest and the nearest."""
+    signed = signed if apart else signed.withColumn("component", F.col("node"))
     counts = {r["p"]: r["n"] for r in signed.groupBy("p").agg(F.count("*").alias("n")).collect()}  # 513 rows at most
     before, at, of = [], 0, []
     for p in range(64 * _WORDS + 1):
@@ -268,13 +286,13 @@ def candidate_links(signed: DataFrame, radius: int, first: int, tile: int) -> Da
     # groups, and two groups meet in one cell, so that a tile is sent once for each group that it meets.
     p = F.col("p") + 1
     place = F.element_at(F.array(*map(F.lit, before)), p) + F.pmod(F.xxhash64("sig", "node"), F.element_at(F.array(*(F.lit(max(1, counts.get(q, 0))) for q in range(len(before)))), p))
-    packed = signed.withColumn("tile", F.floor(place / tile).cast("long")).groupBy("tile").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.collect_list(F.struct("node", "sig")).alias("held"))
+    packed = signed.withColumn("tile", F.floor(place / tile).cast("long")).groupBy("tile").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.collect_list(F.struct("node", "sig", "component")).alias("held"))
     tiles = -(-at // tile)
     side = max(1, math.isqrt(tiles) // 4)
     groups = -(-tiles // side)
-    sent = packed.select("tile", "low", "high", F.col("held.node").alias("nodes"), F.col("held.sig").alias("sigs"), F.floor(F.col("tile") / side).alias("g"))
-    cells = sent.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("h")).select("tile", "low", "high", "nodes", "sigs", F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"), (F.col("g") > F.col("h")).alias("second"))
-    return cells.groupBy("x", "y").applyInPandas(lambda pdf: _signature_cell(pdf, radius, first), "a long, b long").distinct()
+    sent = packed.select("tile", "low", "high", F.col("held.node").alias("nodes"), F.col("held.sig").alias("sigs"), F.col("held.component").alias("groups"), F.floor(F.col("tile") / side).alias("g"))
+    cells = sent.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("h")).select("tile", "low", "high", "nodes", "groups", "sigs", F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"), (F.col("g") > F.col("h")).alias("second"))
+    return cells.groupBy("x", "y").applyInPandas(lambda pdf: _signature_cell(pdf, radius, first, apart), "a long, b long").distinct()
 
 
 def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -296,28 +314,40 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
+def _verified(keyed: DataFrame, classes: DataFrame, links: DataFrame, least: float, width: int) -> DataFrame:
+    """The `links` (a, b) between `classes` (node, fp, rep) whose texts in `keyed` (doc_id, text, fp) are as similar as `least`."""
+    asked = classes.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge"), "node", "left_semi").select("node", F.col("fp").alias("_fp"), "rep")
+    # A class's text is looked up by its digest and smallest id, so that a hot class's copies are spread.
+    texts = keyed.join(asked.hint("merge"), (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").dropDuplicates(["node"])
+    sets = checkpoint(texts.mapInArrow(lambda b: _sets(b, width), "node long, shingles array<bigint>"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")).hint("merge")
+    both = links.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    return both.where(common / (F.size("a_set") + F.size("b_set") - common) >= least).select("a", "b")
+
+
 def similar(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 100, first: int = 20, tile: int = 8192) -> DataFrame:
     """(doc_id, fp, component, component_id) for every document; components are joined by pairs whose sets of shingles
     have a Jaccard similarity of `least` or more, on whole texts.
 
-    Two texts of similarity 0.8 differ in 78 of 512 bits at the mean, by 8; in 10 of the first word's 64, by 3. Candidates
-    are a forest and each signature's nearest of a pair of tiles, so that a group of copies costs its size.
+    Two texts of similarity 0.8 differ in 78 of 512 bits at the mean, by 8; in 10 of the first word's 64, by 3. First
+    candidates are a forest and each signature's nearest of a pair of tiles, so that a group of copies costs its size; then all
+    pairs within the radius whose components differ are candidates, so that no such pair is left out.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = checkpoint(rows.mapInArrow(lambda b: _signed(b, width), "doc_id long, fp string, sig binary, p int"))
     classes = signed.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("p").alias("p"))
     classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
+    rows = rows.mapInArrow(_with_key, "doc_id long, text string, fp string")
+    # A forest and the nearest join large groups at their size; then every pair whose components still differ is looked at.
     links = checkpoint(candidate_links(classes.select("node", "sig", "p"), radius, first, tile))
-    asked = classes.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge"), "node", "left_semi").select("node", F.col("fp").alias("_fp"), "rep")
-    # A class's text is looked up by its digest and smallest id, so that a hot class's copies are spread.
-    keyed = rows.mapInArrow(_with_key, "doc_id long, text string, fp string")
-    texts = keyed.join(asked.hint("merge"), (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").dropDuplicates(["node"])
-    sets = checkpoint(texts.mapInArrow(lambda b: _sets(b, width), "node long, shingles array<bigint>"))
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")).hint("merge")
-    both = links.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    verified = both.where(common / (F.size("a_set") + F.size("b_set") - common) >= least).select("a", "b")
-    named = named_components(classes.select("node", "rep"), verified)
+    verified = checkpoint(_verified(rows, classes, links, least, width))
+    named = checkpoint(named_components(classes.select("node", "rep"), verified))
+    grouped = classes.select("node", "sig", "p").join(named.select("node", "component").hint("merge"), "node")
+    rest = checkpoint(candidate_links(grouped, radius, first, tile, apart=True).join(links.hint("merge"), ["a", "b"], "left_anti"))
+    more = checkpoint(_verified(rows, classes, rest, least, width))
+    if not more.isEmpty():
+        named = named_components(classes.select("node", "rep"), verified.unionByName(more))
     by_fp = checkpoint(classes.select("node", "fp").join(named.hint("merge"), "node").select("fp", "component", "component_id"))
     return signed.select("doc_id", "fp").join(by_fp.hint("merge"), "fp")
 

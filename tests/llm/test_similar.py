@@ -108,3 +108,21 @@ def test_tiles_reach_all_pairs_within_the_radius(same):
     got = simhash.signature_links(a, b, 14, 26, same)
     assert {tuple(p) for p in got.T.tolist()} <= set(pairs)
     assert roots(len(every), got.T.tolist()) == roots(len(every), pairs)
+
+
+def test_every_pair_within_the_radius_decides(spark):
+    """Variants at about the wanted similarity: a forest and the nearest alone leave some of their links out."""
+    rng, rows = np.random.default_rng(2), []
+    for k in range(8):
+        base = [f"w{k}x{i}" for i in range(400)]
+        for _ in range(30):
+            v = list(base)
+            for i in rng.choice(len(v), rng.integers(3, 8), replace=False):
+                v[i] = f"q{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(v)))
+    sets = [shingles(t) for _, t in rows]
+    sigs = np.array([np.frombuffer(simhash.signature(simhash.shingle_hashes(t)), np.uint64) for _, t in rows])
+    near = lambda i, j: np.bitwise_count(sigs[i] ^ sigs[j]).sum() <= 100 and np.bitwise_count(sigs[i, 0] ^ sigs[j, 0]) <= 20
+    want = roots(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if near(i, j) and alike(sets[i], sets[j]) >= 0.8])
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want
