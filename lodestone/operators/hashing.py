@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import TOKEN, fold_case
 
 _WORDS = re.compile(TOKEN).findall
-_KEPT = 500_000
+_KEPT = 50_000
+#: Rows of a batch that are taken apart at a time.
+_STEP = 256
 
 
 class _Features(dict):
@@ -34,17 +36,24 @@ class _Features(dict):
 _features = _Features()
 
 
-def features(text: str, least: int = 2, most: int = 4) -> list[str]:
-    """The words of a folded text, marked w, and the character runs of all its words together, marked g."""
+def _feature_runs(text: str, least: int = 2, most: int = 4) -> Iterator[str]:
+    """As `features`, one by one, so that a long text's features are never held together."""
     words = _WORDS(text)
     flat = "".join(words)
-    return ["w" + w for w in words] + ["g" + flat[i : i + n] for n in range(least, most + 1) for i in range(len(flat) - n + 1)]
+    yield from ("w" + w for w in words)
+    for n in range(least, most + 1):
+        yield from ("g" + flat[i : i + n] for i in range(len(flat) - n + 1))
+
+
+def features(text: str, least: int = 2, most: int = 4) -> list[str]:
+    """The words of a folded text, marked w, and the character runs of all its words together, marked g."""
+    return list(_feature_runs(text, least, most))
 
 
 def hashed(title: str, text: str, dims: int, title_weight: float) -> np.ndarray:
     out = np.zeros(dims)
     for part, weight in ((title, title_weight), (text, 1.0)):
-        found = np.fromiter(map(_features.__getitem__, features(part)), np.uint64)
+        found = np.fromiter(map(_features.__getitem__, _feature_runs(part)), np.uint64)
         if len(found):
             signs = np.where(found >> np.uint64(63), -weight, weight)
             out += np.bincount((found % np.uint64(dims)).astype(np.int64), weights=signs, minlength=dims)
@@ -56,11 +65,12 @@ def text_vectors(rows: DataFrame, dims: int = 256, title_weight: float = 3.0) ->
     """(id, embedding) of rows (id, title, text), as `search.nearest_of_each` takes them; nulls are empty."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vectors = [hashed(t, x, dims, title_weight) for t, x in zip(b.column("title").to_pylist(), b.column("text").to_pylist())]
-            flat = pa.array(np.concatenate(vectors) if vectors else np.zeros(0))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype="i4") * dims), flat)
-            yield pa.RecordBatch.from_arrays([b.column("id"), lists], ["id", "embedding"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, _STEP):
+                b = batch.slice(at, _STEP)
+                vectors = [hashed(t.as_py(), x.as_py(), dims, title_weight) for t, x in zip(b.column("title"), b.column("text"))]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype="i4") * dims), pa.array(np.concatenate(vectors)))
+                yield pa.RecordBatch.from_arrays([b.column("id"), lists], ["id", "embedding"])
 
     folded = rows.select("id", *[fold_case(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "text")])
     return folded.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, embedding array<double>")

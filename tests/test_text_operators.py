@@ -155,3 +155,9 @@ def test_bm25_equals_plain_sums_without_shuffling_terms(spark, grams):
         found = lexical.bm25(chunks, asked, 9, grams, 6, block=block)
         assert sorted((r.qid, r.id, r.score, r["rank"]) for r in found.collect()) == sorted(want)
     assert "explode" not in lexical.bm25(chunks, asked, 9, grams, 6)._jdf.queryExecution().toString()
+
+
+def test_a_task_remembers_few_features():
+    """What a worker keeps does not grow with what it has seen."""
+    vector = hashing.hashed("", " ".join(f"w{i}" for i in range(60_000)), 64, 3.0)
+    assert np.isclose(np.linalg.norm(vector), 1) and len(hashing._features) <= 50_000
