@@ -1,6 +1,10 @@
 """Fusion lifts what both retrievers rank beyond the wanted number."""
 
-from lodestone.operators import fusion
+import re
+
+from pyspark.sql import functions as F
+
+from lodestone.operators import accuracy, fusion
 
 
 def test_a_row_beyond_ten_on_both_sides_is_lifted(spark):
@@ -12,3 +16,14 @@ def test_a_row_beyond_ten_on_both_sides_is_lifted(spark):
     got = fusion.hybrid(d.select("id", "text"), asked, d.select("id", "embedding"), vector, 10).collect()
     both = {r.id: r for r in got}
     assert len(got) == 10 and both[50].lexical_rank > 10 and both[50].dense_rank > 10 and both[50].signals == 2
+
+
+def test_only_texts_of_candidates_are_shuffled(spark):
+    """The join keeps texts in their tasks until a candidate's id has picked them, in however many blocks ids go."""
+    texts = spark.range(200).select("id", F.concat(F.lit("text "), "id").alias("text")).unionByName(spark.sql("SELECT 7L id, 'again' text UNION ALL SELECT NULL, 'none'"))
+    ids = spark.createDataFrame([(i,) for i in (3, 7, 150, 900)], "id long")
+    for block in (1 << 17, 1):
+        got = accuracy.named_rows(texts, ids, block)
+        assert sorted((r.id, r.text) for r in got.collect()) == [(3, "text 3"), (7, "again"), (7, "text 7"), (150, "text 150")]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and not re.search("SortMergeJoin|ShuffledHashJoin|Exchange hashpartitioning", plan)
