@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -53,11 +53,13 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     if not positive or not unlabelled:
         return np.zeros(0, np.int64), np.zeros(0), -50.0
     seen_ids, seen = np.unique(np.concatenate(positive), return_counts=True)
-    ids, counts = np.unique(np.concatenate(unlabelled), return_counts=True)
-    at = np.minimum(np.searchsorted(ids, seen_ids), max(0, len(ids) - 1))
-    among = np.where(ids[at] == seen_ids, counts[at], 0) if len(ids) else np.zeros(len(seen_ids))
+    common = seen >= min(least_positive, len(positive))
+    seen_ids, seen = seen_ids[common], seen[common]
+    among = np.zeros(len(seen_ids), np.int64)
+    for _, col in _found(seen_ids, unlabelled) if len(seen_ids) else ():
+        among += np.bincount(col, minlength=len(seen_ids))
     expected = among * (len(positive) / len(unlabelled))
-    kept = seen_ids[(seen >= min(least_positive, len(positive))) & (seen >= least_ratio * expected) & (seen - expected >= least_z * np.sqrt(expected + 0.5))]
+    kept = seen_ids[(seen >= least_ratio * expected) & (seen - expected >= least_z * np.sqrt(expected + 0.5))]
     if not len(kept):
         return kept, np.zeros(0), -50.0
 
@@ -70,12 +72,20 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return kept, weights, bias
 
 
+def _found(kept: np.ndarray, docs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, place in `kept`) of every kept feature, 64 documents at a time."""
+    for at in range(0, len(docs), 64):
+        some = docs[at : at + 64]
+        found = np.concatenate(some)
+        col = np.minimum(np.searchsorted(kept, found), len(kept) - 1)
+        hit = kept[col] == found
+        yield np.repeat(np.arange(at, at + len(some), dtype=np.int32), [len(d) for d in some])[hit], col[hit].astype(np.int32)
+
+
 def _hits(kept: np.ndarray, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     """(document, place in `kept`) of every kept feature of the documents, and the number of documents."""
-    found = np.concatenate(docs)
-    col = np.minimum(np.searchsorted(kept, found), len(kept) - 1)
-    doc, hit = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), kept[col] == found
-    return doc[hit], col[hit], len(docs)
+    doc, col = (np.concatenate(x) for x in zip(*_found(kept, docs)))
+    return doc, col, len(docs)
 
 
 def risk(w: np.ndarray, positive: tuple, unlabelled: tuple, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
@@ -133,7 +143,7 @@ def fit_calibrated(positive: list[np.ndarray], unlabelled: list[np.ndarray], pri
     kept, weights, bias = fit_nnpu(positive, unlabelled, prior)
     if not len(kept):
         return kept, weights, bias
-    of_p, of_u = ([crc32(d.tobytes()) % folds for d in docs] for docs in (positive, unlabelled))
+    of_p, of_u = ([crc32(d.astype(np.int64).tobytes()) % folds for d in docs] for docs in (positive, unlabelled))
     seen: list[list[float]] = [[], []]
     for k in range(folds):
         rest = [d for d, f in zip(positive, of_p) if f != k], [d for d, f in zip(unlabelled, of_u) if f != k]
@@ -174,6 +184,14 @@ class Scorer:
         return float(1 / (1 + np.exp(-min(40.0, max(-40.0, z)))))
 
 
+def _learn(rows: pa.Table, prior: float, threshold: float) -> pa.Table:
+    """One row (kept, weights, bias): the fit on (doc_id, y, f), whose features stay where the table holds them."""
+    order, y, f = pc.sort_indices(rows["doc_id"]).to_numpy(), rows["y"].to_numpy(), rows["f"]
+    of = [[np.frombuffer(f[int(k)].as_buffer(), np.uint32) for k in order[y[order] == is_y]] for is_y in (1, 0)]
+    kept, weights, bias = fit_calibrated(*of, prior, threshold)
+    return pa.table({"kept": pa.array([kept.astype(np.int64)], pa.list_(pa.int64())), "weights": pa.array([weights], pa.list_(pa.float64())), "bias": [bias]})
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 2000, most_unlabelled: int = 6000, threshold: float = 0.7) -> Scorer:
     """Fit on the folds that are not held out, calibrated for `threshold`; the driver gets no more than the features that are
     kept."""
@@ -184,17 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 2000, most_unla
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.array(sorted(text_features(t.as_py())), np.uint32).tobytes() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(found, pa.binary())], ["doc_id", "y", "f"])
-
-    def learn(pdf):
-        pdf = pdf.sort_values("doc_id")
-        of = [[np.frombuffer(f, np.uint32).astype(np.int64) for f in pdf.f[pdf.y == y]] for y in (1, 0)]
-        kept, weights, bias = fit_calibrated(*of, prior, threshold)
-        return pd.DataFrame({"kept": [kept], "weights": [weights], "bias": [bias]})
+            for at in range(0, b.num_rows, 256):
+                text, doc_id, y = b.slice(at, 256).columns
+                found = [np.array(sorted(text_features(t.as_py())), np.uint32).tobytes() for t in text]
+                yield pa.RecordBatch.from_arrays([doc_id, y, pa.array(found, pa.binary())], ["doc_id", "y", "f"])
 
     rows = texts_of(docs, chosen).select("text", "doc_id", "y").mapInArrow(features, "doc_id long, y int, f binary")
-    got = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "kept array<bigint>, weights array<double>, bias double").first()  # a bounded sample
+    got = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: _learn(t, prior, threshold), "kept array<bigint>, weights array<double>, bias double").first()  # a bounded sample
     return Scorer(*((np.zeros(0, np.int64), np.zeros(0), -50.0) if got is None else (np.array(got["kept"], np.int64), np.array(got["weights"]), got["bias"])))
 
 

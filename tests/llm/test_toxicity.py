@@ -72,3 +72,25 @@ def test_held_out_recall_precision_and_area(spark):
     area = (rank[yes].sum() - yes.sum() * (yes.sum() + 1) / 2) / (yes.sum() * (~yes).sum())
     assert both.held_out.all() and (both.predicted == (both.score >= 0.7)).all()
     assert both.predicted[yes].mean() >= 0.9 and yes[both.predicted == 1].mean() >= 0.95 and area >= 0.96
+
+
+def test_the_fit_holds_no_second_copy_of_the_features():
+    """Only what is found is held beside the features, some documents at a time; results are those of plain counts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    docs = [np.unique(rng.integers(0, 400_000, 2000)).astype(np.uint32) + 10 for _ in range(1200)]
+    docs = [np.append(np.uint32([1, 2]), d) if k % 4 == 0 else d for k, d in enumerate(docs)]
+    rows = pa.table({"doc_id": [*range(1200)][::-1], "y": pa.array([int(k % 4 == 0) for k in range(1200)], pa.int32()), "f": pa.array([d.tobytes() for d in docs], pa.binary())})
+    tracemalloc.start()
+    got = toxicity._learn(rows, 0.2, 0.7).to_pylist()[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["kept"] and most < 2.5 * sum(4 * len(d) for d in docs)
+    own = [[d for d, y in zip(docs[::-1], rows["y"].to_pylist()[::-1]) if y == is_y] for is_y in (1, 0)]
+    whole = toxicity.fit_calibrated(*([d.astype(np.int64) for d in some] for some in own), 0.2, 0.7)
+    among = sum(np.bincount(col, minlength=3) for _, col in toxicity._found(np.array([1, 2, 400_020]), own[0]))
+    assert among.tolist() == [300, 300, 0]
+    assert got["kept"] == whole[0].tolist() and got["weights"] == whole[1].tolist() and got["bias"] == whole[2]
