@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 
+from lodestone.llm._common import held
 from lodestone.llm.packing import _BYTES, _Memo
 
 #: Of texts in which only these characters occur, letters, digits and white space are the same classes in Python's
@@ -39,11 +40,6 @@ class ByteEncoder:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_encoders: dict[str, ByteEncoder] = {}
-
-
 def encoder(path: str) -> ByteEncoder:
     """One encoder for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = ByteEncoder(path)
-    return _encoders[path]
+    return held((ByteEncoder, path), lambda: ByteEncoder(path))

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._common import held
+
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
@@ -76,14 +78,9 @@ class WordEncoder:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held((WordEncoder, path), lambda: WordEncoder(path))
 
 
 def piece_cost(length: float, seq_len: int) -> float:
@@ -146,28 +143,32 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, seq_len: int,
     base, made = TaskContext.get().partitionId() << 32, 0
     ids: list[int | None] = []
     docs: list[bytes] = []
-    held = 0
+    tokens = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal made, held
+        nonlocal made, tokens
         lengths = [len(d) // 4 for d in docs]
-        cols: list[list] = [[] for _ in range(9)]
+        cols: list[list] = [[] for _ in range(8)]
+        parts: list[bytes] = []
         for pieces in pack_lengths(lengths, seq_len):
             offset = 0
             for doc, start, n in pieces:
                 part = docs[doc][4 * start : 4 * (start + n)]
-                for c, v in zip(cols, (ids[doc], start, n, zlib.crc32(part), lengths[doc], base + made, offset, piece_cost(n, seq_len), part)):
+                for c, v in zip(cols, (ids[doc], start, n, zlib.crc32(part), lengths[doc], base + made, offset, piece_cost(n, seq_len))):
                     c.append(v)
+                if keep_ids:
+                    parts.append(part)
                 offset += n
             made += 1
         arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.float64())]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         if keep_ids:
-            arrays.append(pa.array([np.frombuffer(p, "<u4").astype("i4") for p in cols[8]], pa.list_(pa.int32())))
+            ends = np.cumsum([0, *cols[2]], dtype=np.int32)
+            arrays.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(parts), "<i4")))
             names.append("ids")
         ids.clear()
         docs.clear()
-        held = 0
+        tokens = 0
         return pa.RecordBatch.from_arrays(arrays, names)
 
     for batch in batches:
@@ -175,8 +176,8 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, seq_len: int,
             got = encode(text.as_py() or "") + end
             ids.append(doc_id)
             docs.append(got)
-            held += len(got) // 4
-            if held >= shard_tokens or len(docs) >= shard_docs:
+            tokens += len(got) // 4
+            if tokens >= shard_tokens or len(docs) >= shard_docs:
                 yield flush()
     if docs:
         yield flush()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import checkpoint, row_of
+from lodestone.llm._common import checkpoint, let_go, row_of
 from lodestone.llm._forest import Forest
 from lodestone.llm.components import named_components
 
@@ -218,6 +218,14 @@ def text_key_column(text):
     return f(text)
 
 
+def _distances(a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Bits in which the signatures a[r] and b[c] differ, 2^15 pairs at a time, so that few signatures are copied at once."""
+    out, step = np.empty(len(r), np.int64), 1 << 15
+    for at in range(0, len(r), step):
+        out[at : at + step] = np.bitwise_count(a[r[at : at + step]] ^ b[c[at : at + step]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def signature_links(a: np.ndarray, b: np.ndarray, radius: int, first: int, same: bool) -> np.ndarray:
     """Pairs (place in a, place in b after those of a) between two tiles of signatures (n x 8 words): a spanning forest of all
     pairs within the radius, and for each signature its nearest within it. Of the first word `first` bits may differ."""
@@ -228,7 +236,7 @@ def signature_links(a: np.ndarray, b: np.ndarray, radius: int, first: int, same:
         r += at
         if same:
             r, c = r[r < c], c[r < c]
-        d = np.bitwise_count(a[r] ^ b[c]).sum(axis=1, dtype=np.int64)
+        d = _distances(a, b, r, c)
         near = d <= radius
         if near.any():
             order = np.argsort(d[near], kind="stable")
@@ -250,13 +258,14 @@ def signature_pairs(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.nda
         r += at
         if same:
             r, c = r[r < c], c[r < c]
-        near = np.bitwise_count(a[r] ^ b[c]).sum(axis=1, dtype=np.int64) <= radius
+        near = _distances(a, b, r, c) <= radius
         out.append(np.stack([r[near], c[near] + (0 if same else len(a))]))
     return np.concatenate(out, axis=1)
 
 
 def _signature_cell(pdf: pd.DataFrame, radius: int, first: int, apart: bool) -> pd.DataFrame:
     """Candidate links (a, b) of the pairs of tiles that meet in a cell; with `apart` all between different groups."""
+    let_go()
     tiles = [(n, low, high, np.asarray(nodes, np.int64), np.asarray(groups, np.int64), np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, _WORDS), second) for n, low, high, nodes, groups, sigs, second in zip(pdf.tile, pdf.low, pdf.high, pdf.nodes, pdf.groups, pdf.sigs, pdf.second)]
     own, out = pdf.x.iloc[0] == pdf.y.iloc[0], [np.zeros((2, 0), np.int64)]
     for n, low, high, nodes, of_a, a, second in tiles:
@@ -296,6 +305,7 @@ def candidate_links(signed: DataFrame, radius: int, first: int, tile: int, apart
 
 
 def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         texts = [t.as_py() for t in batch.column(1)]
         sigs = [signature(shingle_hashes(t, width)) for t in texts]
@@ -304,11 +314,13 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         yield batch.append_column("fp", pa.array([text_key(t.as_py()) for t in batch.column(1)], pa.string()))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])

@@ -23,9 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
-from lodestone.llm._common import fold, row_of
+from lodestone.llm._common import fold, let_go, row_of
 from lodestone.llm._sample import bounded, labelled, texts_of
 
 _EDGES = ".,;:!?\"'()[]{}|*%$&#"
@@ -186,6 +186,7 @@ class Scorer:
 
 def _learn(rows: pa.Table, prior: float, threshold: float) -> pa.Table:
     """One row (kept, weights, bias): the fit on (doc_id, y, f), whose features stay where the table holds them."""
+    let_go()
     order, y, f = pc.sort_indices(rows["doc_id"]).to_numpy(), rows["y"].to_numpy(), rows["f"]
     of = [[np.frombuffer(f[int(k)].as_buffer(), np.uint32) for k in order[y[order] == is_y]] for is_y in (1, 0)]
     kept, weights, bias = fit_calibrated(*of, prior, threshold)
@@ -201,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 2000, most_unla
     prior = min(0.9, train.agg(F.avg("y")).first()[0] or 0.0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 text, doc_id, y = b.slice(at, 256).columns
@@ -213,6 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 2000, most_unla
 
 
 def _scores(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.RecordBatch]:
+    let_go()
     for b in batches:
         text = b.column(b.schema.get_field_index("text"))
         yield b.append_column("score", pa.array([scorer(t.as_py()) for t in text], pa.float64()))
@@ -233,11 +236,15 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
 
 def clean(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
     """The rows of `docs`, all columns, that are not predicted toxic."""
-    rows = docs.select(F.col("text").cast("string").alias("_text"), row_of(docs).alias("_row"))
+    # A text travels once, within its row, unless it has to be cast.
+    at = [c.lower() for c in docs.columns].index("text")
+    inside = isinstance(docs.schema[at].dataType, StringType)
+    rows = docs.select(row_of(docs).alias("_row"), *([] if inside else [F.col("text").cast("string").alias("_text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
-            keep = pa.array([scorer(t.as_py()) < threshold for t in b.column(0)], pa.bool_())
-            yield b.filter(keep).select([1])
+            keep = pa.array([scorer(t.as_py()) < threshold for t in (b.column(0).field(at) if inside else b.column(1))], pa.bool_())
+            yield b.filter(keep).select([0])
 
     return rows.mapInArrow(run, StructType([rows.schema["_row"]])).select("_row.*")

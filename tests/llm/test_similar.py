@@ -1,6 +1,7 @@
 """Near copies by verified signatures, against brute force over all pairs of shingle sets."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -126,3 +127,21 @@ def test_every_pair_within_the_radius_decides(spark):
     want = roots(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if near(i, j) and alike(sets[i], sets[j]) >= 0.8])
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == want
+
+
+def test_few_signatures_are_copied_at_once():
+    """Where all pairs of a step are alike, each would bring two copies of 64 bytes and their difference."""
+    rng = np.random.default_rng(8)
+    one = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+    a, b = (one ^ (np.uint64(1) << rng.integers(0, 60, (n, 8), dtype=np.uint64)) for n in (1024, 512))
+    plain = np.bitwise_count(a[:, None] ^ b[None, :]).sum(axis=2, dtype=np.int64)
+    apart = np.arange(1024), np.arange(1024, 1536)
+    tracemalloc.start()
+    links = simhash.signature_links(a, b, 100, 20, False)
+    pairs = simhash.signature_pairs(a, b, *apart, 100, 20, False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs.shape[1] == 1024 * 512 and (plain <= 100).all()
+    nearest = {(r, 1024 + int(c)) for r, c in enumerate(plain.argmin(axis=1))}
+    assert nearest <= set(map(tuple, links.T.tolist()))
+    assert most < 70e6, f"{most / 1e6:.0f} MB"
