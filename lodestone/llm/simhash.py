@@ -6,7 +6,8 @@ piece of work (exclusive-or and bit counts in numpy). A pair of tiles returns a
 group of copies costs its size, and the forests are joined by `components`.
 
 `keep_similar` is the same for near copies in the sense of sets: signatures of 512 bits over five-word shingles, whose
-wide radius proposes pairs, and the Jaccard similarity of the whole texts' shingle sets, which decides.
+wide radius proposes pairs among texts that share a rare shingle, as all similar ones do, and the Jaccard similarity of
+the whole texts' shingle sets, which decides.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; repeated rows get the same result;
 rows without a doc_id take part, and a component of such rows only has a null component_id; an empty table gives no
@@ -263,54 +264,145 @@ def signature_pairs(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.nda
     return np.concatenate(out, axis=1)
 
 
-def _signature_cell(pdf: pd.DataFrame, radius: int, first: int, apart: bool) -> pd.DataFrame:
-    """Candidate links (a, b) of the pairs of tiles that meet in a cell; with `apart` all between different groups."""
+def common_shingles(rows: DataFrame, width: int, texts: int = 8192, most: int = 1 << 16) -> np.ndarray:
+    """Hashes of the shingles that most texts hold, the rarest first, as counted in about `texts` distinct ones, which a
+    hash of the text chooses. They only set the order in which `prefix` takes shingles, so that what many texts hold is
+    taken last; what is found does not depend on them."""
+    part = max(1, rows.count() // texts)
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select(F.lit(0).cast("long").alias("doc_id"), "text").distinct()
+    held = some.mapInArrow(lambda b: _sets(b, width), "node long, shingles array<bigint>").select(F.explode("shingles").alias("s"))
+    top = held.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(most).collect()  # `most` rows
+    return np.array([r["s"] for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, order: np.ndarray, least: float) -> np.ndarray:
+    """The first of a set of shingles (distinct, in order) by one order for all sets: those not in `common` by their hash,
+    then `common`, the rarest first; `order` sorts `common`. Two sets of similarity `least` or more share `least` of the larger one, so that
+    of all but so many of each one is in both."""
+    if not len(shingles):
+        return shingles
+    n = len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1
+    if not len(common):
+        return shingles[:n]
+    place = np.minimum(np.searchsorted(common, shingles, sorter=order), len(common) - 1)
+    known = common[order[place]] == shingles
+    return np.concatenate((shingles[~known][:n], common[np.sort(order[place[known]])]))[:n]
+
+
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """(key, node, held): the shingles in the prefixes of `classes` (node, prefix) that more than one of them, `held`, has."""
+    rows = classes.select("node", F.explode("prefix").alias("key"))
+    keys = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    return rows.join(keys.hint("merge"), "key")
+
+
+#: Cells of so many rows are compared together with other cells, larger ones by themselves.
+_FEW = 64
+
+
+def _few_links(ends: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, groups: np.ndarray, radius: int, first: int, least: float, apart: bool) -> np.ndarray:
+    """As `signature_links`, with `apart` as `signature_pairs`, within many small cells; row i's cell ends before ends[i]."""
+    at, found = np.arange(len(ends)), [np.zeros((3, 0), np.int64)]
+    for step in range(1, _FEW):
+        at = at[at + step < ends[at]]
+        if not len(at):
+            break
+        r = at[np.bitwise_count(sigs[at, 0] ^ sigs[at + step, 0]) <= first]
+        r = r[_fit(sizes[r], sizes[r + step], least) & ((groups[r] != groups[r + step]) | (not apart))]
+        d = _distances(sigs, sigs, r, r + step)
+        found.append(np.stack([r, r + step, d])[:, d <= radius])
+    r, c, d = np.concatenate(found, axis=1)
+    if apart or not len(r):
+        return np.stack([r, c])
+    order = np.argsort(d, kind="stable")
+    r, c, d = r[order], c[order], d[order] << 32
+    joined, nearest = Forest(len(ends)).join(r, c), np.full(len(ends), np.iinfo(np.int64).max)
+    np.minimum.at(nearest, r, d | c)
+    np.minimum.at(nearest, c, d | r)
+    have = np.flatnonzero(nearest < np.iinfo(np.int64).max)
+    return np.concatenate([np.stack([r[joined], c[joined]]), np.stack([have, nearest[have] & 0xFFFFFFFF])], axis=1)
+
+
+def _fit(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity `least`."""
+    return np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
+
+
+def _links_of_cells(batches: Iterator[pa.RecordBatch], radius: int, first: int, least: float, apart: bool) -> Iterator[pa.RecordBatch]:
+    """Candidate links (a, b) of rows (key, x, y, second, node, sig, size, component) in order of their cells (key, x, y).
+    Rows of a cell are held until it ends; it has at most two tiles."""
     let_go()
-    tiles = [(n, low, high, np.asarray(nodes, np.int64), np.asarray(groups, np.int64), np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, _WORDS), second) for n, low, high, nodes, groups, sigs, second in zip(pdf.tile, pdf.low, pdf.high, pdf.nodes, pdf.groups, pdf.sigs, pdf.second)]
-    own, out = pdf.x.iloc[0] == pdf.y.iloc[0], [np.zeros((2, 0), np.int64)]
-    for n, low, high, nodes, of_a, a, second in tiles:
-        for m, low2, high2, others, of_b, b, other in tiles:
-            if (n <= m if own else not second and other) and max(low, low2) - min(high, high2) <= radius:
-                # Within one tile, places of a and b are the same.
-                same = own and n == m
-                found = signature_pairs(a, b, of_a, of_b, radius, first, same) if apart else signature_links(a, b, radius, first, same)
-                out.append(np.concatenate((nodes, others))[found])
-    found = np.concatenate(out, axis=1)
-    return pd.DataFrame({"a": found.min(axis=0), "b": found.max(axis=0)})
-
-
-def candidate_links(signed: DataFrame, radius: int, first: int, tile: int, apart: bool = False) -> DataFrame:
-    """(a, b): distinct candidate pairs among `signed` (node long, sig binary, p int: its population count).
-
-    With `apart` they are all pairs within the radius whose `component` (long) differs, else a forest and the nearest."""
-    signed = signed if apart else signed.withColumn("component", F.col("node"))
-    counts = {r["p"]: r["n"] for r in signed.groupBy("p").agg(F.count("*").alias("n")).collect()}  # 513 rows at most
-    before, at, of = [], 0, []
-    for p in range(64 * _WORDS + 1):
-        before.append(at)
-        at += counts.get(p, 0)
-    if not at:
-        return signed.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
-    # Signatures stand in order of their population counts and are cut into tiles of equal size; tiles are dealt into
-    # groups, and two groups meet in one cell, so that a tile is sent once for each group that it meets.
-    p = F.col("p") + 1
-    place = F.element_at(F.array(*map(F.lit, before)), p) + F.pmod(F.xxhash64("sig", "node"), F.element_at(F.array(*(F.lit(max(1, counts.get(q, 0))) for q in range(len(before)))), p))
-    packed = signed.withColumn("tile", F.floor(place / tile).cast("long")).groupBy("tile").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.collect_list(F.struct("node", "sig", "component")).alias("held"))
-    tiles = -(-at // tile)
-    side = max(1, math.isqrt(tiles) // 4)
-    groups = -(-tiles // side)
-    sent = packed.select("tile", "low", "high", F.col("held.node").alias("nodes"), F.col("held.sig").alias("sigs"), F.col("held.component").alias("groups"), F.floor(F.col("tile") / side).alias("g"))
-    cells = sent.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("h")).select("tile", "low", "high", "nodes", "groups", "sigs", F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"), (F.col("g") > F.col("h")).alias("second"))
-    return cells.groupBy("x", "y").applyInPandas(lambda pdf: _signature_cell(pdf, radius, first, apart), "a long, b long").distinct()
-
-
-def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        cell = [batch.column(k).to_numpy() for k in range(3)]
+        starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cell], axis=0)) + 1
+        if kept and batch.num_rows and any(c[0] != kept[-1].column(k)[-1].as_py() for k, c in enumerate(cell)):
+            starts = np.concatenate(([0], starts))
+        if not batch.num_rows or not len(starts):
+            kept += [batch] if batch.num_rows else []
+            continue
+        yield from _whole_cells(pa.Table.from_batches([*kept, batch.slice(0, starts[-1])]), radius, first, least, apart)
+        kept = [batch.slice(starts[-1])]
+    if kept:
+        yield from _whole_cells(pa.Table.from_batches(kept), radius, first, least, apart)
+
+
+def _whole_cells(rows: pa.Table, radius: int, first: int, least: float, apart: bool) -> Iterator[pa.RecordBatch]:
+    key, x, y, second, nodes, sizes, groups = (rows.column(c).to_numpy() for c in ("key", "x", "y", "second", "node", "size", "component"))
+    sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(-1, _WORDS)
+    starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1))
+    ends = np.append(starts[1:], len(key))
+    few = (ends - starts <= _FEW) & (x[starts] == y[starts])
+
+    def found(r: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        fit = _fit(sizes[r], sizes[c], least)
+        a, b = nodes[r[fit]], nodes[c[fit]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    some = np.flatnonzero(np.repeat(few, ends - starts))
+    lengths = (ends - starts)[few]
+    yield found(*some[_few_links(np.repeat(np.cumsum(lengths), lengths), sigs[some], sizes[some], groups[some], radius, first, least, apart)])
+    for s, e in zip(starts[~few].tolist(), ends[~few].tolist()):
+        same = x[s] == y[s]
+        a = np.arange(s, e) if same else s + np.flatnonzero(~second[s:e])
+        b = a if same else s + np.flatnonzero(second[s:e])
+        if len(a) and len(b):
+            pairs = signature_pairs(sigs[a], sigs[b], groups[a], groups[b], radius, first, same) if apart else signature_links(sigs[a], sigs[b], radius, first, same)
+            yield found(*(a if same else np.concatenate((a, b)))[pairs])
+
+
+def candidate_links(shared: DataFrame, signed: DataFrame, radius: int, first: int, least: float, tile: int, apart: bool = False) -> DataFrame:
+    """(a, b): distinct candidate pairs among `signed` (node, sig, size, component) that have a key of `shared` (key, node,
+    held) in common. With `apart` they are all such pairs within the radius whose `component` differs, else for each key a
+    forest of them and each signature's nearest.
+
+    A key's rows are compared with one another; where they are more than `tile`, they are dealt into tiles, and each two
+    tiles meet in a cell of their own.
+    """
+    n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = F.ceil(F.col("held") / tile)
+    dealt = shared.select("key", "node", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).alias("t")).join(signed.hint("merge"), "node")
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("u"))
+    cells = met.select("key", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), (F.col("t") > F.col("u")).alias("second"), "node", "sig", "size", "component")
+    # A number of partitions of their own: rows are few bytes and much work, so that merged partitions would be slow.
+    cells = cells.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return cells.mapInArrow(lambda b: _links_of_cells(b, radius, first, least, apart), "a long, b long").distinct()
+
+
+def _signed(batches: Iterator[pa.RecordBatch], width: int, common: np.ndarray = _STEPS[:0], least: float = 0.8) -> Iterator[pa.RecordBatch]:
     let_go()
+    order = np.argsort(common)
     for batch in batches:
-        texts = [t.as_py() for t in batch.column(1)]
-        sigs = [signature(shingle_hashes(t, width)) for t in texts]
-        ones = [int.from_bytes(s).bit_count() for s in sigs]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(text_key, texts), pa.string()), pa.array(sigs, pa.binary()), pa.array(ones, pa.int32())], ["doc_id", "fp", "sig", "p"])
+        keys, sigs, sizes, prefixes = [], [], [], []
+        for t in batch.column(1):
+            text = t.as_py()
+            hashes = shingle_hashes(text, width)
+            shingles = np.unique(hashes)
+            keys.append(text_key(text))
+            sigs.append(signature(hashes))
+            sizes.append(len(shingles))
+            prefixes.append(prefix(shingles, common, order, least).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "fp", "sig", "size", "prefix"])
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,21 +434,24 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 1
     """(doc_id, fp, component, component_id) for every document; components are joined by pairs whose sets of shingles
     have a Jaccard similarity of `least` or more, on whole texts.
 
-    Two texts of similarity 0.8 differ in 78 of 512 bits at the mean, by 8; in 10 of the first word's 64, by 3. First
-    candidates are a forest and each signature's nearest of a pair of tiles, so that a group of copies costs its size; then all
-    pairs within the radius whose components differ are candidates, so that no such pair is left out.
+    Two texts of similarity 0.8 differ in 78 of 512 bits at the mean, by 8; in 10 of the first word's 64, by 3. Only texts
+    that can be so similar are compared: those that share a shingle of their prefixes, which every such pair does. First
+    candidates are a forest and each signature's nearest of those with a shingle, so that a group of copies costs its size;
+    then all pairs within the radius whose components differ are candidates, so that no such pair is left out.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = checkpoint(rows.mapInArrow(lambda b: _signed(b, width), "doc_id long, fp string, sig binary, p int"))
-    classes = signed.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("p").alias("p"))
+    common = common_shingles(rows, width)
+    signed = checkpoint(rows.mapInArrow(lambda b: _signed(b, width, common, least), "doc_id long, fp string, sig binary, size long, prefix array<bigint>"))
+    classes = signed.groupBy("fp").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("sig", "size", "prefix")))
     classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
     rows = rows.mapInArrow(_with_key, "doc_id long, text string, fp string")
+    shared = checkpoint(shared_keys(classes))
     # A forest and the nearest join large groups at their size; then every pair whose components still differ is looked at.
-    links = checkpoint(candidate_links(classes.select("node", "sig", "p"), radius, first, tile))
+    links = checkpoint(candidate_links(shared, classes.select("node", "sig", "size", F.col("node").alias("component")), radius, first, least, tile))
     verified = checkpoint(_verified(rows, classes, links, least, width))
     named = checkpoint(named_components(classes.select("node", "rep"), verified))
-    grouped = classes.select("node", "sig", "p").join(named.select("node", "component").hint("merge"), "node")
-    rest = checkpoint(candidate_links(grouped, radius, first, tile, apart=True).join(links.hint("merge"), ["a", "b"], "left_anti"))
+    grouped = classes.select("node", "sig", "size").join(named.select("node", "component").hint("merge"), "node")
+    rest = checkpoint(candidate_links(shared, grouped, radius, first, least, tile, apart=True).join(links.hint("merge"), ["a", "b"], "left_anti"))
     more = checkpoint(_verified(rows, classes, rest, least, width))
     if not more.isEmpty():
         named = named_components(classes.select("node", "rep"), verified.unionByName(more))
